@@ -51,13 +51,15 @@ class FraudRules:
     flag_at: int = 3
 
     def scaled(self, f: float) -> "FraudRules":
-        return replace(self, amount=tuple((t * f, p) for t, p in self.amount))
+        return replace(self, amount=tuple((round(t * f, 6), p) for t, p in self.amount))
 
 
 @dataclass(frozen=True)
 class StreamFraudRules:
     """Per-order stream scoring: amount ladder + suspicious status."""
     amount: tuple = ((5000, 4), (3000, 3), (2000, 2))
+    # alert ladder with reason labels (amount > t -> points, reason)
+    alert_amount: tuple = ((5000, 4, "High transaction amount"), (2000, 2, "Elevated transaction amount"))
     status_points: int = 1
     suspicious_statuses: tuple = ("cancelled", "refunded")
     flag_at: int = 3
@@ -66,7 +68,9 @@ class StreamFraudRules:
     alt_unit: float = 1000           # alternative score: amount / unit, clamped 3..5
 
     def scaled(self, f: float) -> "StreamFraudRules":
-        return replace(self, amount=tuple((t * f, p) for t, p in self.amount), alt_unit=self.alt_unit * f)
+        return replace(self, amount=tuple((round(t * f, 6), p) for t, p in self.amount),
+                       alert_amount=tuple((round(t * f, 6), p, r) for t, p, r in self.alert_amount),
+                       alt_unit=round(self.alt_unit * f, 6))
 
 
 # Rules for the driver's TPC-H-like data (order totals ~1k-500k, event values 0-500).

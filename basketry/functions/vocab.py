@@ -77,3 +77,14 @@ REASON_SUSPICIOUS_STATUS = "Suspicious order status"
 REASON_FALLBACK = "Suspicious pattern"
 # Statuses that add risk to an order.
 SUSPICIOUS_STATUSES = ["cancelled", "refunded"]
+
+# Batch fraud type labels, tested in this order.
+FRAUD_TYPE_VELOCITY_VALUE = "Velocity + High Value"
+FRAUD_TYPE_VELOCITY = "Velocity Fraud"
+FRAUD_TYPE_HIGH_VALUE = "High Value Fraud"
+FRAUD_TYPE_BULK = "Bulk Purchase Fraud"
+FRAUD_TYPE_QUANTITY = "Suspicious Quantity"
+FRAUD_TYPE_MIXED = "Mixed Pattern"
+# Alert risk labels.
+RISK_HIGH = "HIGH"
+RISK_MEDIUM = "MEDIUM"

@@ -295,7 +295,21 @@ fact AS (
   LEFT JOIN product_dim p ON i.product_id = p.product_id
   WHERE c.name_cleaned IS NOT NULL)"""
 
-BASE_CTES = ",".join([RAW_ORDERS, RAW_CUSTOMERS, RAW_ITEMS, RAW_PRODUCTS, CLEAN])
+ORDER_EVENTS = """
+order_events AS (
+  SELECT event_id, event_id AS order_id, user_id AS customer_id, CAST(ts AS TIMESTAMP) AS event_time,
+    CAST(ts AS DATE) AS order_date,
+    CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'pending'
+      WHEN 'view' THEN 'shipped' WHEN 'signup' THEN 'refunded' END AS status,
+    CAST(value AS DECIMAL(18,2)) AS total_amount, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM events),
+events_enriched AS (
+  SELECT *, CASE WHEN status = 'completed' THEN 1 ELSE 0 END AS is_completed,
+    CASE WHEN order_id IS NOT NULL AND customer_id IS NOT NULL AND order_date IS NOT NULL AND total_amount IS NOT NULL
+      AND total_amount > 0 THEN 1 ELSE 0 END AS is_valid_order
+  FROM order_events)"""
+
+BASE_CTES = ",".join([RAW_ORDERS, RAW_CUSTOMERS, RAW_ITEMS, RAW_PRODUCTS, CLEAN, ORDER_EVENTS])
 
 
 def with_base(final_sql: str, extra_ctes: str = "") -> str:

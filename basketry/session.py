@@ -40,6 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BASKETRY_DRIVER_MEMORY", "8g"))
     )
     for k, v in SCALE_CONF.items():
