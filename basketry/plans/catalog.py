@@ -1,3 +1,3 @@
 """Imports every query module so that each registers its queries."""
 
-from basketry.plans import q_batch, q_clean, q_fraud, q_live, q_quality  # noqa: F401
+from basketry.plans import q_batch, q_clean, q_fraud, q_io, q_live, q_quality, q_stream  # noqa: F401
