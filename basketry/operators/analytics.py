@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.functions import money
 from basketry.functions import vocab as V
 from basketry.operators.cleaning import as_of_column
-from basketry.operators.model import MONEY_SUM, completed_orders, customer_months, named_customers
+from basketry.operators.model import completed_orders, customer_months, named_customers
 
 AVG_SCALE = T.DecimalType(38, 6)
 
@@ -26,7 +27,7 @@ def _avg2(total, count):
 def monthly_revenue(orders_clean: DataFrame) -> DataFrame:
     """revenue of valid completed orders per (year, month), ordered."""
     return (completed_orders(orders_clean).groupBy("order_year", "order_month")
-            .agg(F.sum("total_amount_cleaned").cast(MONEY_SUM).alias("monthly_revenue"))
+            .agg(money.money_sum("total_amount_cleaned").alias("monthly_revenue"))
             .select("order_year", "order_month", F.col("monthly_revenue").cast("double"))
             .orderBy("order_year", "order_month"))
 
@@ -37,7 +38,7 @@ def segment_analysis(orders_clean: DataFrame, customers_clean: DataFrame) -> Dat
     dim = named_customers(customers_clean).select("customer_id", F.col("segment_cleaned").alias("customer_segment"))
     months = customer_months(completed_orders(orders_clean)).join(dim, "customer_id", "inner")
     agg = (months.groupBy("customer_segment")
-           .agg(F.sum("revenue").cast(MONEY_SUM).alias("rev"), F.sum("orders").alias("n")))
+           .agg(money.cents_to_decimal(F.sum("revenue_c")).alias("rev"), F.sum("orders").alias("n")))
     return (agg.select("customer_segment", F.col("rev").cast("double").alias("total_revenue"),
                        F.col("n").cast("long").alias("order_count"),
                        _avg2(F.col("rev"), F.col("n")).alias("avg_order_value"))
@@ -55,15 +56,18 @@ def category_performance(fact: DataFrame) -> DataFrame:
     """completed line revenue (line totals, not order totals) and units per category."""
     return (fact.filter(F.col("is_completed") == 1)
             .groupBy("product_category")
-            .agg(F.round(F.sum("line_total"), 2).cast("double").alias("category_revenue"),
+            .agg(F.sum(money.micros("line_total")).alias("_micros"),
                  F.sum("quantity").cast("long").alias("units_sold"))
+            # half-up to cents with exact long division, then to a double
+            .select("product_category", (F.expr("(_micros + 5000) div 10000") / F.lit(100.0)).alias("category_revenue"),
+                    "units_sold")
             .orderBy(F.desc("category_revenue"), "product_category"))
 
 
 def overall_revenue(orders_clean: DataFrame) -> DataFrame:
     """one-row revenue summary of valid completed orders."""
     o = completed_orders(orders_clean)
-    agg = o.agg(F.sum("total_amount_cleaned").cast(MONEY_SUM).alias("rev"), F.count(F.lit(1)).alias("n"))
+    agg = o.agg(money.money_sum("total_amount_cleaned").alias("rev"), F.count(F.lit(1)).alias("n"))
     return agg.select(F.col("rev").cast("double").alias("total_revenue"),
                       F.col("n").cast("long").alias("total_orders"),
                       F.when(F.col("n") > 0, _avg2(F.col("rev"), F.col("n"))).alias("avg_order_value"))

@@ -16,16 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.functions import cleaning as C
+from basketry.functions import money
 from basketry.functions.rules import CleaningRules
 
-MONEY = T.DecimalType(18, 2)
-
-
-def cent_factor() -> Column:
-    """Exact decimal 0.01 (multiplying by it avoids decimal division)."""
-    return F.lit(0.01).cast(T.DecimalType(2, 2))
-
-
 def as_of_column(as_of) -> Column:
     if isinstance(as_of, Column):
         return as_of
@@ -135,29 +128,27 @@ def clean_items(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFr
     subtotal = qty x price; discount = subtotal x pct / 100 (0 when unknown);
     line total = subtotal - discount + tax (tax 0 when unknown);
     calculation_matches = |given - computed| < 0.01 (False when either is null).
-    All arithmetic is exact decimal.
+    Computed in integer cents / micro-units, so it is exact and fast.
     """
     df = df.withColumns({
         "quantity_cleaned": C.in_range("quantity", *rules.item_quantity),
         "price_cleaned": C.in_range("price", *rules.item_price),
         "discount_percent_cleaned": C.in_range("discount_percent", *rules.item_discount),
     })
-    subtotal = F.when(F.col("quantity_cleaned").isNotNull() & F.col("price_cleaned").isNotNull(),
-                      F.col("quantity_cleaned").cast(T.DecimalType(18, 0)) * F.col("price_cleaned"))
-    df = df.withColumn("subtotal_calculated", subtotal.cast(MONEY))
-    disc = F.when(F.col("subtotal_calculated").isNotNull() & F.col("discount_percent_cleaned").isNotNull(),
-                  F.col("subtotal_calculated") * F.col("discount_percent_cleaned") * cent_factor()
-                  ).otherwise(F.lit(0))
-    df = df.withColumn("discount_amount_calculated", disc.cast(T.DecimalType(24, 6)))
-    line = F.when(F.col("subtotal_calculated").isNotNull(),
-                  F.col("subtotal_calculated") - F.col("discount_amount_calculated")
-                  + F.coalesce(F.col("tax_amount"), F.lit(0).cast(MONEY)))
-    df = df.withColumn("line_total_calculated", line.cast(T.DecimalType(24, 6)))
-    return df.withColumn(
-        "calculation_matches",
-        F.when(F.col("line_total").isNotNull() & F.col("line_total_calculated").isNotNull(),
-               F.abs(F.col("line_total") - F.col("line_total_calculated")) < F.lit(0.01).cast(T.DecimalType(3, 2))
-               ).otherwise(F.lit(False)))
+    qty, price = F.col("quantity_cleaned"), F.col("price_cleaned")
+    sub_c = F.when(qty.isNotNull() & price.isNotNull(), qty.cast("long") * money.cents(price))
+    pct_h = F.round(F.col("discount_percent_cleaned") * 100).cast("long")           # hundredths of a percent
+    disc_u = F.when(sub_c.isNotNull() & pct_h.isNotNull(), sub_c * pct_h).otherwise(F.lit(0).cast("long"))
+    line_u = F.when(sub_c.isNotNull(), sub_c * 10000 - disc_u
+                    + F.coalesce(money.cents("tax_amount"), F.lit(0).cast("long")) * 10000)
+    given_u = money.cents("line_total") * 10000
+    return df.withColumns({
+        "subtotal_calculated": money.from_cents(sub_c),
+        "discount_amount_calculated": money.from_micros(disc_u),
+        "line_total_calculated": money.from_micros(line_u),
+        "calculation_matches": F.when(F.col("line_total").isNotNull() & sub_c.isNotNull(),
+                                      F.abs(given_u - line_u) < 10000).otherwise(F.lit(False)),
+    })
 
 
 def clean_products(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
@@ -172,8 +163,10 @@ def clean_products(df: DataFrame, rules: CleaningRules = CleaningRules()) -> Dat
         "category_cleaned": C.category_from_text("category"),
     })
     p, c = F.col("unit_price_cleaned"), F.col("cost_cleaned")
+    pc, cc = money.cents(p), money.cents(c)
+    margin = (pc - cc).cast(T.DecimalType(20, 0)) * 100 / pc.cast(T.DecimalType(20, 0))   # exact, half-up below
     return df.withColumns({
         "margin_percent": F.when(p.isNotNull() & c.isNotNull() & (p > 0),
-                                 F.round((p - c) * 100 / p, 2)).cast("double"),
+                                 F.round(margin.cast(T.DecimalType(38, 6)), 2)).cast("double"),
         "price_cost_valid": F.when(p.isNotNull() & c.isNotNull(), c <= p),
     })

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions import money
 from basketry.functions import vocab as V
 from basketry.functions.rules import FraudRules, StreamFraudRules
 from basketry.operators.cleaning import valid_order
@@ -167,7 +168,7 @@ def fraud_summary(scored: DataFrame, high_at: int = 5) -> DataFrame:
     """M6: alert count, high-risk count, flagged amount, mean and max score (one row)."""
     return scored.agg(F.count(F.lit(1)).cast("long").alias("alerts"),
                       F.count_if(F.col("fraud_score") >= high_at).cast("long").alias("high_risk"),
-                      F.sum("total_amount").cast("double").alias("flagged_amount"),
+                      money.money_sum("total_amount").cast("double").alias("flagged_amount"),
                       F.round(F.avg(F.col("fraud_score").cast("decimal(20,0)")).cast("decimal(38,6)"), 4).cast("double").alias("avg_score"),
                       F.max("fraud_score").alias("max_score"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.functions import money
 from basketry.operators.model import MONEY_SUM
 
 PCT = T.DecimalType(38, 6)
@@ -31,9 +32,9 @@ def live_kpis(events: DataFrame, as_of: Column | None = None, recent_minutes: in
     recent = F.col("event_time") >= as_of - F.expr(f"INTERVAL {recent_minutes} MINUTES")
     agg = events.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("total_amount").cast(MONEY_SUM).alias("rev"),
+        money.money_sum("total_amount").alias("rev"),
         F.count_if(recent).alias("recent_orders"),
-        F.sum(F.when(recent, F.col("total_amount"))).cast(MONEY_SUM).alias("recent_rev"),
+        money.money_sum(F.when(recent, F.col("total_amount"))).alias("recent_rev"),
         F.countDistinct("customer_id").alias("unique_customers"),
         F.count_if(F.col("status") == "completed").alias("completed"))
     n = F.col("n")
@@ -53,7 +54,7 @@ def orders_per_bucket(events: DataFrame, bucket: str = "5 minutes", lookback_min
     recent = events.filter(F.col("event_time") >= as_of - F.expr(f"INTERVAL {lookback_minutes} MINUTES"))
     return (recent.groupBy(F.window("event_time", bucket).alias("w"))
             .agg(F.count(F.lit(1)).cast("long").alias("orders"),
-                 F.sum("total_amount").cast(MONEY_SUM).cast("double").alias("revenue"))
+                 money.money_sum("total_amount").cast("double").alias("revenue"))
             .select(F.col("w.start").alias("bucket_start"), "orders", "revenue"))
 
 
@@ -99,7 +100,7 @@ def gold_filtered_kpis(customer_months: DataFrame, years: list[int] | None = Non
         df = df.filter(F.col("customer_segment").isin(segments))
     if value_segments is not None:
         df = df.filter(F.col("value_segment").isin(value_segments))
-    agg = df.agg(F.sum("revenue").cast(MONEY_SUM).alias("rev"), F.sum("orders").alias("n"),
+    agg = df.agg(money.cents_to_decimal(F.sum("revenue_c")).alias("rev"), F.sum("orders").alias("n"),
                  F.countDistinct("customer_id").alias("customers"))
     n = F.coalesce(F.col("n"), F.lit(0))
     return agg.select(F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("revenue"),
@@ -124,7 +125,7 @@ def gold_segment_revenue(gold: DataFrame) -> DataFrame:
 def gold_value_segment(customer_months: DataFrame) -> DataFrame:
     """Revenue, distinct customers and revenue share per value segment."""
     agg = (customer_months.groupBy("value_segment")
-           .agg(F.sum("revenue").cast(MONEY_SUM).alias("rev"), F.countDistinct("customer_id").alias("customers")))
+           .agg(money.cents_to_decimal(F.sum("revenue_c")).alias("rev"), F.countDistinct("customer_id").alias("customers")))
     total = F.sum("rev").over(Window.partitionBy()).cast(MONEY_SUM)  # <= 3 rows
     return agg.select("value_segment", F.col("rev").cast("double").alias("revenue"), F.col("customers").cast("long"),
                       (F.col("rev").cast("double") / total.cast("double")).alias("revenue_share"))
@@ -151,7 +152,7 @@ def item_kpis(items_clean: DataFrame) -> DataFrame:
     return items_clean.agg(
         F.count(F.lit(1)).cast("long").alias("item_rows"), F.countDistinct("order_id").cast("long").alias("unique_orders"),
         F.sum("quantity_cleaned").cast("long").alias("total_quantity"),
-        F.sum("line_total_calculated").cast("double").alias("total_value"))
+        (F.sum(money.micros("line_total_calculated")) / F.lit(1_000_000.0)).alias("total_value"))
 
 
 def category_stats(items_clean: DataFrame, product_dim: DataFrame) -> DataFrame:
@@ -160,5 +161,5 @@ def category_stats(items_clean: DataFrame, product_dim: DataFrame) -> DataFrame:
         product_dim.select("product_id", "category_cleaned"), "product_id", "left")
     return (joined.groupBy(F.col("category_cleaned").alias("category"))
             .agg(F.sum("quantity_cleaned").cast("long").alias("units"),
-                 F.sum("price_cleaned").cast(MONEY_SUM).cast("double").alias("price_sum"),
+                 money.money_sum("price_cleaned").cast("double").alias("price_sum"),
                  F.count(F.lit(1)).cast("long").alias("items")))

@@ -95,13 +95,31 @@ def dedup_first(table: str, key: str, cols: list[str]) -> str:
             f"(PARTITION BY {key} ORDER BY {order}) AS _rn FROM {table}) WHERE _rn = 1")
 
 
+def cents(x: str) -> str:
+    return f"CAST(round({x} * 100) AS BIGINT)"
+
+
+def cents_dec(x: str) -> str:
+    """Exact DECIMAL(38,2) from an integer number of cents."""
+    return f"(CAST({x} AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)))"
+
+
+def money_sum(x: str) -> str:
+    """Exact total of a money column (doubles with <= 2 decimals) as DECIMAL(38,2)."""
+    return cents_dec(f"sum({cents(x)})")
+
+
+def div_half_up(num: str, den: int) -> str:
+    return f"CAST(floor(({num} + {den // 2}) / {den}) AS BIGINT)"
+
+
 def avg2(total: str, count: str) -> str:
     """Half-up cents of an average from an exact sum (matches Spark decimal rounding)."""
     return f"CAST(round(CAST({total} / {count} AS DECIMAL(38,6)), 2) AS DOUBLE)"
 
 
 C = RULES.cleaning
-MONEY = "DECIMAL(18,2)"
+MONEY = "DOUBLE"
 
 # ----------------------------------------------------------------- raw model
 _o = "o_orderkey"
@@ -117,8 +135,8 @@ raw_orders_base AS (
          WHEN o_orderstatus = 'F' THEN {pick(f'{_o} % 4', ["'completed'", "'Completed'", "'COMPLETE'", "' completed '"])}
          WHEN o_orderstatus = 'O' THEN {pick(f'{_o} % 4', ["'pending'", "'PENDING'", "'Pending '", "'pending'"])}
          ELSE {pick(f'{_o} % 4', ["'processing'", "'Processing'", "'shipped'", "'SHIPPED'"])} END AS status,
-    CAST(CASE WHEN {_o} % 101 = 67 THEN NULL WHEN {_o} % 101 = 71 THEN -CAST(o_totalprice AS {MONEY})
-         WHEN {_o} % 101 = 73 THEN CAST(0 AS {MONEY}) ELSE CAST(o_totalprice AS {MONEY}) END AS {MONEY}) AS total_amount,
+    CASE WHEN {_o} % 101 = 67 THEN NULL WHEN {_o} % 101 = 71 THEN -o_totalprice
+         WHEN {_o} % 101 = 73 THEN 0.0 ELSE o_totalprice END AS total_amount,
     {pick(f'{_o} % 3', ["'web'", "'mobile'", "'store'"])} AS source_system
   FROM orders),
 raw_orders AS (
@@ -158,24 +176,31 @@ raw_customers AS (
 
 _r = "((l_orderkey + l_linenumber) % 89)"
 _q_ = "CAST(l_quantity AS BIGINT)"
-_unit = f"CAST(CAST((CAST(round(l_extendedprice * 100) AS BIGINT) // {_q_}) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(2,2)) AS {MONEY})"
-_disc = "CAST(l_discount AS DECIMAL(4,2))"
-_dpct = f"CAST({_disc} * 100 AS DECIMAL(9,2))"
-_tax = f"CAST(round(CAST(l_extendedprice AS {MONEY}) * (1 - {_disc}) * CAST(l_tax AS DECIMAL(4,2)), 2) AS {MONEY})"
-_sub = f"(CAST({_q_} AS DECIMAL(18,0)) * {_unit})"
-_correct = f"CAST(round({_sub} - {_sub} * {_dpct} * CAST(0.01 AS DECIMAL(2,2)) + {_tax}, 2) AS {MONEY})"
+_ext_c = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+_unit_c = f"CAST(floor({_ext_c} / {_q_}) AS BIGINT)"
+_dp = "CAST(round(l_discount * 100) AS BIGINT)"
+_tp = "CAST(round(l_tax * 100) AS BIGINT)"
+_tax_c = div_half_up(f"{_ext_c} * (100 - {_dp}) * {_tp}", 10000)
+_sub_c = f"({_q_} * {_unit_c})"
+_correct_c = div_half_up(f"{_sub_c} * (100 - {_dp}) + {_tax_c} * 100", 100)
 RAW_ITEMS = f"""
 raw_items AS (
   SELECT l_orderkey * 8 + l_linenumber AS item_id, l_orderkey AS order_id, l_partkey AS product_id,
     CASE WHEN {_r} = 0 THEN NULL WHEN {_r} = 1 THEN 0 WHEN {_r} = 2 THEN -{_q_} ELSE {_q_} END AS quantity,
-    CAST(CASE WHEN {_r} = 3 THEN NULL WHEN {_r} = 4 THEN -{_unit} ELSE {_unit} END AS {MONEY}) AS price,
-    CASE WHEN {_r} = 5 THEN NULL WHEN {_r} = 6 THEN CAST(-5 AS DECIMAL(9,2)) WHEN {_r} = 7 THEN CAST(150 AS DECIMAL(9,2)) ELSE {_dpct} END AS discount_percent,
-    CASE WHEN {_r} = 8 THEN NULL ELSE {_tax} END AS tax_amount,
-    CASE WHEN {_r} = 9 THEN NULL WHEN {_r} = 10 THEN CAST({_correct} + 1 AS {MONEY}) ELSE {_correct} END AS line_total
+    CASE WHEN {_r} = 3 THEN NULL WHEN {_r} = 4 THEN -({_unit_c} / 100.0) ELSE {_unit_c} / 100.0 END AS price,
+    CASE WHEN {_r} = 5 THEN NULL WHEN {_r} = 6 THEN -5.0 WHEN {_r} = 7 THEN 150.0 ELSE CAST({_dp} AS DOUBLE) END AS discount_percent,
+    CASE WHEN {_r} = 8 THEN NULL ELSE {_tax_c} / 100.0 END AS tax_amount,
+    CASE WHEN {_r} = 9 THEN NULL WHEN {_r} = 10 THEN ({_correct_c} + 100) / 100.0 ELSE {_correct_c} / 100.0 END AS line_total
   FROM lineitem)"""
 
 _p = "p_partkey"
-_rp = f"CAST(p_retailprice AS {MONEY})"
+_rc = "CAST(round(p_retailprice * 100) AS BIGINT)"
+_rp = f"({_rc} / 100.0)"
+
+
+def _cost_at(pct) -> str:
+    return f"({div_half_up(f'{_rc} * {pct}', 100)} / 100.0)"
+
 _cd = f"(DATE '2015-01-01' + CAST({_p} % 3000 AS INTEGER))"
 RAW_PRODUCTS = f"""
 raw_products_base AS (
@@ -183,9 +208,8 @@ raw_products_base AS (
     {pick(f'{_p} % 19', ['NULL', "''", "'TBD'", "'  ' || p_name"] + ['p_name'] * 15)} AS product_name,
     {pick(f'{_p} % 23', ['NULL', "''", "'Unknown'", "'electronics'", "'HOME_KITCHEN'", "'Kitchen'", "'sports'", "'Books'", "'Tech'", "'Media'"] + ['p_type'] * 13)} AS category,
     p_brand AS subcategory,
-    CAST({pick(f'{_p} % 31', ['NULL', f'CAST(0 AS {MONEY})', f'-{_rp}', f'CAST(250000 AS {MONEY})'] + [_rp] * 27)} AS {MONEY}) AS unit_price,
-    CAST({pick(f'{_p} % 37', ['NULL', f'round({_rp} * CAST(1.25 AS DECIMAL(3,2)), 2)', f'CAST(-1 AS {MONEY})']
-              + [f'round({_rp} * (CAST(40 + {_p} % 30 AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(2,2))), 2)'] * 34)} AS {MONEY}) AS cost,
+    CAST({pick(f'{_p} % 31', ['NULL', '0.0', f'-{_rp}', '250000.0'] + [_rp] * 27)} AS DOUBLE) AS unit_price,
+    CAST({pick(f'{_p} % 37', ['NULL', _cost_at(125), '-1.0'] + [_cost_at(f'(40 + {_p} % 30)')] * 34)} AS DOUBLE) AS cost,
     {pick(f'{_p} % 10', ["'True'", "'False'", "'Yes'", "'No'", "'Active'", "'Inactive'", "'1'", "'0'", "''", 'NULL'])} AS is_active,
     {pick(f'{_p} % 4', [f"strftime({_cd}, '%Y-%m-%d')", f"strftime({_cd}, '%m/%d/%Y')", f"strftime({_cd}, '%d-%m-%Y')",
                         f"strftime({_cd}, '%Y-%m-%d %H:%M:%S')"])} AS created_date,
@@ -232,20 +256,22 @@ items_c1 AS (
     {in_range('discount_percent', *C.item_discount)} AS discount_percent_cleaned
   FROM raw_items),
 items_c2 AS (
-  SELECT *, CAST(CASE WHEN quantity_cleaned IS NOT NULL AND price_cleaned IS NOT NULL
-      THEN CAST(quantity_cleaned AS DECIMAL(18,0)) * price_cleaned END AS {MONEY}) AS subtotal_calculated
+  SELECT *, CASE WHEN quantity_cleaned IS NOT NULL AND price_cleaned IS NOT NULL
+      THEN quantity_cleaned * {cents('price_cleaned')} END AS _sub_c,
+    CAST(round(discount_percent_cleaned * 100) AS BIGINT) AS _pct_h
   FROM items_c1),
 items_c3 AS (
-  SELECT *, CAST(CASE WHEN subtotal_calculated IS NOT NULL AND discount_percent_cleaned IS NOT NULL
-      THEN subtotal_calculated * discount_percent_cleaned * CAST(0.01 AS DECIMAL(2,2)) ELSE 0 END AS DECIMAL(24,6)) AS discount_amount_calculated
-  FROM items_c2),
+  SELECT *, CASE WHEN _sub_c IS NOT NULL AND _pct_h IS NOT NULL THEN _sub_c * _pct_h ELSE 0 END AS _disc_u FROM items_c2),
 items_c4 AS (
-  SELECT *, CAST(CASE WHEN subtotal_calculated IS NOT NULL THEN subtotal_calculated - discount_amount_calculated
-      + coalesce(tax_amount, CAST(0 AS {MONEY})) END AS DECIMAL(24,6)) AS line_total_calculated
+  SELECT *, CASE WHEN _sub_c IS NOT NULL THEN _sub_c * 10000 - _disc_u + coalesce({cents('tax_amount')}, 0) * 10000 END AS _line_u
   FROM items_c3),
 items_clean AS (
-  SELECT *, CASE WHEN line_total IS NOT NULL AND line_total_calculated IS NOT NULL
-      THEN abs(line_total - line_total_calculated) < 0.01 ELSE false END AS calculation_matches
+  SELECT * EXCLUDE (_sub_c, _pct_h, _disc_u, _line_u),
+    CAST(_sub_c AS DOUBLE) / 100.0 AS subtotal_calculated,
+    CAST(_disc_u AS DOUBLE) / 1000000.0 AS discount_amount_calculated,
+    CAST(_line_u AS DOUBLE) / 1000000.0 AS line_total_calculated,
+    CASE WHEN line_total IS NOT NULL AND _sub_c IS NOT NULL
+      THEN abs({cents('line_total')} * 10000 - _line_u) < 10000 ELSE false END AS calculation_matches
   FROM items_c4),
 products_c1 AS (
   SELECT *, {in_range('unit_price', *C.product_price)} AS unit_price_cleaned, {in_range('cost', *C.product_price)} AS cost_cleaned,
@@ -257,7 +283,7 @@ products_c1 AS (
 products_clean AS (
   SELECT *,
     CAST(CASE WHEN unit_price_cleaned IS NOT NULL AND cost_cleaned IS NOT NULL AND unit_price_cleaned > 0
-      THEN round(CAST((unit_price_cleaned - cost_cleaned) * 100 / unit_price_cleaned AS DECIMAL(38,6)), 2) END AS DOUBLE) AS margin_percent,
+      THEN round(CAST(CAST(({cents('unit_price_cleaned')} - {cents('cost_cleaned')}) * 100 AS DOUBLE) / {cents('unit_price_cleaned')} AS DECIMAL(38,6)), 2) END AS DOUBLE) AS margin_percent,
     CASE WHEN unit_price_cleaned IS NOT NULL AND cost_cleaned IS NOT NULL THEN cost_cleaned <= unit_price_cleaned END AS price_cost_valid
   FROM products_c1),
 customer_dim AS ({dedup_first('customers_clean', 'customer_id', ['customer_id', 'name_cleaned', 'segment_cleaned', 'join_date_cleaned', 'data_quality_score'])}),
@@ -267,7 +293,7 @@ completed AS (
   SELECT order_id, customer_id, order_date_cleaned, order_year, order_month, total_amount_cleaned
   FROM orders_clean WHERE is_valid_order = 1 AND status_cleaned = 'completed'),
 customer_months AS (
-  SELECT customer_id, order_year, order_month, CAST(sum(total_amount_cleaned) AS DECIMAL(38,2)) AS revenue,
+  SELECT customer_id, order_year, order_month, {money_sum('total_amount_cleaned')} AS revenue,
     count(*) AS orders, max(order_date_cleaned) AS last_order_date
   FROM completed GROUP BY ALL),
 named_months AS (
@@ -301,7 +327,7 @@ order_events AS (
     CAST(ts AS DATE) AS order_date,
     CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'pending'
       WHEN 'view' THEN 'shipped' WHEN 'signup' THEN 'refunded' END AS status,
-    CAST(value AS DECIMAL(18,2)) AS total_amount, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+    value AS total_amount, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events),
 events_enriched AS (
   SELECT *, CASE WHEN status = 'completed' THEN 1 ELSE 0 END AS is_completed,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.operators import analytics as A
 from basketry.operators import model as M
 from basketry.plans.context import RetailContext
-from basketry.plans.oracle import RULES, avg2, with_base
+from basketry.plans.oracle import RULES, avg2, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 
 
@@ -17,8 +17,8 @@ def ctx(spark: SparkSession, sf_dir: str) -> RetailContext:
 
 
 # ------------------------------------------------------------------ F2
-@register("monthly_revenue", with_base("""
-SELECT order_year, order_month, CAST(CAST(sum(total_amount_cleaned) AS DECIMAL(38,2)) AS DOUBLE) AS monthly_revenue
+@register("monthly_revenue", with_base(f"""
+SELECT order_year, order_month, CAST({money_sum('total_amount_cleaned')} AS DOUBLE) AS monthly_revenue
 FROM completed GROUP BY order_year, order_month ORDER BY order_year, order_month"""))
 def q_monthly_revenue(spark, sf_dir):
     return A.monthly_revenue(ctx(spark, sf_dir).orders_clean)
@@ -44,8 +44,8 @@ def q_gold(spark, sf_dir):
 SELECT p.customer_id, CAST(p.total_orders AS BIGINT) AS total_orders, CAST(p.rev AS DOUBLE) AS total_revenue,
   CAST(round(p.avg_dec, 2) AS DOUBLE) AS avg_order_value, d.join_date_cleaned AS join_date, d.segment_cleaned AS segment,
   CAST(date_diff('day', d.join_date_cleaned, (SELECT as_of FROM as_of_t)) AS BIGINT) AS tenure_days
-FROM (SELECT customer_id, count(order_id) AS total_orders, CAST(sum(total_amount_cleaned) AS DECIMAL(38,2)) AS rev,
-        CAST(avg(total_amount_cleaned) AS DECIMAL(38,6)) AS avg_dec FROM completed GROUP BY customer_id) p
+FROM (SELECT customer_id, count(order_id) AS total_orders, {money_sum('total_amount_cleaned')} AS rev,
+        CAST({money_sum('total_amount_cleaned')} / count(order_id) AS DECIMAL(38,6)) AS avg_dec FROM completed GROUP BY customer_id) p
 JOIN (SELECT * FROM customer_dim WHERE customer_id IS NOT NULL) d USING (customer_id)"""))
 def q_customer_metrics(spark, sf_dir):
     c = ctx(spark, sf_dir)
@@ -53,9 +53,9 @@ def q_customer_metrics(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ H1
-@register("top_customers", with_base("""
+@register("top_customers", with_base(f"""
 SELECT customer_id, CAST(rev AS DOUBLE) AS total_revenue, CAST(n AS BIGINT) AS total_orders
-FROM (SELECT customer_id, count(*) AS n, CAST(sum(total_amount_cleaned) AS DECIMAL(38,2)) AS rev FROM completed
+FROM (SELECT customer_id, count(*) AS n, {money_sum('total_amount_cleaned')} AS rev FROM completed
       WHERE customer_id IN (SELECT customer_id FROM customer_dim) GROUP BY customer_id)
 ORDER BY total_revenue DESC, customer_id LIMIT 10"""))
 def q_top_customers(spark, sf_dir):
@@ -105,7 +105,7 @@ def q_status_distribution(spark, sf_dir):
 
 # ------------------------------------------------------------------ E3 + F5
 @register("category_performance", with_base("""
-SELECT product_category, CAST(round(sum(line_total), 2) AS DOUBLE) AS category_revenue, CAST(sum(quantity) AS BIGINT) AS units_sold
+SELECT product_category, CAST(((sum(CAST(round(line_total * 1000000) AS BIGINT)) + 5000) // 10000) AS DOUBLE) / 100.0 AS category_revenue, CAST(sum(quantity) AS BIGINT) AS units_sold
 FROM fact WHERE is_completed = 1 GROUP BY 1 ORDER BY category_revenue DESC, product_category"""))
 def q_category_performance(spark, sf_dir):
     c = ctx(spark, sf_dir)
@@ -125,14 +125,14 @@ def q_fact_enhanced(spark, sf_dir):
 @register("overall_revenue", with_base(f"""
 SELECT CAST(rev AS DOUBLE) AS total_revenue, CAST(n AS BIGINT) AS total_orders,
   CASE WHEN n > 0 THEN {avg2('rev', 'n')} END AS avg_order_value
-FROM (SELECT CAST(sum(total_amount_cleaned) AS DECIMAL(38,2)) AS rev, count(*) AS n FROM completed)"""))
+FROM (SELECT {money_sum('total_amount_cleaned')} AS rev, count(*) AS n FROM completed)"""))
 def q_overall_revenue(spark, sf_dir):
     return A.overall_revenue(ctx(spark, sf_dir).orders_clean)
 
 
 # ------------------------------------------------------------------ G1 / L2
-ANOMALY_CTE = """
-monthly AS (SELECT order_year, order_month, CAST(CAST(sum(total_amount_cleaned) AS DECIMAL(38,2)) AS DOUBLE) AS monthly_revenue
+ANOMALY_CTE = f"""
+monthly AS (SELECT order_year, order_month, CAST({money_sum('total_amount_cleaned')} AS DOUBLE) AS monthly_revenue
             FROM completed GROUP BY 1, 2),
 lagged AS (SELECT *, lag(monthly_revenue) OVER (ORDER BY order_year, order_month) AS prev_month_revenue,
                   lag(order_year * 12 + order_month) OVER (ORDER BY order_year, order_month) AS prev_idx FROM monthly)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import fraud as FR
 from basketry.plans.context import RetailContext
-from basketry.plans.oracle import RULES, with_base
+from basketry.plans.oracle import RULES, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 
 FR_RULES = RULES.fraud
@@ -107,7 +107,7 @@ def q_fraud_stream_rules(spark, sf_dir):
 
 
 @register("fraud_summary", with_base(f"""
-SELECT count(*) AS alerts, count_if(s >= 5) AS high_risk, CAST(sum(total_amount) AS DOUBLE) AS flagged_amount,
+SELECT count(*) AS alerts, count_if(s >= 5) AS high_risk, CAST({money_sum('total_amount')} AS DOUBLE) AS flagged_amount,
   CAST(round(CAST(avg(CAST(s AS DECIMAL(20,0))) AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_score, max(s) AS max_score
 FROM (SELECT total_amount, CAST({_samt} + {_sstat} AS BIGINT) AS s FROM events_enriched WHERE is_valid_order = 1)
 WHERE s >= {SF_RULES.flag_at}"""))

@@ -83,7 +83,7 @@ def q_bronze_roundtrip(spark, sf_dir):
 
 
 SILVER_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("status_cleaned", T.StringType()),
-                              T.StructField("total_amount_cleaned", T.DecimalType(18, 2)),
+                              T.StructField("total_amount_cleaned", T.DoubleType()),
                               T.StructField("order_year", T.LongType()), T.StructField("order_month", T.LongType())])
 
 

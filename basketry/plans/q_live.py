@@ -7,7 +7,7 @@ from basketry.operators import live as L
 from basketry.operators import model as M
 from basketry.operators import msglog as ML
 from basketry.plans.context import RetailContext
-from basketry.plans.oracle import avg2, with_base
+from basketry.plans.oracle import avg2, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 from basketry.sources import retail
 
@@ -29,10 +29,10 @@ LATEST = "(SELECT max(event_time) FROM events_enriched)"
 
 # ------------------------------------------------------------------ M1, M2, M4, M5, M7
 @register("live_kpis", with_base(f"""
-SELECT count(*) AS total_orders, CAST(CAST(sum(total_amount) AS DECIMAL(38,2)) AS DOUBLE) AS total_revenue,
+SELECT count(*) AS total_orders, CAST({money_sum('total_amount')} AS DOUBLE) AS total_revenue,
   count_if(event_time >= {LATEST} - INTERVAL 60 MINUTE) AS recent_orders,
-  CAST(coalesce(CAST(sum(total_amount) FILTER (WHERE event_time >= {LATEST} - INTERVAL 60 MINUTE) AS DECIMAL(38,2)), 0) AS DOUBLE) AS recent_revenue,
-  CASE WHEN count(*) > 0 THEN {avg2('CAST(sum(total_amount) AS DECIMAL(38,2))', 'count(*)')} ELSE 0.0 END AS avg_order_value,
+  CAST(coalesce({money_sum(f"CASE WHEN event_time >= {LATEST} - INTERVAL 60 MINUTE THEN total_amount END")}, 0) AS DOUBLE) AS recent_revenue,
+  CASE WHEN count(*) > 0 THEN {avg2(money_sum('total_amount'), 'count(*)')} ELSE 0.0 END AS avg_order_value,
   count(DISTINCT customer_id) AS unique_customers, count_if(status = 'completed') AS completed_orders,
   CAST(CASE WHEN count(*) > 0 THEN round(CAST(CAST(count_if(status = 'completed') AS DECIMAL(20,0)) * 100 / count(*) AS DECIMAL(38,6)), 2)
        ELSE 0 END AS DOUBLE) AS completion_rate
@@ -43,7 +43,7 @@ def q_live_kpis(spark, sf_dir):
 
 @register("orders_5min", with_base(f"""
 SELECT time_bucket(INTERVAL 5 MINUTE, event_time) AS bucket_start, count(*) AS orders,
-  CAST(CAST(sum(total_amount) AS DECIMAL(38,2)) AS DOUBLE) AS revenue
+  CAST({money_sum('total_amount')} AS DOUBLE) AS revenue
 FROM events_enriched WHERE event_time >= {LATEST} - INTERVAL 120 MINUTE GROUP BY 1"""))
 def q_orders_5min(spark, sf_dir):
     return L.orders_per_bucket(events(ctx(spark, sf_dir)), "5 minutes", 120)
@@ -123,14 +123,14 @@ def q_customer_segment_counts(spark, sf_dir):
 
 @register("item_kpis", with_base("""
 SELECT count(*) AS item_rows, count(DISTINCT order_id) AS unique_orders, CAST(sum(quantity_cleaned) AS BIGINT) AS total_quantity,
-  CAST(sum(line_total_calculated) AS DOUBLE) AS total_value FROM items_clean"""))
+  CAST(sum(CAST(round(line_total_calculated * 1000000) AS BIGINT)) AS DOUBLE) / 1000000.0 AS total_value FROM items_clean"""))
 def q_item_kpis(spark, sf_dir):
     return L.item_kpis(ctx(spark, sf_dir).items_clean)
 
 
-@register("category_stats", with_base("""
+@register("category_stats", with_base(f"""
 SELECT p.category_cleaned AS category, CAST(sum(i.quantity_cleaned) AS BIGINT) AS units,
-  CAST(CAST(sum(i.price_cleaned) AS DECIMAL(38,2)) AS DOUBLE) AS price_sum, count(*) AS items
+  CAST({money_sum('i.price_cleaned')} AS DOUBLE) AS price_sum, count(*) AS items
 FROM items_clean i LEFT JOIN product_dim p USING (product_id) GROUP BY 1"""))
 def q_category_stats(spark, sf_dir):
     c = ctx(spark, sf_dir)

@@ -78,7 +78,7 @@ def q_kafka_decode(spark, sf_dir):
 @register("stream_enrich", ENRICHED)
 def q_stream_enrich(spark, sf_dir):
     return decimals_to_double(batch_orders(spark, landed(spark, sf_dir)).select(
-        "order_id", "customer_id", "status", F.col("total_amount").cast("decimal(18,2)"), *ENRICH_COLS[4:]))
+        "order_id", "customer_id", "status", "total_amount", *ENRICH_COLS[4:]))
 
 
 _WIN_AGG = ("count(*) AS order_count, CAST(CAST(sum(a) AS DECIMAL(38,2)) AS DOUBLE) AS total_revenue, "
@@ -130,8 +130,7 @@ SELECT order_id, customer_id, order_timestamp, CAST(a AS DOUBLE) AS total_amount
 def q_stream_fraud(spark, sf_dir):
     path, out = landed(spark, sf_dir), shared_dir(spark, "fraud")
     orders = S.enrich_stream(S.route_events(S.read_event_files(spark, path), "order"))
-    scored = FR.stream_fraud(orders.withColumn("total_amount", F.col("total_amount").cast("decimal(18,2)")),
-                             RULES.stream_fraud)
+    scored = FR.stream_fraud(orders, RULES.stream_fraud)
     S.await_all(spark, [S.to_parquet(scored, out, shared_dir(spark, "ck"))])
     return decimals_to_double(spark.read.parquet(out))
 
@@ -170,7 +169,7 @@ def q_stream_silver(spark, sf_dir):
     S.await_all(spark, [S.to_silver(orders, f"{root}/orders", f"{root}/orders_invalid_dates", f"{root}/_ck")])
     both = LY.silver_union(spark, f"{root}/orders", f"{root}/orders_invalid_dates")
     return decimals_to_double(both.select("order_id", "customer_id", "status",
-                                          F.col("total_amount").cast("decimal(18,2)"), *ENRICH_COLS[4:]))
+                                          "total_amount", *ENRICH_COLS[4:]))
 
 
 @register("stream_medallion", note="end-to-end: Bronze ingest, Silver route, windowed revenue, fraud")

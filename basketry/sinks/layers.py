@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+MONEY = T.DoubleType()
 _L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
 
 
@@ -25,7 +25,7 @@ ORDERS_SCHEMA = _schema(("order_id", _L), ("customer_id", _L), ("order_date", _S
 CUSTOMERS_SCHEMA = _schema(("customer_id", _L), ("name", _S), ("email", _S), ("join_date", _S), ("segment", _S),
                            ("phone", _S), ("age", _L), ("marketing_opt_in", _S))
 ITEMS_SCHEMA = _schema(("item_id", _L), ("order_id", _L), ("product_id", _L), ("quantity", _L), ("price", MONEY),
-                       ("discount_percent", T.DecimalType(9, 2)), ("tax_amount", MONEY), ("line_total", MONEY))
+                       ("discount_percent", _D), ("tax_amount", MONEY), ("line_total", MONEY))
 PRODUCTS_SCHEMA = _schema(("product_id", _L), ("product_name", _S), ("category", _S), ("subcategory", _S),
                           ("unit_price", MONEY), ("cost", MONEY), ("is_active", _S), ("created_date", _S),
                           ("weight_kg", _D))

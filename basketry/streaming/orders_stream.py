@@ -28,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basketry.functions import cleaning as C
+from basketry.functions import money
 from basketry.operators.cleaning import valid_order
 
 # Wide event schema: order events and order-item events share the landing
@@ -163,12 +164,14 @@ def windowed_revenue(orders: DataFrame, window: str = "1 minute", slide: str | N
         src = src.withWatermark("event_time", watermark)
     w = F.window("event_time", window, slide) if slide else F.window("event_time", window)
     customers = F.countDistinct("customer_id") if exact_customers else F.approx_count_distinct("customer_id")
-    amount = F.col("total_amount").cast(T.DecimalType(18, 2))  # exact sums, any arrival order
+    # exact cent sums: the result does not depend on arrival order or batching
     return (src.groupBy(w.alias("w"), "status")
             .agg(F.count("order_id").cast("long").alias("order_count"),
-                 F.sum(amount).cast("double").alias("total_revenue"),
-                 F.avg(amount).cast("double").alias("avg_order_value"),
+                 money.sum_cents("total_amount").alias("total_c"),
                  customers.cast("long").alias("unique_customers"))
+            .withColumns({"total_revenue": money.from_cents("total_c"),
+                          "avg_order_value": (money.cents_to_decimal("total_c") / F.col("order_count"))
+                          .cast(money.AVG_DEC).cast("double")})
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status",
                     "order_count", "total_revenue", "avg_order_value", "unique_customers"))
 
@@ -301,8 +304,7 @@ def run_medallion(spark: SparkSession, landing: str, root: str, window: str = "1
     q_silver = to_silver(orders, paths["silver"], paths["silver_invalid_dates"], f"{ck}/silver", available_now)
     q_rev = to_parquet(windowed_revenue(orders, window, None, watermark), paths["revenue_by_window"],
                        f"{ck}/revenue", "append", available_now)
-    q_fraud = to_parquet(stream_fraud(orders.withColumn("total_amount", F.col("total_amount").cast("decimal(18,2)")),
-                                      fraud_rules or StreamFraudRules()),
+    q_fraud = to_parquet(stream_fraud(orders, fraud_rules or StreamFraudRules()),
                          paths["fraud"], f"{ck}/fraud", "append", available_now)
     if available_now:
         await_all(spark, [q_silver, q_rev, q_fraud])

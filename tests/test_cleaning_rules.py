@@ -1,6 +1,5 @@
 """Column rules on literal frames holding the dirty values the feeds carry."""
 import datetime as dt
-from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -91,26 +90,30 @@ def test_category_and_product_name(spark):
 
 
 def test_items_line_totals(spark):
-    rows = [(1, 10, 5, 2, Decimal("10.00"), Decimal("10.00"), Decimal("1.00"), Decimal("19.00")),
-            (2, 10, 5, 2, Decimal("10.00"), None, None, Decimal("25.00")),
-            (3, 10, 5, 0, Decimal("10.00"), Decimal("10.00"), None, None),
-            (4, 10, 5, 3, Decimal("-1.00"), Decimal("150.00"), None, Decimal("1.00"))]
-    df = spark.createDataFrame(rows, "item_id long, order_id long, product_id long, quantity long, price decimal(18,2), "
-                                     "discount_percent decimal(9,2), tax_amount decimal(18,2), line_total decimal(18,2)")
+    rows = [(1, 10, 5, 2, 10.0, 10.0, 1.0, 19.0),
+            (2, 10, 5, 2, 10.0, None, None, 25.0),
+            (3, 10, 5, 0, 10.0, 10.0, None, None),
+            (4, 10, 5, 3, -1.0, 150.0, None, 1.0),
+            (5, 10, 5, 3, 19.99, 12.5, 0.07, 52.54)]
+    df = spark.createDataFrame(rows, "item_id long, order_id long, product_id long, quantity long, price double, "
+                                     "discount_percent double, tax_amount double, line_total double")
     out = {r.item_id: r for r in CL.clean_items(df).collect()}
-    assert out[1].line_total_calculated == Decimal("19.000000") and out[1].calculation_matches is True
-    assert out[2].discount_amount_calculated == 0 and out[2].line_total_calculated == Decimal("20.000000")
+    assert out[1].line_total_calculated == 19.0 and out[1].calculation_matches is True
+    assert out[2].discount_amount_calculated == 0.0 and out[2].line_total_calculated == 20.0
     assert out[2].calculation_matches is False
     assert out[3].quantity_cleaned is None and out[3].line_total_calculated is None and out[3].calculation_matches is False
     assert out[4].price_cleaned is None and out[4].discount_percent_cleaned is None
+    # 3 x 19.99 = 59.97; 12.5 % = 7.49625; + 0.07 -> 52.54375 (exact, not 52.543749999...)
+    assert out[5].subtotal_calculated == 59.97 and out[5].discount_amount_calculated == 7.49625
+    assert out[5].line_total_calculated == 52.54375 and out[5].calculation_matches is True
 
 
 def test_products_margin(spark):
-    rows = [(1, "a", "book", "b", Decimal("100.00"), Decimal("60.00"), "yes", "2020-01-01", 1.0),
-            (2, "b", "x", "b", Decimal("0.00"), Decimal("1.00"), "0", "bad", 2000.0),
-            (3, "c", "x", "b", Decimal("50.00"), Decimal("80.00"), None, None, None)]
+    rows = [(1, "a", "book", "b", 100.0, 60.0, "yes", "2020-01-01", 1.0),
+            (2, "b", "x", "b", 0.0, 1.0, "0", "bad", 2000.0),
+            (3, "c", "x", "b", 50.0, 80.0, None, None, None)]
     df = spark.createDataFrame(rows, "product_id long, product_name string, category string, subcategory string, "
-                                     "unit_price decimal(18,2), cost decimal(18,2), is_active string, created_date string, "
+                                     "unit_price double, cost double, is_active string, created_date string, "
                                      "weight_kg double")
     out = {r.product_id: r for r in CL.clean_products(df).collect()}
     assert out[1].margin_percent == 40.0 and out[1].price_cost_valid is True and out[1].category_cleaned == "Books"

@@ -10,20 +10,20 @@ from basketry.operators import analytics as A
 from basketry.operators import cleaning as CL
 from basketry.operators import model as M
 
-ORDERS = "order_id long, customer_id long, order_date string, status string, total_amount decimal(18,2), source_system string"
+ORDERS = "order_id long, customer_id long, order_date string, status string, total_amount double, source_system string"
 CUSTOMERS = ("customer_id long, name string, email string, join_date string, segment string, phone string, age long, "
              "marketing_opt_in string")
 
 
 def orders_customers(spark):
     orders = spark.createDataFrame([
-        (1, 101, "2024-01-10", "completed", Decimal("100.00"), "web"),
-        (1, 101, "2024-01-10", "Completed", Decimal("100.00"), "replay"),   # re-delivered
-        (2, 101, "01/20/2024", "COMPLETE", Decimal("300.00"), "web"),
-        (3, 102, "2024-02-05", "completed", Decimal("50.00"), "web"),
-        (4, 102, "2024-02-06", "pending", Decimal("70.00"), "web"),
-        (5, None, "2024-02-07", "completed", Decimal("10.00"), "web"),       # no customer -> invalid
-        (6, 103, "2024-13-45", "completed", Decimal("10.00"), "web"),       # bad date -> invalid
+        (1, 101, "2024-01-10", "completed", 100.0, "web"),
+        (1, 101, "2024-01-10", "Completed", 100.0, "replay"),   # re-delivered
+        (2, 101, "01/20/2024", "COMPLETE", 300.0, "web"),
+        (3, 102, "2024-02-05", "completed", 50.0, "web"),
+        (4, 102, "2024-02-06", "pending", 70.0, "web"),
+        (5, None, "2024-02-07", "completed", 10.0, "web"),       # no customer -> invalid
+        (6, 103, "2024-13-45", "completed", 10.0, "web"),       # bad date -> invalid
     ], ORDERS)
     customers = spark.createDataFrame([
         (101, "Ann", "ann@x.com", "2023-01-01", "VIP", None, 30, "Y"),

@@ -1,7 +1,6 @@
 """Quality reports, duplicate flags, fraud scoring - against brute force."""
 import datetime as dt
 import random
-from decimal import Decimal
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -76,9 +75,9 @@ def test_orders_in_last_hour_matches_brute_force(spark):
 def test_fraud_golden_case(spark):
     """Order 208 of the exported run: 2200, same-day repeat, qty 14 -> 7, High, Velocity + High Value."""
     orders = spark.createDataFrame([
-        (207, 150, dt.date(2024, 1, 15), Decimal("900.00"), 1),
-        (208, 150, dt.date(2024, 1, 15), Decimal("2200.00"), 1)],
-        "order_id long, customer_id long, order_date_cleaned date, total_amount_cleaned decimal(18,2), is_valid_order int")
+        (207, 150, dt.date(2024, 1, 15), 900.0, 1),
+        (208, 150, dt.date(2024, 1, 15), 2200.0, 1)],
+        "order_id long, customer_id long, order_date_cleaned date, total_amount_cleaned double, is_valid_order int")
     items = spark.createDataFrame([(1, 208, 14), (2, 207, 1)], "item_id long, order_id long, quantity_cleaned long")
     r = {x.order_id: x for x in FR.fraud_orders(orders, items, FraudRules(), keep_all=True).collect()}[208]
     assert (r.fraud_score, r.risk_level, r.fraud_type, r.total_quantity, r.max_item_quantity) == \
@@ -87,10 +86,10 @@ def test_fraud_golden_case(spark):
 
 def test_alert_reasons(spark):
     ev = spark.createDataFrame([
-        (1, 1, dt.datetime(2024, 1, 1), "cancelled", Decimal("6000.00"), 1),
-        (2, 1, dt.datetime(2024, 1, 1), "completed", Decimal("2500.00"), 1),
-        (3, 1, dt.datetime(2024, 1, 1), "refunded", Decimal("2500.00"), 1)],
-        "order_id long, customer_id long, event_time timestamp, status string, total_amount decimal(18,2), is_valid_order int")
+        (1, 1, dt.datetime(2024, 1, 1), "cancelled", 6000.0, 1),
+        (2, 1, dt.datetime(2024, 1, 1), "completed", 2500.0, 1),
+        (3, 1, dt.datetime(2024, 1, 1), "refunded", 2500.0, 1)],
+        "order_id long, customer_id long, event_time timestamp, status string, total_amount double, is_valid_order int")
     alerts = {r.order_id: r for r in FR.fraud_alerts(ev).collect()}
     assert set(alerts) == {1, 3}
     assert alerts[1].reasons == ["High transaction amount", "Suspicious order status"]
