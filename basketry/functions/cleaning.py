@@ -57,10 +57,27 @@ def clean_email(c: str | Column = "email") -> Column:
     return F.when(bad, F.lit(None).cast("string")).otherwise(F.lower(F.trim(c)))
 
 
+# Cheap shape tests run before each parse attempt.  Each is a superset of the
+# text its layout can parse, so results are unchanged; they only spare the
+# parser attempts that would fail (a failed attempt costs a JVM exception).
+_SHAPES = {
+    "yyyy-MM-dd": r"^\s*[+-]?\d+-\d+-\d+\s*$",
+    "MM/dd/yyyy": r"^\s*\d+/\d+/[+-]?\d+\s*$",
+    "dd-MM-yyyy": r"^\s*\d+-\d+-[+-]?\d+\s*$",
+    "yyyyMMdd": r"^\s*[+-]?\d+\s*$",
+    "MMMM dd, yyyy": r"^\s*[A-Za-z]+\s+\d+,\s*[+-]?\d+\s*$",
+    "yyyy/MM/dd": r"^\s*[+-]?\d+/\d+/\d+\s*$",
+}
+
+
 def parse_date(c: str | Column, formats: list[str] | None = None) -> Column:
     """First format that parses wins; unparseable text becomes null."""
     c = _c(c)
-    return F.coalesce(*[F.try_to_date(c, f) for f in (formats or V.DATE_FORMATS)])
+    tries = []
+    for f in formats or V.DATE_FORMATS:
+        attempt = F.try_to_date(c, f)
+        tries.append(F.when(c.rlike(_SHAPES[f]), attempt) if f in _SHAPES else attempt)
+    return F.coalesce(*tries)
 
 
 def clean_status(c: str | Column = "status") -> Column:

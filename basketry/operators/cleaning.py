@@ -136,19 +136,24 @@ def clean_items(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFr
         "discount_percent_cleaned": C.in_range("discount_percent", *rules.item_discount),
     })
     qty, price = F.col("quantity_cleaned"), F.col("price_cleaned")
-    sub_c = F.when(qty.isNotNull() & price.isNotNull(), qty.cast("long") * money.cents(price))
-    pct_h = F.round(F.col("discount_percent_cleaned") * 100).cast("long")           # hundredths of a percent
-    disc_u = F.when(sub_c.isNotNull() & pct_h.isNotNull(), sub_c * pct_h).otherwise(F.lit(0).cast("long"))
-    line_u = F.when(sub_c.isNotNull(), sub_c * 10000 - disc_u
-                    + F.coalesce(money.cents("tax_amount"), F.lit(0).cast("long")) * 10000)
+    # staged named columns: each intermediate is computed once per row
+    df = df.withColumns({
+        "_sub_c": F.when(qty.isNotNull() & price.isNotNull(), qty.cast("long") * money.cents(price)),
+        "_pct_h": money.nearest_long(F.col("discount_percent_cleaned") * 100),   # hundredths of a percent
+        "_tax_c": F.coalesce(money.cents("tax_amount"), F.lit(0).cast("long")),
+    })
+    sub_c = F.col("_sub_c")
+    df = df.withColumn("_disc_u", F.when(sub_c.isNotNull() & F.col("_pct_h").isNotNull(), sub_c * F.col("_pct_h"))
+                       .otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("_line_u", F.when(sub_c.isNotNull(), sub_c * 10000 - F.col("_disc_u") + F.col("_tax_c") * 10000))
     given_u = money.cents("line_total") * 10000
     return df.withColumns({
         "subtotal_calculated": money.from_cents(sub_c),
-        "discount_amount_calculated": money.from_micros(disc_u),
-        "line_total_calculated": money.from_micros(line_u),
+        "discount_amount_calculated": money.from_micros("_disc_u"),
+        "line_total_calculated": money.from_micros("_line_u"),
         "calculation_matches": F.when(F.col("line_total").isNotNull() & sub_c.isNotNull(),
-                                      F.abs(given_u - line_u) < 10000).otherwise(F.lit(False)),
-    })
+                                      F.abs(given_u - F.col("_line_u")) < 10000).otherwise(F.lit(False)),
+    }).drop("_sub_c", "_pct_h", "_tax_c", "_disc_u", "_line_u")
 
 
 def clean_products(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:

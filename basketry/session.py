@@ -29,6 +29,13 @@ SCALE_CONF = {
 }
 
 
+# JVM options for executors and the driver.  Whole-stage codegen emits one
+# large method per stage; HotSpot refuses to JIT methods over 8000 bytecodes
+# and runs them interpreted (10x+ slower).  Filters pushed through the retail
+# derivations produce such methods, so huge-method compilation is enabled.
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "basketry") -> SparkSession:
     """Return the active session, or build a local one configured for tests."""
@@ -42,6 +49,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BASKETRY_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
+        .config("spark.executor.extraJavaOptions", JVM_OPTIONS)
     )
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
