@@ -178,7 +178,11 @@ def q_stream_medallion(spark, sf_dir):
     return spark.read.parquet(paths["revenue_by_window"])
 
 
-@register("stream_velocity", note="stateful per-customer count; micro-batch arrival order dependent")
+@register("stream_velocity", """
+SELECT e.event_id AS order_id, e.user_id AS customer_id, CAST(e.ts AS TIMESTAMP) AS event_time,
+  (SELECT count(*) FROM events x WHERE x.user_id = e.user_id
+     AND floor(epoch(x.ts)) BETWEEN floor(epoch(e.ts)) - 3600 AND floor(epoch(e.ts))) AS orders_in_last_hour
+FROM events e""", note="one micro-batch here; in general arrival-order dependent")
 def q_stream_velocity(spark, sf_dir):
     path, out = landed(spark, sf_dir), shared_dir(spark, "velocity")
     orders = S.enrich_stream(S.route_events(S.read_event_files(spark, path), "order"))
