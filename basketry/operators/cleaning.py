@@ -27,9 +27,14 @@ def as_of_column(as_of) -> Column:
     return F.current_date()
 
 
-def orders_as_of(orders_clean: DataFrame) -> Column:
-    """Latest valid order date as a scalar subquery (a one-row aggregate)."""
-    return orders_clean.filter(F.col("is_valid_order") == 1).select(F.max("order_date_cleaned")).scalar()
+def orders_as_of(orders: DataFrame, rules: CleaningRules = CleaningRules()) -> Column:
+    """Latest date among valid order records, as a scalar subquery.
+
+    Computed on the order feed as delivered (no de-duplication needed: a
+    re-delivered record carries its order's date), so it is a scan with a
+    partial max - it does not repeat the de-duplication shuffle.
+    """
+    return clean_orders(orders, rules).filter(F.col("is_valid_order") == 1).select(F.max("order_date_cleaned")).scalar()
 
 
 def clean_names(df: DataFrame, column: str = "name") -> DataFrame:

@@ -62,7 +62,7 @@ class RetailContext:
 
     @cached_property
     def as_of(self) -> Column:
-        return CL.orders_as_of(self.orders_clean)
+        return CL.orders_as_of(self.raw_orders, self.rules.cleaning)
 
     @cached_property
     def customers_clean(self) -> DataFrame:

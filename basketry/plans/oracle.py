@@ -238,7 +238,11 @@ orders_clean AS (
     CASE WHEN order_id IS NOT NULL AND customer_id IS NOT NULL AND order_date_cleaned IS NOT NULL
           AND total_amount_cleaned IS NOT NULL AND total_amount_cleaned > 0 THEN 1 ELSE 0 END AS is_valid_order
   FROM orders_c1),
-as_of_t AS (SELECT max(order_date_cleaned) AS as_of FROM orders_clean WHERE is_valid_order = 1),
+as_of_t AS (
+  SELECT max(d) AS as_of FROM (
+    SELECT {parse_date('order_date')} AS d, {in_range('total_amount', C.order_amount[0], C.order_amount[1])} AS a,
+      order_id, customer_id FROM raw_orders)
+  WHERE order_id IS NOT NULL AND customer_id IS NOT NULL AND d IS NOT NULL AND a IS NOT NULL AND a > 0),
 customers_c1 AS (
   SELECT *, {clean_name('name')} AS name_cleaned, {clean_email('email')} AS email_cleaned,
     {parse_date('join_date')} AS join_date_cleaned, {clean_segment('segment')} AS segment_cleaned,
