@@ -25,10 +25,6 @@ def ctx(spark, sf_dir):
     return RetailContext(spark, sf_dir)
 
 
-def _raw_files(spark, sf_dir):
-    c = ctx(spark, sf_dir)
-    return LY.write_raw_files(shared_dir(spark, "raw"), c.raw_orders, c.raw_customers, c.raw_items, c.raw_products)
-
 
 @register("scan_csv_orders", with_base("SELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount) FROM raw_orders"))
 def q_scan_csv_orders(spark, sf_dir):

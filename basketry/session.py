@@ -25,7 +25,7 @@ SCALE_CONF = {
     # estimates (compressed file sizes understate rows); AQE converts a join
     # to a broadcast once the shuffled side's actual size is known
     "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",

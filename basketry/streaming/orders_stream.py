@@ -18,10 +18,12 @@ Design
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,10 @@ from basketry.functions import cleaning as C
 from basketry.functions import money
 from basketry.operators.cleaning import valid_order
 
+# The stateful function below runs in Python workers; shipping this module's
+# functions by value means executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Wide event schema: order events and order-item events share the landing
 # directory and are told apart by ``event_type``.
 EVENT_SCHEMA = T.StructType([
