@@ -135,7 +135,15 @@ def q_stream_fraud(spark, sf_dir):
     return decimals_to_double(spark.read.parquet(out))
 
 
-@register("stream_revenue_by_window", note="approx_count_distinct on a stream; batch twin is revenue_by_window")
+CLOSED_WINDOWS = f"""
+SELECT time_bucket(INTERVAL 1 MINUTE, t) AS window_start, time_bucket(INTERVAL 1 MINUTE, t) + INTERVAL 1 MINUTE AS window_end,
+  'completed' AS status, {_WIN_AGG}
+FROM {_COMPLETED} GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 MINUTE, t) + INTERVAL 1 MINUTE <= (SELECT max(t) FROM {_COMPLETED}) - INTERVAL 10 MINUTE"""
+
+
+@register("stream_revenue_by_window", CLOSED_WINDOWS,
+          note="append mode emits windows closed by the 10-minute watermark")
 def q_stream_revenue(spark, sf_dir):
     path, out = landed(spark, sf_dir), shared_dir(spark, "revenue")
     orders = S.enrich_stream(S.route_events(S.read_event_files(spark, path, max_files_per_trigger=None), "order"))
@@ -144,15 +152,28 @@ def q_stream_revenue(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ K5 late data
-@register("late_data_append", note="second wave arrives behind the watermark and is dropped")
+_MID = "make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)"
+_WAVE1 = (f"(SELECT CAST(ts AS TIMESTAMP) AS t, user_id AS customer_id, CAST(value AS DECIMAL(18,2)) AS a FROM events "
+          f"WHERE event_type = 'purchase' AND value > 0 AND ts >= (SELECT {_MID} FROM events))")
+
+
+@register("late_data_append", f"""
+SELECT time_bucket(INTERVAL 1 MINUTE, t) AS window_start, time_bucket(INTERVAL 1 MINUTE, t) + INTERVAL 1 MINUTE AS window_end,
+  'completed' AS status, {_WIN_AGG}
+FROM {_WAVE1} GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 MINUTE, t) + INTERVAL 1 MINUTE <= (SELECT max(t) FROM {_WAVE1}) - INTERVAL 10 MINUTE""",
+          note="the older second wave arrives behind the watermark and is dropped")
 def q_late_data(spark, sf_dir):
-    """K5: land the newer half of the events, run; land the older half, run again
-    from the same checkpoint.  The old rows are behind the watermark: append
-    mode drops them instead of reopening closed windows."""
+    """K5: land the newer half of the events (split at the time midpoint), run;
+    land the older half, run again from the same checkpoint.  The old rows are
+    behind the watermark: append mode drops them instead of reopening closed
+    windows, so the output holds the first wave's closed windows only."""
     ev = read_table(spark, sf_dir, "events")
-    mid = ev.select(F.percentile_approx("ts", 0.5)).scalar()
+    mid = ev.select(F.timestamp_micros(F.expr("(min(unix_micros(CAST(ts AS TIMESTAMP))) + "
+                                              "max(unix_micros(CAST(ts AS TIMESTAMP)))) div 2"))).scalar()
     landing, out, ck = shared_dir(spark, "late_landing"), shared_dir(spark, "late_out"), shared_dir(spark, "ck")
-    waves = [ev.filter(F.col("ts") >= mid), ev.filter(F.col("ts") < mid)]
+    t = F.col("ts").cast("timestamp")
+    waves = [ev.filter(t >= mid), ev.filter(t < mid)]
     for i, wave in enumerate(waves):
         S.land_events(wave, f"{landing}/wave={i}")
         orders = S.enrich_stream(S.route_events(
@@ -172,7 +193,7 @@ def q_stream_silver(spark, sf_dir):
                                           "total_amount", *ENRICH_COLS[4:]))
 
 
-@register("stream_medallion", note="end-to-end: Bronze ingest, Silver route, windowed revenue, fraud")
+@register("stream_medallion", CLOSED_WINDOWS, note="end-to-end: Bronze ingest, Silver route, windowed revenue, fraud")
 def q_stream_medallion(spark, sf_dir):
     paths = S.run_medallion(spark, landed(spark, sf_dir), shared_dir(spark, "medallion"), fraud_rules=RULES.stream_fraud)
     return spark.read.parquet(paths["revenue_by_window"])
