@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+# FIXED VALUES: the dataclass defaults below are the rule book's thresholds,
+# points and labels, kept verbatim and in the order the rules test them.
+
 
 @dataclass(frozen=True)
 class CleaningRules:

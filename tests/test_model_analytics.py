@@ -75,7 +75,7 @@ def test_customer_metrics_and_top(spark):
     assert [r.customer_id for r in top] == [101]
 
 
-def test_revenue_anomalies_reference_case(spark):
+def test_revenue_anomalies_rule_book_case(spark):
     monthly = spark.createDataFrame([(2024, m, float(v)) for m, v in
                                      zip(range(1, 6), [10000, 12000, 11500, 80000, 13000])],
                                     "order_year long, order_month long, monthly_revenue double")
