@@ -75,3 +75,23 @@ class RetailContext:
     @cached_property
     def products_clean(self) -> DataFrame:
         return CL.clean_products(self.raw_products, self.rules.cleaning)
+
+
+_CONTEXTS: dict[tuple[str, str], RetailContext] = {}
+
+
+def context(spark: SparkSession, sf_dir: str) -> RetailContext:
+    """The RetailContext of (Spark application, data directory), built once.
+
+    DataFrames are immutable, lazy plans, so queries of one application can
+    share them; this only saves driver-side plan construction (hundreds of
+    Py4J calls and eager analyses per frame).  Nothing is cached as data.
+    The file listing is taken when a frame is first built, so this is for
+    inputs that do not change while the application runs (like the driver
+    tables); build a fresh ``RetailContext`` for a directory being appended to.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = RetailContext(spark, sf_dir)
+    return _CONTEXTS[key]
+

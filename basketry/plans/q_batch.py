@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from basketry.operators import analytics as A
 from basketry.operators import model as M
-from basketry.plans.context import RetailContext
+from basketry.plans.context import RetailContext, context
 from basketry.plans.oracle import RULES, avg2, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> RetailContext:
-    return RetailContext(spark, sf_dir)
+    return context(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ F2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.operators import fraud as FR
-from basketry.plans.context import RetailContext
+from basketry.plans.context import RetailContext, context
 from basketry.plans.oracle import RULES, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 
@@ -14,7 +14,7 @@ SF_RULES = RULES.stream_fraud
 
 
 def ctx(spark, sf_dir):
-    return RetailContext(spark, sf_dir)
+    return context(spark, sf_dir)
 
 
 def events(c: RetailContext):

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from basketry.operators import quality as Q
 from basketry.operators.model import dedup_keep_first
-from basketry.plans.context import RetailContext
+from basketry.plans.context import RetailContext, context
 from basketry.plans.oracle import with_base
 from basketry.plans.registry import decimals_to_double, register
 from basketry.sources.tables import read_table
 
 
 def ctx(spark, sf_dir):
-    return RetailContext(spark, sf_dir)
+    return context(spark, sf_dir)
 
 
 # raw table -> (column, is_text) in column order (for the SQL oracle)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import fraud as FR
 from basketry.operators import msglog as ML
-from basketry.plans.context import RetailContext
+from basketry.plans.context import RetailContext, context
 from basketry.plans.oracle import RULES
 from basketry.plans.registry import decimals_to_double, register
 from basketry.session import shared_dir
@@ -69,7 +69,7 @@ def q_stream_file_source(spark, sf_dir):
 SELECT CAST(user_id AS VARCHAR) AS message_key, event_id AS order_id, user_id AS customer_id, value AS total_amount,
   event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def q_kafka_decode(spark, sf_dir):
-    c = RetailContext(spark, sf_dir)
+    c = context(spark, sf_dir)
     raw = c.message_log.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
     return S.decode_kafka(raw, ML.ORDER_PAYLOAD)
 
