@@ -65,8 +65,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     projection followed by a partial aggregation, so it scales with the data.
     """
     x = F.col(column).cast("double")
-    lo = df.select(F.min(x)).scalar()
-    hi = df.select(F.max(x)).scalar()
+    bounds = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()  # one pass for both
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = hi - lo
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / width * F.lit(bins)), F.lit(bins - 1))).cast("long")
