@@ -140,9 +140,9 @@ raw_orders_base AS (
     {pick(f'{_o} % 3', ["'web'", "'mobile'", "'store'"])} AS source_system
   FROM orders),
 raw_orders AS (
-  SELECT * FROM raw_orders_base
-  UNION ALL
-  SELECT order_id, customer_id, order_date, 'completed', total_amount, 'replay' FROM raw_orders_base WHERE order_id % 211 = 5)"""
+  SELECT order_id, customer_id, order_date, CASE WHEN _copy = 1 THEN 'completed' ELSE status END AS status, total_amount,
+    CASE WHEN _copy = 1 THEN 'replay' ELSE source_system END AS source_system
+  FROM (SELECT *, unnest(CASE WHEN order_id % 211 = 5 THEN [0, 1] ELSE [0] END) AS _copy FROM raw_orders_base))"""
 
 _k = "c_custkey"
 _good = "lower(replace(c_name, '#', '.')) || '@example.com'"
@@ -168,11 +168,12 @@ raw_customers_base AS (
     {pick(f'{_k} % 12', ["'True'", "'False'", "'Yes'", "'No'", "'Y'", "'N'", "'1'", "'0'", "'Active'", "'Inactive'", "''", 'NULL'])} AS marketing_opt_in
   FROM customer),
 raw_customers AS (
-  SELECT * FROM raw_customers_base
-  UNION ALL
-  SELECT customer_id, upper(name), email, join_date, 'Gold', phone, age, marketing_opt_in FROM raw_customers_base WHERE customer_id % 97 = 1
-  UNION ALL
-  SELECT NULL, name, email, join_date, segment, phone, age, marketing_opt_in FROM raw_customers_base WHERE customer_id % 197 = 3)"""
+  SELECT CASE WHEN _copy = 2 THEN NULL ELSE customer_id END AS customer_id,
+    CASE WHEN _copy = 1 THEN upper(name) ELSE name END AS name, email, join_date,
+    CASE WHEN _copy = 1 THEN 'Gold' ELSE segment END AS segment, phone, age, marketing_opt_in
+  FROM (SELECT *, unnest(list_concat(list_concat([0], CASE WHEN customer_id % 97 = 1 THEN [1] ELSE []::INTEGER[] END),
+                                     CASE WHEN customer_id % 197 = 3 THEN [2] ELSE []::INTEGER[] END)) AS _copy
+        FROM raw_customers_base))"""
 
 _r = "((l_orderkey + l_linenumber) % 89)"
 _q_ = "CAST(l_quantity AS BIGINT)"
@@ -216,13 +217,12 @@ raw_products_base AS (
     CAST({pick(f'{_p} % 41', ['NULL', '-1.0', '5000.0'] + ['p_size * 0.5'] * 38)} AS DOUBLE) AS weight_kg
   FROM part),
 raw_products AS (
-  SELECT * FROM raw_products_base
-  UNION ALL
-  SELECT product_id, upper(product_name), category, subcategory, unit_price, cost, is_active, created_date, weight_kg
-  FROM raw_products_base WHERE product_id % 89 = 1
-  UNION ALL
-  SELECT NULL, product_name, category, subcategory, unit_price, cost, is_active, created_date, weight_kg
-  FROM raw_products_base WHERE product_id % 211 = 2)"""
+  SELECT CASE WHEN _copy = 2 THEN NULL ELSE product_id END AS product_id,
+    CASE WHEN _copy = 1 THEN upper(product_name) ELSE product_name END AS product_name,
+    category, subcategory, unit_price, cost, is_active, created_date, weight_kg
+  FROM (SELECT *, unnest(list_concat(list_concat([0], CASE WHEN product_id % 89 = 1 THEN [1] ELSE []::INTEGER[] END),
+                                     CASE WHEN product_id % 211 = 2 THEN [2] ELSE []::INTEGER[] END)) AS _copy
+        FROM raw_products_base))"""
 
 # ----------------------------------------------------------------- cleaned model
 ORDER_COLS = ["order_id", "customer_id", "order_date", "status", "total_amount", "source_system"]
