@@ -130,3 +130,14 @@ def valid_order_rate(orders_clean: DataFrame) -> DataFrame:
         F.sum("is_valid_order").cast("long").alias("valid_orders"),
         F.round(F.avg(F.col("is_valid_order").cast(T.DecimalType(10, 0))).cast(AVG_SCALE) * 100, 2)
         .cast("double").alias("valid_pct"))
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """H6: the first ``n`` rows of a report (a LIMIT; rows stay on the cluster)."""
+    return df.limit(n)
+
+
+def show_report(title: str, df: DataFrame, n: int = 20) -> None:
+    """H7: print a titled report; only ``n`` rows reach the driver."""
+    print(f"\n=== {title} ===")
+    df.show(n, truncate=False)
