@@ -34,7 +34,10 @@ def orders_as_of(orders: DataFrame, rules: CleaningRules = CleaningRules()) -> C
     re-delivered record carries its order's date), so it is a scan with a
     partial max - it does not repeat the de-duplication shuffle.
     """
-    return clean_orders(orders, rules).filter(F.col("is_valid_order") == 1).select(F.max("order_date_cleaned")).scalar()
+    o = clean_orders(orders, rules)
+    # a conditional max, not a filter: a filter would be pushed below the
+    # projection and evaluate the date parsing twice
+    return o.select(F.max(F.when(F.col("is_valid_order") == 1, F.col("order_date_cleaned")))).scalar()
 
 
 def clean_names(df: DataFrame, column: str = "name") -> DataFrame:
