@@ -146,7 +146,8 @@ def flag_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate")
     rest = [c for c in cols if c not in keys]
     copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     if rest:
-        firsts = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first"))
+        # first row per key, taken from the (already collapsed) distinct rows
+        firsts = copies.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first"))
         tagged = _join_null_safe(copies, firsts, keys)
         is_first = F.struct(*[F.col(c) for c in rest]).eqNullSafe(F.col("__first"))
     else:
