@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import cleaning as C
 from basketry.operators import cleaning as CL
-from basketry.plans.context import RetailContext, context
+from basketry.plans.context import context
 from basketry.plans.oracle import (RULES, clean_email, clean_name, clean_phone, clean_segment, clean_status,
                                    in_range, parse_bool, parse_date, with_base)
 from basketry.plans.registry import decimals_to_double, register

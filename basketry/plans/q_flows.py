@@ -8,7 +8,7 @@ from basketry.functions import cleaning as C
 from basketry.operators import cleaning as CL
 from basketry.operators import fraud as FR
 from basketry.operators import model as M
-from basketry.plans.context import RetailContext, context
+from basketry.plans.context import context
 from basketry.plans.flows import latest_orders, run_batch_medallion
 from basketry.plans.oracle import dedup_first, parse_date, with_base
 from basketry.plans.q_batch import GOLD_SQL

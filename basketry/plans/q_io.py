@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from basketry.operators import fraud as FR
 from basketry.operators import model as M
-from basketry.plans.context import RetailContext, context
+from basketry.plans.context import context
 from basketry.plans.q_batch import GOLD_SQL
 from basketry.plans.q_fraud import FRAUD_CTE
 from basketry.plans.oracle import with_base

@@ -6,7 +6,7 @@ from basketry.operators import fraud as FR
 from basketry.operators import live as L
 from basketry.operators import model as M
 from basketry.operators import msglog as ML
-from basketry.plans.context import RetailContext, context
+from basketry.plans.context import context
 from basketry.plans.oracle import avg2, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 from basketry.sources import retail

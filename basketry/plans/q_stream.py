@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import fraud as FR
 from basketry.operators import msglog as ML
-from basketry.plans.context import RetailContext, context
+from basketry.plans.context import context
 from basketry.plans.oracle import RULES
 from basketry.plans.registry import decimals_to_double, register
 from basketry.session import shared_dir
