@@ -76,13 +76,18 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def box_by_group(df: DataFrame, group: str, column: str) -> DataFrame:
-    """M5: five-number summary per group (exact quartiles, linear interpolation)."""
+    """M5: five-number summary per group (exact quartiles, linear interpolation).
+
+    Quartiles of cent values have at most 4 decimals; rounding the
+    interpolated double to 6 places removes interpolation rounding noise,
+    so the value is the exact one whatever the interpolation formula.
+    """
     x = F.col(column).cast("double")
     return (df.groupBy(group)
             .agg(F.min(x).alias("min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
                  F.max(x).alias("max"))
-            .select(group, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                    F.col("q")[2].alias("q3"), "max"))
+            .select(group, "min", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"),
+                    F.round(F.col("q")[2], 6).alias("q3"), "max"))
 
 
 # ------------------------------------------------------------------ Gold dashboards

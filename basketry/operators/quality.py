@@ -183,7 +183,7 @@ def iqr_outliers(df: DataFrame, column: str, multiplier: float = 1.5, flag: str
                  exact: bool = True) -> DataFrame:
     """Flag values outside [Q1 - m*IQR, Q3 + m*IQR] (nulls are not outliers)."""
     q = quantiles(df.filter(F.col(column).isNotNull()), column, [0.25, 0.75], exact)
-    q1, q3 = q.getItem(0), q.getItem(1)
+    q1, q3 = F.round(q.getItem(0), 6), F.round(q.getItem(1), 6)   # exact for cent values
     iqr = q3 - q1
     x = F.col(column).cast("double")
     out = (x < q1 - F.lit(multiplier) * iqr) | (x > q3 + F.lit(multiplier) * iqr)

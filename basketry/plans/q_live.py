@@ -60,7 +60,8 @@ def q_amount_histogram(spark, sf_dir):
 
 
 @register("amount_box_by_status", with_base("""
-SELECT status, min(x) AS min, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3,
+SELECT status, min(x) AS min, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median,
+  round(quantile_cont(x, 0.75), 6) AS q3,
   max(x) AS max
 FROM (SELECT status, CAST(total_amount AS DOUBLE) AS x FROM events_enriched) GROUP BY status"""))
 def q_amount_box(spark, sf_dir):

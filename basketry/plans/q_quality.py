@@ -156,8 +156,8 @@ def q_dedup_keep_first(spark, sf_dir):
 @register("iqr_outliers", with_base("""
 SELECT order_id, CAST(total_amount_cleaned AS DOUBLE) AS total_amount,
   coalesce(CAST(total_amount_cleaned AS DOUBLE) < q1 - 1.5 * (q3 - q1) OR CAST(total_amount_cleaned AS DOUBLE) > q3 + 1.5 * (q3 - q1), false) AS is_outlier
-FROM orders_clean, (SELECT quantile_cont(CAST(total_amount_cleaned AS DOUBLE), 0.25) AS q1,
-                           quantile_cont(CAST(total_amount_cleaned AS DOUBLE), 0.75) AS q3
+FROM orders_clean, (SELECT round(quantile_cont(CAST(total_amount_cleaned AS DOUBLE), 0.25), 6) AS q1,
+                           round(quantile_cont(CAST(total_amount_cleaned AS DOUBLE), 0.75), 6) AS q3
                     FROM orders_clean WHERE total_amount_cleaned IS NOT NULL)"""))
 def q_iqr_outliers(spark, sf_dir):
     o = ctx(spark, sf_dir).orders_clean.select("order_id", "total_amount_cleaned")
