@@ -163,22 +163,31 @@ def windowed_revenue(orders: DataFrame, window: str = "1 minute", slide: str | N
                      watermark: str = "10 minutes", exact_customers: bool = False) -> DataFrame:
     """K3/K4: revenue per (event-time window, status) for valid completed orders.
 
-    Streams need ``approx_count_distinct`` (distinct aggregates are not
-    supported on streams); the batch twin may ask for the exact count.
+    Distinct customers: streams do not support distinct aggregates, so a
+    tumbling-window stream counts them exactly with two chained aggregations
+    (per customer, then per window; append mode propagates the watermark);
+    sliding windows use ``approx_count_distinct`` unless ``exact_customers``
+    is requested on a batch frame.  Money sums are exact cent sums.
     """
     src = orders.filter((F.col("is_valid_order") == 1) & (F.col("status") == "completed"))
     if orders.isStreaming:
         src = src.withWatermark("event_time", watermark)
     w = F.window("event_time", window, slide) if slide else F.window("event_time", window)
-    customers = F.countDistinct("customer_id") if exact_customers else F.approx_count_distinct("customer_id")
-    # exact cent sums: the result does not depend on arrival order or batching
-    return (src.groupBy(w.alias("w"), "status")
-            .agg(F.count("order_id").cast("long").alias("order_count"),
-                 money.sum_cents("total_amount").alias("total_c"),
-                 customers.cast("long").alias("unique_customers"))
-            .withColumns({"total_revenue": money.from_cents("total_c"),
-                          "avg_order_value": (money.cents_to_decimal("total_c") / F.col("order_count"))
-                          .cast(money.AVG_DEC).cast("double")})
+    if orders.isStreaming and slide is None:
+        per_customer = (src.groupBy(w.alias("w"), "status", "customer_id")
+                        .agg(F.count("order_id").alias("n"), money.sum_cents("total_amount").alias("c")))
+        agg = (per_customer.groupBy(F.window(F.window_time("w"), window).alias("w"), "status")
+               .agg(F.sum("n").cast("long").alias("order_count"), F.sum("c").alias("total_c"),
+                    F.count(F.lit(1)).cast("long").alias("unique_customers")))
+    else:
+        customers = F.countDistinct("customer_id") if exact_customers else F.approx_count_distinct("customer_id")
+        agg = (src.groupBy(w.alias("w"), "status")
+               .agg(F.count("order_id").cast("long").alias("order_count"),
+                    money.sum_cents("total_amount").alias("total_c"),
+                    customers.cast("long").alias("unique_customers")))
+    return (agg.withColumns({"total_revenue": money.from_cents("total_c"),
+                             "avg_order_value": (money.cents_to_decimal("total_c") / F.col("order_count"))
+                             .cast(money.AVG_DEC).cast("double")})
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status",
                     "order_count", "total_revenue", "avg_order_value", "unique_customers"))
 
@@ -195,8 +204,13 @@ HOUR_S = 3600
 
 def _velocity(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per customer: events per second over the last hour live in state
-    (at most 3,601 entries, however hot the customer); each Arrow chunk is
-    scored against it with vectorised prefix sums and never concatenated."""
+    (at most 3,601 counters, however hot the customer).
+
+    Arrow delivers a key's micro-batch rows in chunks that are not ordered by
+    time, so only the three needed columns of the chunks are kept (bounded
+    by the micro-batch size, i.e. by maxFilesPerTrigger / maxBytesPerTrigger)
+    and scored once against state with vectorised prefix sums.
+    """
     if state.hasTimedOut:
         state.remove()
         return
@@ -204,29 +218,29 @@ def _velocity(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         secs, counts = np.asarray(state.get[0], dtype=np.int64), np.asarray(state.get[1], dtype=np.int64)
     else:
         secs, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    ids, times = [], []
     for chunk in chunks:
-        if not len(chunk):
-            continue
-        chunk = chunk.sort_values(["event_time", "order_id"])
-        ev = pd.to_datetime(chunk["event_time"]).astype("int64").to_numpy() // 1_000_000_000
-        allsecs = np.concatenate([secs, ev])
-        weights = np.concatenate([counts, np.ones(len(ev), dtype=np.int64)])
-        u, inv = np.unique(allsecs, return_inverse=True)
-        c = np.bincount(inv, weights=weights).astype(np.int64)
-        cum = np.cumsum(c)
-
-        def upto(x):
-            i = np.searchsorted(u, x, side="right") - 1
-            return np.where(i >= 0, cum[np.maximum(i, 0)], 0)
-
-        in_hour = upto(ev) - upto(ev - HOUR_S - 1)
-        keep = u >= u.max() - HOUR_S
-        secs, counts = u[keep], c[keep]
-        yield pd.DataFrame({"order_id": chunk["order_id"].to_numpy(), "customer_id": chunk["customer_id"].to_numpy(),
-                            "event_time": chunk["event_time"].to_numpy(), "orders_in_last_hour": in_hour})
-    if len(secs):
-        state.update((secs.tolist(), counts.tolist()))
-        state.setTimeoutTimestamp(int(secs.max() + HOUR_S) * 1000)
+        if len(chunk):
+            ids.append(chunk["order_id"].to_numpy())
+            times.append(chunk["event_time"].to_numpy())
+    if not ids:
+        return
+    order_id, event_time = np.concatenate(ids), np.concatenate(times)
+    ev = pd.to_datetime(event_time).astype("int64").to_numpy() // 1_000_000_000        # seconds
+    u, inv = np.unique(np.concatenate([secs, ev]), return_inverse=True)
+    c = np.bincount(inv, weights=np.concatenate([counts, np.ones(len(ev), dtype=np.int64)])).astype(np.int64)
+    cum = np.cumsum(c)
+
+    def upto(x):
+        i = np.searchsorted(u, x, side="right") - 1
+        return np.where(i >= 0, cum[np.maximum(i, 0)], 0)
+
+    in_hour = upto(ev) - upto(ev - HOUR_S - 1)
+    keep = u >= u.max() - HOUR_S
+    state.update((u[keep].tolist(), c[keep].tolist()))
+    state.setTimeoutTimestamp(int(u.max() + HOUR_S) * 1000)
+    yield pd.DataFrame({"order_id": order_id, "customer_id": np.full(len(order_id), key[0], dtype=np.int64),
+                        "event_time": event_time, "orders_in_last_hour": in_hour})
 
 
 def stream_velocity(orders: DataFrame, watermark: str = "1 hour") -> DataFrame:
