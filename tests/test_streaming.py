@@ -92,3 +92,26 @@ def test_stateful_velocity(spark):
     S.await_all(spark, [S.to_parquet(S.stream_velocity(orders), out, ck)])
     got = {r.order_id: r.orders_in_last_hour for r in spark.read.parquet(out).collect()}
     assert got == {0: 1, 1: 2, 2: 3, 3: 3, 4: 1, 5: 1}
+
+
+def test_medallion_outputs_match_batch_twins(spark):
+    """Bronze feeds Silver, windowed revenue and fraud; each equals its batch twin."""
+    from basketry.functions.rules import tpch_rules
+    from basketry.operators import fraud as FR
+    from basketry.sources.tables import read_table
+
+    rules = tpch_rules().stream_fraud
+    landing, root = local_dir(spark, "land"), local_dir(spark, "medallion")
+    S.land_events(read_table(spark, "/root/testdata/sf0.001", "events"), landing)
+    paths = S.run_medallion(spark, landing, root, fraud_rules=rules)
+    batch = S.enrich_stream(S.route_events(spark.read.schema(S.EVENT_SCHEMA).json(landing), "order"))
+
+    silver = spark.read.parquet(paths["silver"])
+    assert silver.count() == batch.count() and spark.read.parquet(paths["silver_invalid_dates"]).count() == 0
+    streamed_fraud = {(r.order_id, r.fraud_score) for r in spark.read.parquet(paths["fraud"]).collect()}
+    batch_fraud = {(r.order_id, r.fraud_score) for r in FR.stream_fraud(batch, rules).collect()}
+    assert streamed_fraud == batch_fraud and streamed_fraud
+    closed = {(r.window_start, r.order_count, r.unique_customers) for r in
+              S.windowed_revenue(batch, "1 minute", exact_customers=True).collect()}
+    streamed = {(r.window_start, r.order_count, r.unique_customers) for r in spark.read.parquet(paths["revenue_by_window"]).collect()}
+    assert streamed and streamed <= closed
