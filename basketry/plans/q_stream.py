@@ -151,6 +151,24 @@ def q_stream_revenue(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+SLIDING_CLOSED = f"""
+SELECT ws AS window_start, ws + INTERVAL 10 MINUTE AS window_end, 'completed' AS status, {_WIN_AGG}
+FROM (SELECT time_bucket(INTERVAL 5 MINUTE, t) AS ws, * FROM {_COMPLETED}
+      UNION ALL SELECT time_bucket(INTERVAL 5 MINUTE, t) - INTERVAL 5 MINUTE, * FROM {_COMPLETED})
+GROUP BY 1, 2
+HAVING ws + INTERVAL 10 MINUTE <= (SELECT max(t) FROM {_COMPLETED}) - INTERVAL 10 MINUTE"""
+
+
+@register("stream_revenue_sliding", SLIDING_CLOSED,
+          note="append mode emits sliding windows closed by the 10-minute watermark")
+def q_stream_revenue_sliding(spark, sf_dir):
+    """K4 on a stream: 10-minute windows sliding by 5 minutes, exact distinct customers."""
+    path, out = landed(spark, sf_dir), shared_dir(spark, "sliding")
+    orders = S.enrich_stream(S.route_events(S.read_event_files(spark, path, max_files_per_trigger=None), "order"))
+    S.await_all(spark, [S.to_parquet(S.windowed_revenue(orders, "10 minutes", "5 minutes"), out, shared_dir(spark, "ck"))])
+    return spark.read.parquet(out)
+
+
 # ------------------------------------------------------------------ K5 late data
 _MID = "make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)"
 _WAVE1 = (f"(SELECT CAST(ts AS TIMESTAMP) AS t, user_id AS customer_id, CAST(value AS DECIMAL(18,2)) AS a FROM events "

@@ -179,6 +179,16 @@ def windowed_revenue(orders: DataFrame, window: str = "1 minute", slide: str | N
         agg = (per_customer.groupBy(F.window(F.window_time("w"), window).alias("w"), "status")
                .agg(F.sum("n").cast("long").alias("order_count"), F.sum("c").alias("total_c"),
                     F.count(F.lit(1)).cast("long").alias("unique_customers")))
+    elif orders.isStreaming:
+        # slide-sized buckets per customer -> the sliding windows covering each
+        # bucket, per customer (a customer once per window) -> per window
+        buckets = (src.groupBy(F.window("event_time", slide).alias("b"), "status", "customer_id")
+                   .agg(F.count("order_id").alias("n"), money.sum_cents("total_amount").alias("c")))
+        per_customer = (buckets.groupBy(F.window(F.window_time("b"), window, slide).alias("w"), "status", "customer_id")
+                        .agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
+        agg = (per_customer.groupBy("w", "status")
+               .agg(F.sum("n").cast("long").alias("order_count"), F.sum("c").alias("total_c"),
+                    F.count(F.lit(1)).cast("long").alias("unique_customers")))
     else:
         customers = F.countDistinct("customer_id") if exact_customers else F.approx_count_distinct("customer_id")
         agg = (src.groupBy(w.alias("w"), "status")
