@@ -238,10 +238,16 @@ def q_latest_bronze(spark, sf_dir):
         "event_type", "event_timestamp", "order_id", "customer_id", "status")
 
 
-@register("latest_silver_union", note="newest rows by processing time, then event time")
+@register("latest_silver_union", f"""
+SELECT * FROM ({ENRICHED}) ORDER BY event_time DESC, order_id DESC LIMIT 1000""",
+          note="newest rows by processing time, then event time (one micro-batch here)")
 def q_latest_silver(spark, sf_dir):
+    """A10: newest Silver rows across the valid and invalid-date outputs.
+
+    Ordered by processing time, then event time; the processing time itself
+    is not returned (it is the run's clock)."""
     path, root = landed(spark, sf_dir), shared_dir(spark, "silver")
     orders = S.enrich_stream(S.route_events(S.read_event_files(spark, path), "order"))
     S.await_all(spark, [S.to_silver(orders, f"{root}/orders", f"{root}/orders_invalid_dates", f"{root}/_ck")])
     both = LY.silver_union(spark, f"{root}/orders", f"{root}/orders_invalid_dates")
-    return LY.latest_rows(both, 1000, "processing_timestamp", "event_time", "order_id")
+    return LY.latest_rows(both, 1000, "processing_timestamp", "event_time", "order_id").select(*ENRICH_COLS)
