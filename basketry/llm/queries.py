@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm import exact_dedup, simhash
 from basketry.llm.common import table
 from basketry.llm.line_dedup import drop_frequent_lines
 
@@ -35,9 +36,30 @@ SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dro
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.rid
 """
 
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+OP5_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
+    "op5_exact_dedup": OP5_SQL,
 }
