@@ -6,10 +6,11 @@ table and derives the contract's columns from the operator's rows.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, simhash
+from basketry.llm import bpe, exact_dedup, simhash
 from basketry.llm.common import table
 from basketry.llm.line_dedup import drop_frequent_lines
 
@@ -54,10 +55,20 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def bpe_digests(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_bpe": op7_bpe,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
