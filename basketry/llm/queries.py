@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, exact_dedup, simhash
-from basketry.llm.common import table
+from basketry.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from basketry.llm.common import fold, table
 from basketry.llm.line_dedup import drop_frequent_lines
 
 
@@ -38,6 +38,11 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.rid
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "windows", "n_windows", "coverage", "verbatim", "first", "last")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,11 +69,20 @@ def bpe_digests(out: DataFrame) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "toxicity.score", "toxicity.predicted",
+                      "toxicity.offending")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
