@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from basketry.llm import (bpe, decontaminate, exact_dedup, html_text, language, quality, simhash, toxicity,
+                          url_filter)
 from basketry.llm.common import fold, table
 from basketry.llm.line_dedup import drop_frequent_lines
 
@@ -48,6 +49,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), out="score")
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -60,6 +68,36 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+#: The contract's rules: (host, path, verdict).
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+         ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP6_SQL = """
+WITH r(rhost, rpath, rverdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), u AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT rid, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), j AS (
+  SELECT p.*, rhost || rpath AS rule, rverdict,
+         row_number() OVER (PARTITION BY rid ORDER BY length(rhost || rpath) DESC NULLS LAST) AS place
+  FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM j WHERE place = 1
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -69,6 +107,18 @@ def bpe_digests(out: DataFrame) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_text.extract(pages, html_text.learn(pages), out="text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.profiles(docs))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -80,11 +130,16 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_url_filter": OP6_SQL,
 }
