@@ -107,11 +107,13 @@ def tokens(page: str) -> list[Token]:
                 tag = ".".join([name, *sorted(named["class"].lower().split())[:2]])
             if name in ("article", "main"):                     # an unclosed menu before it ends here
                 aside, open_ = 0, [(x, False) for x, _ in open_]
-            if name == "p" and any(x == "p" for x, _ in open_[-8:]):
-                while open_.pop()[0] != "p":
-                    pass
-                aside = sum(was for _, was in open_)
-                inside = sum(x in ("article", "main") for x, _ in open_)
+            if name in BLOCK and name != "br":                  # a block ends an open paragraph
+                at = len(open_) - 1
+                while at >= 0 and open_[at][0] not in BLOCK:
+                    at -= 1
+                if at >= 0 and open_[at][0] == "p":
+                    aside -= sum(was for _, was in open_[at:])
+                    del open_[at:]
             if name not in VOID and not (attributes or "").endswith("/"):
                 off = name in ASIDE or (name not in ("html", "body", "article", "main")
                                         and any(PARTS.search(v) for v in named.values()))
