@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import fold, text_or_empty
+from basketry.llm.common import fold, text_or_empty, written
 
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 SAMPLE = 2000                   # labelled rows per class that the model is fitted on
@@ -88,19 +88,6 @@ class Known(dict):
         return found
 
 
-def bags(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> list[tuple[int, list[list[str]]]]:
-    """(label, sentences as word lists) of at most ``sample`` labelled rows per class outside the held-out fold."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0))
-    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample) for y in (0, 1)]
-    picked = picked[0].union(picked[1]).select(F.col(id_col).alias("sample_id"), "toxic")
-    text = F.lower(text_or_empty(text_col))
-    pieces = F.filter(F.split(text, r"[.!?\n]+"), lambda s: s != "")
-    words = F.transform(pieces, lambda s: F.array_distinct(
-        F.regexp_extract_all(s, F.lit(r"(\p{L}+)"), 1)))
-    rows = docs.join(F.broadcast(picked), docs[id_col] == F.col("sample_id")).select("toxic", words.alias("words"))
-    return [(y, list(w)) for y, w in rows.toPandas().itertuples(index=False)]
-
-
 def _tail(k: int, n: int, q: float) -> float:
     """Probability of at least k successes in n trials (the normal limit beyond 200)."""
     if n > 200:
@@ -108,57 +95,81 @@ def _tail(k: int, n: int, q: float) -> float:
     return sum(math.comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(k, n + 1))
 
 
-def fit(rows: list[tuple[int, list[list[str]]]]) -> Model:
-    """The noisy-or model of labelled bags."""
-    n = Counter(y for y, _ in rows)
-    if not n[0] or not n[1]:
-        return Model()
-    rows = [(y, [{f for w in s for f in features(w)} for s in sentences]) for y, sentences in rows]
-    seen = {0: Counter(), 1: Counter()}
-    for y, sentences in rows:
-        seen[y].update({w for s in sentences for w in s})
-    names = []
-    share = n[1] / (n[0] + n[1])
-    for w, k in seen[1].items():
-        if k > 2 and _tail(k, k + seen[0][w], share) < CHANCE:
-            names.append(w)
+def _bag(text: str) -> list[set[str]]:
+    """The features of each sentence."""
+    return [{f for w in set(WORD.findall(s.lower())) for f in features(w)} for s in SENTENCE.findall(text)]
+
+
+def chosen(rows: DataFrame) -> list[str]:
+    """Features that significantly more positive than negative rows (toxic, text) have."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            seen = Counter((f, y) for y, text in p.itertuples(index=False) for f in set().union(*_bag(text)))
+            yield pd.DataFrame([(f, k * y, k * (1 - y)) for (f, y), k in seen.items()], columns=["feature", "pos", "neg"])
+
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return []
+    q = n[1] / (n[0] + n[1])
+    seen = (rows.select("toxic", "text").mapInPandas(run, "feature string, pos long, neg long").groupBy("feature")
+            .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    likely = (F.col("pos") - q * (F.col("pos") + F.col("neg"))) / F.sqrt((F.col("pos") + F.col("neg")) * q * (1 - q))
+    got = seen.where((F.col("pos") > 2) & (likely > 2.5)).collect()
+    return sorted(r["feature"] for r in got if _tail(r["pos"], r["pos"] + r["neg"], q) < CHANCE)
+
+
+def fit(rows: DataFrame) -> Model:
+    """The noisy-or model of labelled rows (toxic, text), which are a bounded sample.
+
+    The driver gets the chosen features and, for each row, its number of sentences without any and the others' features.
+    """
+    names = chosen(rows)
     if not names:
         return Model()
-    at = {w: i for i, w in enumerate(sorted(names))}
-    # the sentences that have a chosen word, as sparse rows; the others of a document only count
-    doc, word, sent, plain = [], [], [], np.zeros(len(rows))
-    for d, (_, sentences) in enumerate(rows):
-        for s in sentences:
-            got = [at[w] for w in s if w in at]
-            if got:
-                word += got
-                sent += [len(doc)] * len(got)
-                doc.append(d)
-            else:
-                plain[d] += 1
-    doc, word, sent, y = np.array(doc), np.array(word), np.array(sent), np.array([y for y, _ in rows], float)
+    at = {f: i for i, f in enumerate(names)}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for y, text in p.itertuples(index=False):
+                found = [[at[f] for f in s & at.keys()] for s in _bag(text)]
+                full = [f for f in found if f]
+                out.append((y, len(found) - len(full), [i for f in full for i in f], [len(f) for f in full]))
+            yield pd.DataFrame(out, columns=["y", "plain", "found", "sizes"])
+
+    got = rows.select("toxic", "text").mapInPandas(run, "y int, plain int, found array<int>, sizes array<int>").toPandas()
+    y, plain = got["y"].to_numpy(float), got["plain"].to_numpy(float)
+    # sentences that have a chosen feature, as sparse rows; the others of a row only count
+    sizes = [np.array(s, np.int64) for s in got["sizes"]]
+    doc = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
+    sent = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
+    word = np.concatenate([np.array(f, np.int64) for f in got["found"]])
     theta = np.zeros(len(at) + 1)
     theta[-1] = -4.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    share = 1 / len(rows)
     for step in range(1, STEPS + 1):
         z = theta[-1] + np.bincount(sent, theta[word], len(doc))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[-1]))
-        left = -np.bincount(doc, np.logaddexp(0, z), len(rows)) - plain * np.logaddexp(0, theta[-1])
+        left = -np.bincount(doc, np.logaddexp(0, z), len(y)) - plain * np.logaddexp(0, theta[-1])
         pos = np.maximum(-np.expm1(left), 1e-12)
-        blame = np.where(y > 0, -np.exp(left) / pos, 1.0) * share     # d loss / d z = blame * p
+        blame = np.where(y > 0, -np.exp(left) / pos, 1.0) / len(y)     # d loss / d z = blame * p
         g_sent = blame[doc] * p
         grad = np.r_[np.bincount(word, g_sent[sent], len(at)), g_sent.sum() + (blame * plain).sum() * p0]
         grad[:-1] += RIDGE * theta[:-1] / len(at)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         theta -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Model(float(theta[-1]), {w: float(theta[i]) for w, i in at.items()})
+    return Model(float(theta[-1]), {f: float(theta[i]) for f, i in at.items()})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
           text_col: str = "text") -> Model:
     """The model of the labelled rows whose fold is not held out (crc32 of the id modulo 5 is not 0)."""
-    return fit(bags(docs, labels, sample, id_col, text_col))
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0))
+    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample) for y in (0, 1)]
+    picked = picked[0].union(picked[1]).select(F.col(id_col).alias("sample_id"), F.col("toxic").cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(
+        F.broadcast(picked), F.col("id") == F.col("sample_id"))
+    return fit(written(rows.select("toxic", "text"), "toxicity-sample"))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
