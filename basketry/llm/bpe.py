@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import shuffle_partitions, text_or_empty
 from basketry.session import shared_dir
 
-BLOCK_WORDS, BLOCK_DOCS = 2_000_000, 100_000
+BLOCK_WORDS, BLOCK_DOCS = 8_000_000, 400_000
 CACHE_WORDS = 1_000_000          # a bucket's cache starts anew beyond it
 OUT_WORDS = 100_000              # documents leave in batches of about so many words
 #: str.split() also splits at these four, which are no white space to the tokenizer.
@@ -74,14 +74,19 @@ def _blocks(buckets: int, id_type: pa.DataType):
     names = ["part", "block", "bucket", "data", "places", "ids", "n_words"]
 
     def block(ids: list, counts: list[int], places: list[np.ndarray], words: Numbers) -> pa.RecordBatch:
-        name = uuid.uuid4().hex
+        name, all_places = uuid.uuid4().hex, np.concatenate([*places, np.empty(0, np.int32)])
+        order = np.argsort(-np.bincount(all_places, minlength=len(words)), kind="stable")    # frequent words first:
+        rank = np.empty(len(order), np.int32)                                               # small numbers, few bytes
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        listed = list(words)
+        words = [listed[i] for i in order.tolist()]
         keys = [zlib.crc32(w.encode()) % buckets for w in words]
         lists: dict[int, list[str]] = {}
         for k, w in zip(keys, words, strict=True):
             lists.setdefault(k, []).append(w)
         pack = zstandard.ZstdCompressor(level=3).compress
         rows = [("docs", name, None, _packed(np.array(keys, np.int32)),
-                 _packed(np.concatenate([*places, np.empty(0, np.int32)])), ids, counts)]
+                 _packed(rank[all_places]), ids, counts)]
         rows += [("words", name, k, pack(" ".join(v).encode()), None, None, None) for k, v in lists.items()]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_type),
                  pa.list_(pa.int32())]
