@@ -55,15 +55,24 @@ def orders_in_last_hour(events: DataFrame, customer: str = "customer_id", ts: st
     """Per event, the customer's events in the hour up to and including it."""
     sec = F.unix_timestamp(F.col(ts))
     per_sec = events.groupBy(customer, sec.alias("__sec")).agg(F.count(F.lit(1)).alias("__n"))
-    hour = F.floor(F.col("__sec") / 3600)
-    spread = per_sec.select(customer, "__sec", "__n", F.explode(F.array(
+    counts = last_hour_counts(per_sec, customer, "__sec", "__n", out)
+    return events.withColumn("__sec", sec).join(counts, [customer, "__sec"], "left").drop("__sec")
+
+
+def last_hour_counts(per_sec: DataFrame, customer: str, sec: str, n: str, out: str) -> DataFrame:
+    """Per (customer, second) with events: events in the hour up to and including that second.
+
+    Windows run inside blocks of one hour, each with a copy of the hour before
+    it, so a window partition has at most 7,200 rows.
+    """
+    hour = F.floor(F.col(sec) / 3600)
+    spread = per_sec.select(customer, sec, n, F.explode(F.array(
         F.struct(hour.alias("__bucket"), F.lit(True).alias("__own")),
         F.struct((hour + 1).alias("__bucket"), F.lit(False).alias("__own")))).alias("__b")) \
-        .select(customer, "__sec", "__n", "__b.__bucket", "__b.__own")
-    w = Window.partitionBy(customer, "__bucket").orderBy("__sec").rangeBetween(-3600, 0)
-    counts = (spread.withColumn(out, F.sum("__n").over(w)).filter(F.col("__own"))
-              .select(customer, "__sec", F.col(out).cast("long")))
-    return events.withColumn("__sec", sec).join(counts, [customer, "__sec"], "left").drop("__sec")
+        .select(customer, sec, n, "__b.__bucket", "__b.__own")
+    w = Window.partitionBy(customer, "__bucket").orderBy(sec).rangeBetween(-3600, 0)
+    return (spread.withColumn(out, F.sum(n).over(w)).filter(F.col("__own"))
+            .select(customer, sec, F.col(out).cast("long")))
 
 
 def order_item_stats(items_clean: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from basketry.functions.rules import RuleSet, tpch_rules
 from basketry.operators import cleaning as CL
 from basketry.operators.model import dedup_keep_first
-from basketry.sources import retail
+from basketry.plans import feed
 from basketry.sources.tables import read_table
 
 
@@ -32,27 +32,27 @@ class RetailContext:
     # ---------------------------------------------------------- raw (Bronze)
     @cached_property
     def raw_orders(self) -> DataFrame:
-        return retail.orders_from(self.table("orders"))
+        return feed.orders_from(self.table("orders"))
 
     @cached_property
     def raw_customers(self) -> DataFrame:
-        return retail.customers_from(self.table("customer"))
+        return feed.customers_from(self.table("customer"))
 
     @cached_property
     def raw_items(self) -> DataFrame:
-        return retail.items_from(self.table("lineitem"))
+        return feed.items_from(self.table("lineitem"))
 
     @cached_property
     def raw_products(self) -> DataFrame:
-        return retail.products_from(self.table("part"))
+        return feed.products_from(self.table("part"))
 
     @cached_property
     def order_events(self) -> DataFrame:
-        return retail.order_events_from(self.table("events"))
+        return feed.order_events_from(self.table("events"))
 
     @cached_property
     def message_log(self) -> DataFrame:
-        return retail.message_log_from(self.table("events"))
+        return feed.message_log_from(self.table("events"))
 
     # ---------------------------------------------------------- cleaned (Silver)
     @cached_property
@@ -77,21 +77,10 @@ class RetailContext:
         return CL.clean_products(self.raw_products, self.rules.cleaning)
 
 
-_CONTEXTS: dict[tuple[str, str], RetailContext] = {}
-
-
 def context(spark: SparkSession, sf_dir: str) -> RetailContext:
-    """The RetailContext of (Spark application, data directory), built once.
-
-    DataFrames are immutable, lazy plans, so queries of one application can
-    share them; this only saves driver-side plan construction (hundreds of
-    Py4J calls and eager analyses per frame).  Nothing is cached as data.
-    The file listing is taken when a frame is first built, so this is for
-    inputs that do not change while the application runs (like the driver
-    tables); build a fresh ``RetailContext`` for a directory being appended to.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CONTEXTS:
-        _CONTEXTS[key] = RetailContext(spark, sf_dir)
-    return _CONTEXTS[key]
+    """The RetailContext of a data directory.
 
+    Built anew for every query: a frame holds its file listing, so keeping one
+    would miss files that were added to the directory since.
+    """
+    return RetailContext(spark, sf_dir)

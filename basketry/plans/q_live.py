@@ -9,7 +9,7 @@ from basketry.operators import msglog as ML
 from basketry.plans.context import context
 from basketry.plans.oracle import avg2, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
-from basketry.sources import retail
+from basketry.plans import feed
 
 
 def ctx(spark, sf_dir):
@@ -178,7 +178,7 @@ SELECT t.topic_name, t.partitions, t.retention_hours, CAST(coalesce(s.messages,
 FROM topic_cfg t LEFT JOIN (SELECT topic, sum(message_count) AS messages FROM stats GROUP BY 1) s ON t.topic_name = s.topic""", LOG_CTE))
 def q_topic_status(spark, sf_dir):
     lg = log(ctx(spark, sf_dir))
-    return ML.topic_status(retail.topics_from(lg), ML.topic_stats(lg))
+    return ML.topic_status(feed.topics_from(lg), ML.topic_stats(lg))
 
 
 @register("log_incremental_read", with_base("""
@@ -197,7 +197,7 @@ def q_log_last_messages(spark, sf_dir):
 
 @register("committed_offsets", with_base("SELECT * FROM committed", LOG_CTE))
 def q_committed_offsets(spark, sf_dir):
-    return ML.committed_offsets(retail.consumer_commits_from(log(ctx(spark, sf_dir))))
+    return ML.committed_offsets(feed.consumer_commits_from(log(ctx(spark, sf_dir))))
 
 
 @register("consumer_lag", with_base("""
@@ -206,7 +206,7 @@ SELECT c.group_id, c.topic, c."partition", c.committed_offset, s.latest_offset,
 FROM committed c LEFT JOIN stats s USING (topic, "partition")""", LOG_CTE))
 def q_consumer_lag(spark, sf_dir):
     lg = log(ctx(spark, sf_dir))
-    return ML.consumer_lag(ML.topic_stats(lg), ML.committed_offsets(retail.consumer_commits_from(lg)))
+    return ML.consumer_lag(ML.topic_stats(lg), ML.committed_offsets(feed.consumer_commits_from(lg)))
 
 
 @register("log_retention", with_base("""
@@ -214,7 +214,7 @@ SELECT m.topic, m."partition", m."offset", m."timestamp" FROM message_log m JOIN
 WHERE m."timestamp" >= (SELECT max("timestamp") FROM message_log) - to_hours(t.retention_hours)""", LOG_CTE))
 def q_log_retention(spark, sf_dir):
     lg = log(ctx(spark, sf_dir))
-    return ML.retained(lg, retail.topics_from(lg)).select("topic", "partition", "offset", "timestamp")
+    return ML.retained(lg, feed.topics_from(lg)).select("topic", "partition", "offset", "timestamp")
 
 
 @register("message_rates", with_base("""

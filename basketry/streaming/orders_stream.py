@@ -6,10 +6,14 @@ Design
   (exactly-once through its commit log).  Downstream queries read Bronze as a
   file stream, so no query deletes or re-reads the landing directory behind
   another one's back.
+* Nothing is left out in silence: waiting has no time limit unless the caller
+  sets one, and then an unfinished query is an error; sources have no age
+  limit, start at the earliest offset and fail on lost data.
 * Event time is parsed without inventing values: an unparseable timestamp
   stays null and its row goes to the invalid-date route.
-* Windowed aggregates use a watermark and run in append (final windows) or
-  update mode, so state is evicted; complete mode would keep every window.
+* Windowed aggregates use a watermark and run in append mode (final windows)
+  or in update mode into an upsert table that also serves the open windows;
+  complete mode would keep every window in state.
 * ``foreachBatch`` writes are idempotent: each micro-batch overwrites its own
   ``batch_id=<n>`` directory, so a replayed batch replaces itself.
 * Timestamps in the landed JSON carry microseconds; the parse ladder tries
@@ -18,46 +22,31 @@ Design
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+import math
+import re
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basketry.functions import cleaning as C
 from basketry.functions import money
 from basketry.operators.cleaning import valid_order
 
-# The stateful function below runs in Python workers; shipping this module's
-# functions by value means executors need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Wide event schema: order events and order-item events share the landing
-# directory and are told apart by ``event_type``.
-EVENT_SCHEMA = T.StructType([
-    T.StructField("event_type", T.StringType()),
-    T.StructField("event_timestamp", T.StringType()),
-    T.StructField("order_id", T.LongType()),
-    T.StructField("customer_id", T.LongType()),
-    T.StructField("order_date", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("total_amount", T.DoubleType()),
-    T.StructField("source_system", T.StringType()),
-    T.StructField("item_id", T.LongType()),
-    T.StructField("product_id", T.LongType()),
-    T.StructField("quantity", T.LongType()),
-    T.StructField("price", T.DoubleType()),
-])
-
-ORDER_FIELDS = ["event_type", "event_timestamp", "order_id", "customer_id", "order_date", "status",
-                "total_amount", "source_system"]
-ITEM_FIELDS = ["event_type", "event_timestamp", "item_id", "order_id", "product_id", "quantity", "price"]
+# Columns of each event type.  All types share the landing directory and are
+# told apart by ``event_type``; its schema is the union of their columns.
+_L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
+EVENT_COLUMNS: dict[str, dict[str, T.DataType]] = {
+    "order": {"event_type": _S, "event_timestamp": _S, "order_id": _L, "customer_id": _L, "order_date": _S,
+              "status": _S, "total_amount": _D, "source_system": _S},
+    "order_item": {"event_type": _S, "event_timestamp": _S, "item_id": _L, "order_id": _L, "product_id": _L,
+                   "quantity": _L, "price": _D, "discount_percent": _D, "line_total": _D},
+    "customer_update": {"event_type": _S, "event_timestamp": _S, "customer_id": _L, "name": _S, "email": _S,
+                        "join_date": _S, "segment": _S, "phone": _S},
+}
+EVENT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in
+                             {n: t for cols in EVENT_COLUMNS.values() for n, t in cols.items()}.items()])
 
 # Extra layouts tried after the ISO cast, in order.
 EVENT_TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss"]
@@ -65,71 +54,62 @@ STREAM_DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd"]
 
 
 # ------------------------------------------------------------------ sources
-def landing_events(events: DataFrame) -> DataFrame:
-    """Order and order-item events (JSON-ready rows) derived from the event table.
-
-    Every event becomes an order event; purchases also emit one item event.
-    """
-    status = (F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "cancelled")
-              .when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "shipped")
-              .when(F.col("event_type") == "signup", "refunded"))
-    ts_text = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    k = F.get_json_object("props", "$.k").cast("long")
-    orders = events.select(
-        F.lit("order").alias("event_type"), ts_text.alias("event_timestamp"), F.col("event_id").alias("order_id"),
-        F.col("user_id").alias("customer_id"), ts_text.alias("order_date"), status.alias("status"),
-        F.col("value").alias("total_amount"), F.lit("stream").alias("source_system"),
-        F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("product_id"),
-        F.lit(None).cast("long").alias("quantity"), F.lit(None).cast("double").alias("price"))
-    items = events.filter(F.col("event_type") == "purchase").select(
-        F.lit("order_item").alias("event_type"), ts_text.alias("event_timestamp"), F.col("event_id").alias("order_id"),
-        F.lit(None).cast("long").alias("customer_id"), F.lit(None).cast("string").alias("order_date"),
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("total_amount"),
-        F.lit(None).cast("string").alias("source_system"), (F.col("event_id") * 10 + 1).alias("item_id"),
-        k.alias("product_id"), (1 + k % 5).alias("quantity"), F.col("value").alias("price"))
-    return orders.unionByName(items)
-
-
-def land_events(events: DataFrame, path: str, files: int = 8) -> None:
-    """Write landing JSON-lines files (what a producer would drop into the directory)."""
-    (landing_events(events).repartition(files, "order_id")
-     .write.mode("overwrite").option("ignoreNullFields", "true").json(path))
+def land_events(events: DataFrame, path: str) -> None:
+    """Write event rows (of ``EVENT_SCHEMA``) as the JSON-lines files that a producer would drop into the directory."""
+    events.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
 def read_event_files(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA,
-                     max_files_per_trigger: int | None = 50, max_file_age: str = "7d") -> DataFrame:
+                     max_files_per_trigger: int | None = None, max_file_age: str | None = None) -> DataFrame:
     """Streaming JSON directory source with a declared schema.
 
-    No ``latestFirst`` (it disables ``maxFileAge``) and no ``cleanSource`` -
-    several consumers must be able to read the same landing directory.
+    No ``latestFirst`` and no ``cleanSource`` - several consumers must be able
+    to read the same landing directory.  ``max_file_age`` makes the source
+    ignore older files, so it is only set on request.
     """
-    reader = spark.readStream.schema(schema).option("maxFileAge", max_file_age)
+    reader = spark.readStream.schema(schema)
+    if max_file_age:
+        reader = reader.option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str, schema: T.StructType = EVENT_SCHEMA,
-               starting_offsets: str = "latest") -> DataFrame:
-    """Kafka source + JSON decode.  Needs the spark-sql-kafka connector on
-    the classpath; it is not bundled here, so only ``decode_kafka`` is tested."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", topic).option("startingOffsets", starting_offsets)
-           .option("failOnDataLoss", "false").load())
-    return decode_kafka(raw, schema)
+               **options: str) -> DataFrame:
+    """Messages of a topic, decoded.
+
+    Reads from the earliest offset and fails when offsets are gone; ``options``
+    override (``startingOffsets``, ``failOnDataLoss``, ``maxOffsetsPerTrigger``,
+    security).  Needs the spark-sql-kafka connector on the classpath; it is not
+    bundled here, so only ``decode_kafka`` is tested.
+    """
+    settings = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest",
+                "failOnDataLoss": "true", **options}
+    return decode_kafka(spark.readStream.format("kafka").options(**settings).load(), schema)
 
 
 def decode_kafka(raw: DataFrame, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """A8 decode: (key, value) binaries -> typed columns (+ the message key)."""
-    return (raw.select(F.col("key").cast("string").alias("message_key"),
-                       F.from_json(F.col("value").cast("string"), schema).alias("data"))
-            .select("message_key", "data.*"))
+    """A8 decode: where a message came from, its key, its typed fields, and the text of one that is no such JSON.
+
+    ``message_timestamp`` and the like are prefixed, so payload fields keep their names.
+    """
+    envelope = [F.col(c).alias(f"message_{c}") for c in ("topic", "partition", "offset", "timestamp") if c in raw.columns]
+    with_text = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col("value").cast("string"), with_text, {"columnNameOfCorruptRecord": CORRUPT})
+    return (raw.select(F.col("key").cast("string").alias("message_key"), *envelope, parsed.alias("payload"))
+            .select("message_key", *[f"message_{c}" for c in ("topic", "partition", "offset", "timestamp")
+                                     if c in raw.columns], "payload.*"))
 
 
 def route_events(stream: DataFrame, event_type: str) -> DataFrame:
     """One event type out of the shared landing stream, with its own columns."""
-    fields = ORDER_FIELDS if event_type == "order" else ITEM_FIELDS
-    return stream.filter(F.col("event_type") == event_type).select(*fields)
+    if event_type not in EVENT_COLUMNS:
+        raise ValueError(f"unknown event type {event_type!r}; known: {sorted(EVENT_COLUMNS)}")
+    return stream.filter(F.col("event_type") == event_type).select(*EVENT_COLUMNS[event_type])
 
 
 # ------------------------------------------------------------------ transforms
@@ -159,6 +139,17 @@ def enrich_stream(orders: DataFrame) -> DataFrame:
     })
 
 
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def seconds(interval: str) -> int:
+    """Seconds of an interval such as ``10 minutes`` or ``1 hour 30 minutes``."""
+    parts = re.findall(r"(\d+)\s+([a-z]+?)s?\b", interval.lower())
+    if not parts or re.sub(r"\d+\s+[a-z]+\s*", "", interval.lower()).strip() or any(u not in UNIT_SECONDS for _, u in parts):
+        raise ValueError(f"not a fixed interval of whole seconds: {interval!r}")
+    return sum(int(n) * UNIT_SECONDS[u] for n, u in parts)
+
+
 def windowed_revenue(orders: DataFrame, window: str = "1 minute", slide: str | None = None,
                      watermark: str = "10 minutes", exact_customers: bool = False) -> DataFrame:
     """K3/K4: revenue per (event-time window, status) for valid completed orders.
@@ -180,9 +171,10 @@ def windowed_revenue(orders: DataFrame, window: str = "1 minute", slide: str | N
                .agg(F.sum("n").cast("long").alias("order_count"), F.sum("c").alias("total_c"),
                     F.count(F.lit(1)).cast("long").alias("unique_customers")))
     elif orders.isStreaming:
-        # slide-sized buckets per customer -> the sliding windows covering each
-        # bucket, per customer (a customer once per window) -> per window
-        buckets = (src.groupBy(F.window("event_time", slide).alias("b"), "status", "customer_id")
+        # buckets that no window edge cuts, per customer -> the sliding windows
+        # covering each bucket, per customer (a customer once per window) -> per window
+        bucket = f"{math.gcd(seconds(window), seconds(slide))} seconds"
+        buckets = (src.groupBy(F.window("event_time", bucket).alias("b"), "status", "customer_id")
                    .agg(F.count("order_id").alias("n"), money.sum_cents("total_amount").alias("c")))
         per_customer = (buckets.groupBy(F.window(F.window_time("b"), window, slide).alias("w"), "status", "customer_id")
                         .agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
@@ -202,69 +194,48 @@ def windowed_revenue(orders: DataFrame, window: str = "1 minute", slide: str | N
                     "order_count", "total_revenue", "avg_order_value", "unique_customers"))
 
 
-# ------------------------------------------------------------------ K9: stateful velocity
-VELOCITY_OUT = T.StructType([
-    T.StructField("order_id", T.LongType()), T.StructField("customer_id", T.LongType()),
-    T.StructField("event_time", T.TimestampType()), T.StructField("orders_in_last_hour", T.LongType()),
-])
-VELOCITY_STATE = T.StructType([T.StructField("secs", T.ArrayType(T.LongType())),
-                                T.StructField("counts", T.ArrayType(T.LongType()))])
-HOUR_S = 3600
+def revenue_parts(orders: DataFrame, window: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+    """K7: (window, status, customer) counts and cents, one aggregation, for update mode.
 
+    ``revenue_of_parts`` sums the current parts; a customer is one row per
+    window, so distinct customers are exact and a hot window is many rows.
+    """
+    src = orders.filter((F.col("is_valid_order") == 1) & (F.col("status") == "completed")).withWatermark("event_time", watermark)
+    return (src.groupBy(F.window("event_time", window).alias("w"), "status", "customer_id")
+            .agg(F.count("order_id").alias("n"), money.sum_cents("total_amount").alias("c"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "customer_id", "n", "c"))
 
-def _velocity(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per customer: events per second over the last hour live in state
-    (at most 3,601 counters, however hot the customer).
 
-    Arrow delivers a key's micro-batch rows in chunks that are not ordered by
-    time, so only the three needed columns of the chunks are kept (bounded
-    by the micro-batch size, i.e. by maxFilesPerTrigger / maxBytesPerTrigger)
-    and scored once against state with vectorised prefix sums.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        secs, counts = np.asarray(state.get[0], dtype=np.int64), np.asarray(state.get[1], dtype=np.int64)
-    else:
-        secs, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    ids, times = [], []
-    for chunk in chunks:
-        if len(chunk):
-            ids.append(chunk["order_id"].to_numpy())
-            times.append(chunk["event_time"].to_numpy())
-    if not ids:
-        return
-    order_id, event_time = np.concatenate(ids), np.concatenate(times)
-    ev = pd.to_datetime(event_time).astype("int64").to_numpy() // 1_000_000_000        # seconds
-    u, inv = np.unique(np.concatenate([secs, ev]), return_inverse=True)
-    c = np.bincount(inv, weights=np.concatenate([counts, np.ones(len(ev), dtype=np.int64)])).astype(np.int64)
-    cum = np.cumsum(c)
-
-    def upto(x):
-        i = np.searchsorted(u, x, side="right") - 1
-        return np.where(i >= 0, cum[np.maximum(i, 0)], 0)
-
-    in_hour = upto(ev) - upto(ev - HOUR_S - 1)
-    keep = u >= u.max() - HOUR_S
-    state.update((u[keep].tolist(), c[keep].tolist()))
-    state.setTimeoutTimestamp(int(u.max() + HOUR_S) * 1000)
-    yield pd.DataFrame({"order_id": order_id, "customer_id": np.full(len(order_id), key[0], dtype=np.int64),
-                        "event_time": event_time, "orders_in_last_hour": in_hour})
-
-
-def stream_velocity(orders: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """K9: per-customer orders in the last hour, as an event-time stateful operator.
-
-    State per customer is at most 3,601 per-second counters (one hour),
-    whatever the customer's volume, and is dropped by an event-time timeout
-    once the watermark passes it.  With all events in one micro-batch the
-    result equals the batch ``orders_in_last_hour``.
+def revenue_of_parts(parts: DataFrame) -> DataFrame:
+    agg = (parts.groupBy("window_start", "window_end", "status")
+           .agg(F.sum("n").cast("long").alias("order_count"), F.sum("c").alias("total_c"),
+                F.count(F.lit(1)).cast("long").alias("unique_customers")))
+    return agg.select("window_start", "window_end", "status", "order_count", money.from_cents("total_c").alias("total_revenue"),
+                      (money.cents_to_decimal("total_c") / F.col("order_count")).cast(money.AVG_DEC).cast("double")
+                      .alias("avg_order_value"), "unique_customers")
+
+
+# ------------------------------------------------------------------ K9: velocity
+def orders_per_second(orders: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """K9 state: orders per customer and second, for update mode.
+
+    A native aggregate: map-side partial counts, one counter per customer and
+    second in state until the watermark passes it, whatever order rows arrive
+    in.  Rows without a customer or a time are not counted.
     """
-    src = orders.filter(F.col("event_time").isNotNull()).select("order_id", "customer_id", "event_time")
-    return (src.withWatermark("event_time", watermark).groupBy("customer_id")
-            .applyInPandasWithState(_velocity, VELOCITY_OUT, VELOCITY_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    src = orders.filter(F.col("event_time").isNotNull() & F.col("customer_id").isNotNull())
+    return (src.withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", "1 second").alias("w"), "customer_id").agg(F.count(F.lit(1)).alias("n"))
+            .select("customer_id", F.unix_timestamp("w.start").alias("second"), "n"))
+
+
+def velocity(orders: DataFrame, per_second: DataFrame) -> DataFrame:
+    """K9: each order's number of orders of the same customer in the hour up to it, from the current counters."""
+    from basketry.operators.fraud import last_hour_counts
+    src = orders.filter(F.col("event_time").isNotNull() & F.col("customer_id").isNotNull())
+    counts = last_hour_counts(per_second, "customer_id", "second", "n", "orders_in_last_hour")
+    return (src.withColumn("second", F.unix_timestamp("event_time")).join(counts, ["customer_id", "second"])
+            .select("order_id", "customer_id", "event_time", "orders_in_last_hour"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -323,25 +294,53 @@ def to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint: st
     return w.start()
 
 
-def await_all(spark: SparkSession, queries: list[StreamingQuery], timeout_s: float = 600) -> None:
-    """Wait for every query; a failure in any of them is raised, not lost."""
+def to_upserts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+               interval: str = "10 seconds") -> StreamingQuery:
+    """K7: update-mode sink; every micro-batch overwrites its own ``batch_id=<n>`` directory with the rows it changed."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
+def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The upsert table as of now: per key the row of the newest micro-batch."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    newest = F.max(F.struct("batch_id", *values)).alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, *[f"newest.{c}" for c in values])
+
+
+def await_all(spark: SparkSession, queries: list[StreamingQuery], timeout_s: float | None = None) -> None:
+    """Wait until every query has ended; a failure in any of them is raised, not lost.
+
+    There is no time limit by default.  A query that outlives ``timeout_s`` is
+    stopped and reported as an error, since its output is incomplete.
+    """
     for q in queries:
-        q.awaitTermination(timeout_s)
+        done = q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination()
         exc = q.exception()
         if exc is not None:
             raise RuntimeError(f"stream {q.name or q.id} failed: {exc}")
+        if timeout_s is not None and not done:
+            for open_query in queries:
+                open_query.stop()
+            raise TimeoutError(f"stream {q.name or q.id} did not finish within {timeout_s} s; its output is incomplete")
 
 
 # ------------------------------------------------------------------ K10
 def run_medallion(spark: SparkSession, landing: str, root: str, window: str = "1 minute",
-                  watermark: str = "10 minutes", available_now: bool = True, fraud_rules=None) -> dict[str, str]:
+                  watermark: str = "10 minutes", available_now: bool = True, fraud_rules=None,
+                  max_files_per_trigger: int | None = None) -> dict[str, str]:
     """Ingest once into Bronze, then Silver routing, windowed revenue and
     fraud alerts read Bronze as their stream.  Returns the output paths."""
     from basketry.functions.rules import StreamFraudRules
     from basketry.operators.fraud import stream_fraud
     paths = {k: f"{root}/{k}" for k in ("bronze", "silver", "silver_invalid_dates", "revenue_by_window", "fraud")}
     ck = f"{root}/_checkpoints"
-    ingest = to_bronze(read_event_files(spark, landing), paths["bronze"], f"{ck}/bronze", available_now)
+    ingest = to_bronze(read_event_files(spark, landing, max_files_per_trigger=max_files_per_trigger), paths["bronze"], f"{ck}/bronze", available_now)
     if available_now:
         await_all(spark, [ingest])
     else:
