@@ -78,7 +78,7 @@ class StreamFraudRules:
 
 # Rules for the driver's TPC-H-like data (order totals ~1k-500k, event values 0-500).
 TPCH_MONEY_SCALE = 100
-EVENT_MONEY_SCALE = 0.08
+EVENT_MONEY_SCALE = 0.04
 
 
 @dataclass(frozen=True)
@@ -92,5 +92,6 @@ class RuleSet:
 def tpch_rules() -> RuleSet:
     return RuleSet(cleaning=CleaningRules().scaled(TPCH_MONEY_SCALE),
                    rfm=RfmRules().scaled(TPCH_MONEY_SCALE),
-                   fraud=FraudRules().scaled(TPCH_MONEY_SCALE),
+                   fraud=replace(FraudRules().scaled(TPCH_MONEY_SCALE), total_quantity=((180, 3), (140, 2), (110, 1)),
+                                 max_item_quantity=((48, 3), (45, 2), (40, 1))),      # lines have up to 50 pieces
                    stream_fraud=StreamFraudRules().scaled(EVENT_MONEY_SCALE))

@@ -61,22 +61,10 @@ CATEGORY_RULES = [
     ("BOOK", "Books"),
 ]
 
-# Numeric validity ranges (inclusive) used by the composite cleaners.
-ORDER_AMOUNT_RANGE = (0, 50000)
-ITEM_QUANTITY_RANGE = (1, 100)
-ITEM_PRICE_RANGE = (0, 10000)
-ITEM_DISCOUNT_RANGE = (0, 100)
-PRODUCT_PRICE_RANGE = (0, 100000)
-PRODUCT_WEIGHT_RANGE = (0, 1000)
-AGE_RANGE = (18, 120)
-
 # Fraud-alert reason labels (message-log alerts).
 REASON_HIGH_AMOUNT = "High transaction amount"
-REASON_ELEVATED_AMOUNT = "Elevated transaction amount"
 REASON_SUSPICIOUS_STATUS = "Suspicious order status"
 REASON_FALLBACK = "Suspicious pattern"
-# Statuses that add risk to an order.
-SUSPICIOUS_STATUSES = ["cancelled", "refunded"]
 
 # Batch fraud type labels, tested in this order.
 FRAUD_TYPE_VELOCITY_VALUE = "Velocity + High Value"

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from basketry.functions import money
 from basketry.operators.model import MONEY_SUM
+from basketry.operators.quantiles import exact_quantiles
 
 PCT = T.DecimalType(38, 6)
 
@@ -78,16 +79,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def box_by_group(df: DataFrame, group: str, column: str) -> DataFrame:
     """M5: five-number summary per group (exact quartiles, linear interpolation).
 
-    Quartiles of cent values have at most 4 decimals; rounding the
+    Exact in bounded memory (``quantiles.exact_quantiles``).  Quartiles of cent values have at most 4 decimals; rounding the
     interpolated double to 6 places removes interpolation rounding noise,
     so the value is the exact one whatever the interpolation formula.
     """
-    x = F.col(column).cast("double")
-    return (df.groupBy(group)
-            .agg(F.min(x).alias("min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-                 F.max(x).alias("max"))
-            .select(group, "min", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"),
-                    F.round(F.col("q")[2], 6).alias("q3"), "max"))
+    return exact_quantiles(df, column, [0, 0.25, 0.5, 0.75, 1], [group]).select(
+        group, F.col("q")[0].alias("min"), F.round(F.col("q")[1], 6).alias("q1"), F.round(F.col("q")[2], 6).alias("median"),
+        F.round(F.col("q")[3], 6).alias("q3"), F.col("q")[4].alias("max"))
 
 
 # ------------------------------------------------------------------ Gold dashboards
@@ -137,13 +135,13 @@ def gold_value_segment(customer_months: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ entity dashboards
-def customer_event_kpis(customers: DataFrame) -> DataFrame:
-    """Customer records, distinct customers, creates (first record) and updates (re-deliveries)."""
-    agg = customers.agg(F.count(F.lit(1)).alias("events"), F.count("customer_id").alias("with_id"),
-                        F.countDistinct("customer_id").alias("unique_customers"))
-    return agg.select(F.col("events").cast("long").alias("total_events"), F.col("unique_customers").cast("long"),
-                      F.col("unique_customers").cast("long").alias("creates"),
-                      (F.col("with_id") - F.col("unique_customers")).cast("long").alias("updates"))
+def customer_event_kpis(events: DataFrame) -> DataFrame:
+    """Customer events, distinct customers, creates and updates by event type (other types are left out)."""
+    kind = F.col("event_type")
+    return events.filter(kind.isin("customer_create", "customer_update")).agg(
+        F.count(F.lit(1)).cast("long").alias("total_events"), F.countDistinct("customer_id").cast("long").alias("unique_customers"),
+        F.count_if(kind == "customer_create").cast("long").alias("creates"),
+        F.count_if(kind == "customer_update").cast("long").alias("updates"))
 
 
 def segment_counts(customers_clean: DataFrame) -> DataFrame:
@@ -162,9 +160,11 @@ def item_kpis(items_clean: DataFrame) -> DataFrame:
 
 def category_stats(items_clean: DataFrame, product_dim: DataFrame) -> DataFrame:
     """Units, summed unit price and item count per product category."""
-    joined = items_clean.select("product_id", "quantity_cleaned", "price_cleaned").join(
-        product_dim.select("product_id", "category_cleaned"), "product_id", "left")
+    # per product first: a hot product is one row per task when it is shuffled
+    per_product = items_clean.groupBy("product_id").agg(
+        F.sum("quantity_cleaned").alias("units"), money.sum_cents("price_cleaned").alias("c"), F.count(F.lit(1)).alias("items"))
+    joined = per_product.join(product_dim.select("product_id", "category_cleaned"), "product_id", "left")
     return (joined.groupBy(F.col("category_cleaned").alias("category"))
-            .agg(F.sum("quantity_cleaned").cast("long").alias("units"),
-                 money.money_sum("price_cleaned").cast("double").alias("price_sum"),
-                 F.count(F.lit(1)).cast("long").alias("items")))
+            .agg(F.sum("units").cast("long").alias("units"),
+                 money.cents_to_decimal(F.sum("c")).cast("double").alias("price_sum"),
+                 F.sum("items").cast("long").alias("items")))

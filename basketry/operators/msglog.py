@@ -57,9 +57,12 @@ def last_messages(log: DataFrame, limit: int, topic: str | None = None) -> DataF
 def committed_offsets(commits: DataFrame) -> DataFrame:
     """Last committed offset per (group, topic, partition) - last write wins
     (ties on time broken by the larger offset)."""
-    return commits.groupBy("group_id", "topic", "partition").agg(
-        F.max_by("committed_offset", F.struct("updated_at", "committed_offset")).alias("committed_offset"),
-        F.max("updated_at").alias("updated_at"))
+    # time and offset as one fixed-width number, so the maximum is a hash aggregate
+    size = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    both = F.unix_micros("updated_at").cast("decimal(18,0)") * size + F.col("committed_offset").cast("decimal(19,0)")
+    last = commits.groupBy("group_id", "topic", "partition").agg(F.max(both.cast("decimal(38,0)")).alias("last"))
+    return last.select("group_id", "topic", "partition", (F.col("last") % size).cast("long").alias("committed_offset"),
+                       F.timestamp_micros(F.floor(F.col("last") / size).cast("long")).alias("updated_at"))
 
 
 def consumer_lag(stats: DataFrame, committed: DataFrame) -> DataFrame:
@@ -72,16 +75,18 @@ def consumer_lag(stats: DataFrame, committed: DataFrame) -> DataFrame:
 
 def retained(log: DataFrame, topics: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Messages still inside their topic's retention period at ``as_of``
-    (default: newest message time).  Write the result with overwrite to apply it."""
+    (default: newest message time).  Messages of a topic without a retention
+    period are kept.  Write the result with overwrite to apply it."""
     as_of = as_of if as_of is not None else log.select(F.max("timestamp")).scalar()
     cfg = topics.select(F.col("topic_name").alias("topic"), "retention_hours")
     keep = F.col("timestamp") >= as_of - F.make_interval(hours=F.col("retention_hours").cast("int"))
-    return log.join(cfg, "topic", "left").filter(keep).drop("retention_hours")
+    return log.join(cfg, "topic", "left").filter(F.col("retention_hours").isNull() | keep).drop("retention_hours")
 
 
 def message_rates(log: DataFrame, samples: int = 10) -> DataFrame:
     """Per (topic, partition) and minute, messages per minute over the last
-    ``samples`` one-minute snapshots ((last - first cumulative count) / seconds x 60).
+    ``samples`` one-minute snapshots ((last - first cumulative count) / seconds x 60;
+    0 for a single snapshot).
 
     The windows run over per-minute snapshots, so a group is bounded by the
     number of minutes, not by message volume.
@@ -94,4 +99,5 @@ def message_rates(log: DataFrame, samples: int = 10) -> DataFrame:
     first_total, first_min = F.first("total").over(last_k), F.first("minute").over(last_k)
     secs = F.unix_timestamp("minute") - F.unix_timestamp(first_min)
     return snap.select("topic", "partition", "minute", F.col("total").cast("long").alias("messages_total"),
-                       F.when(secs > 0, (F.col("total") - first_total) / secs * 60).alias("messages_per_minute"))
+                       F.when(secs > 0, (F.col("total") - first_total) / secs * 60).otherwise(0.0)
+                       .alias("messages_per_minute"))

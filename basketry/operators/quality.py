@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.operators.quantiles import exact_quantiles
+
 PCT = T.DecimalType(38, 6)
 
 
@@ -40,6 +42,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 def nan_counts(df: DataFrame) -> DataFrame:
     """F16: NaN count per floating-point column (one row)."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not floats:                                    # one row without columns
+        return df.sparkSession.range(1).select()
     return df.agg(*[F.count_if(F.isnan(F.col(f"`{c}`"))).alias(c) for c in floats])
 
 
@@ -97,13 +101,21 @@ def quality_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [table_summary(df, name) for name, df in tables.items()])
 
 
-def quality_overview(summary: DataFrame) -> DataFrame:
-    """Totals across tables - rows, mean completeness, duplicate rows."""
-    return summary.agg(
+def quality_overview(summary: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
+    """Totals across tables - rows, mean completeness, duplicate rows, and the rows of ``invalid`` (column n) added up."""
+    out = summary.agg(
         F.sum("total_rows").cast("long").alias("total_rows"),
         F.round(F.avg(F.col("completeness_score").cast(T.DecimalType(10, 2))).cast(PCT), 2).cast("double").alias("avg_completeness"),
         F.sum("duplicate_rows").cast("long").alias("duplicate_rows"),
         F.count(F.lit(1)).cast("long").alias("tables"))
+    if invalid is None:
+        return out
+    return out.withColumn("invalid_rows", invalid.select(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).scalar())
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    """One row, n: the number of rows."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, check: str) -> DataFrame:
@@ -144,16 +156,13 @@ def flag_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate")
     """
     cols = df.columns
     rest = [c for c in cols if c not in keys]
-    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    if rest:
-        # first row per key, taken from the (already collapsed) distinct rows
-        firsts = copies.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first"))
-        tagged = _join_null_safe(copies, firsts, keys)
-        is_first = F.struct(*[F.col(c) for c in rest]).eqNullSafe(F.col("__first"))
-    else:
-        tagged = copies
-        is_first = F.lit(True)
-    exploded = tagged.withColumn("__is_first", is_first).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
+    # copies are counted per input task, so one row stands for no more copies than a task has read
+    copies = df.withColumn("__task", F.spark_partition_id()).groupBy(*cols, "__task").agg(F.count(F.lit(1)).alias("__n"))
+    firsts = copies.groupBy(*keys).agg(F.min(F.struct(*rest, "__task")).alias("__first"))
+    tagged = _join_null_safe(copies, firsts, keys)
+    is_first = F.struct(*[F.col(c) for c in [*rest, "__task"]]).eqNullSafe(F.col("__first"))
+    exploded = tagged.withColumn("__is_first", is_first).withColumn(
+        "__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     return exploded.select(*cols, (~(F.col("__is_first") & (F.col("__i") == 1))).alias(flag))
 
 
@@ -168,15 +177,12 @@ def quantiles(df: DataFrame, column: str, probs: list[float], exact: bool = True
     """Scalar-subquery Column holding ``array<double>`` of quantiles.
 
     ``exact`` uses linear interpolation between order statistics (the SQL
-    ``quantile_cont``); its final merge holds one counter per *distinct*
-    value, so use it on bounded domains (money in cents, counts, ages).
-    ``exact=False`` uses a bounded-memory sketch (``percentile_approx``)
-    for unbounded domains.
+    ``quantile_cont``) in bounded memory; ``exact=False`` uses a sketch
+    (``percentile_approx``), one pass with a rank error of 1 / ``accuracy``.
     """
-    x = F.col(column).cast("double")
-    agg = F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact else \
-        F.percentile_approx(x, [float(p) for p in probs], accuracy)
-    return df.select(agg).scalar()
+    if exact:
+        return exact_quantiles(df, column, probs).scalar()
+    return df.select(F.percentile_approx(F.col(column).cast("double"), [float(p) for p in probs], accuracy)).scalar()
 
 
 def iqr_outliers(df: DataFrame, column: str, multiplier: float = 1.5, flag: str | None = None,

@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.functions.money import div_half_up, nearest_long
+from basketry.functions.vocab import DATE_FORMATS
 from basketry.sources.tables import read_table
 
 MONEY = T.DoubleType()
 
 # Output layouts used to render dirty date text (Spark pattern letters).
-RENDER_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd", "MMMM dd, yyyy"]
+RENDER_FORMATS = DATE_FORMATS
 
 
 def _pick(selector: Column, choices: list[Column | str | None], default=None) -> Column:
@@ -58,8 +59,8 @@ def orders_from(orders: DataFrame) -> DataFrame:
             .when(r == 13, -1 - F.col("o_custkey"))          # orphan: no such customer
             .otherwise(F.col("o_custkey")))
     order_date = (F.when(r == 19, F.lit(None).cast("string"))
-                  .when(r == 23, F.lit("2024-13-45"))
-                  .when(r == 29, F.lit("2023-02-30"))         # impossible day
+                  .when(r == 23, F.lit("1996-17-40"))
+                  .when(r == 29, F.lit("1997-02-31"))         # impossible day
                   .otherwise(_render_date(d, k % 5)))
     v = k % 4
     by_state = (F.when(F.col("o_orderstatus") == "F", _pick(v, ["completed", "Completed", "COMPLETE", " completed "]))
@@ -67,7 +68,7 @@ def orders_from(orders: DataFrame) -> DataFrame:
                 .otherwise(_pick(v, ["processing", "Processing", "shipped", "SHIPPED"])))
     status = (F.when(r == 31, F.lit(None).cast("string"))
               .when(r == 37, F.lit(""))
-              .when(r == 41, F.lit("unknwon"))
+              .when(r == 41, F.lit("on its way"))
               .when(r == 43, F.lit("Refunded"))
               .when(r == 47, F.lit("RETURNED"))
               .when(r == 53, F.lit("canceled"))
@@ -79,20 +80,24 @@ def orders_from(orders: DataFrame) -> DataFrame:
               .when(r == 71, -price)
               .when(r == 73, F.lit(0.0))
               .otherwise(price))
+    at = F.col("o_orderdate")
+    updated = _pick(k % 5, [F.lit(None).cast("string"), F.date_format(at, "yyyy-MM-dd HH:mm:ss"),
+                            F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(at, "MM/dd/yyyy"),
+                            F.unix_timestamp(at.cast("timestamp")).cast("string")])
     # copy 1 = a re-delivery of the order: same id, lower-case status, replay source
     copies = F.array_compact(F.array(F.lit(0), F.when(k % 211 == 5, F.lit(1))))
     base = orders.select(
         F.explode(copies).alias("_copy"),
         k.alias("order_id"), cust.alias("customer_id"), order_date.alias("order_date"),
         status.alias("status"), amount.cast(MONEY).alias("total_amount"),
-        _pick(k % 3, ["web", "mobile", "store"]).alias("source_system"),
+        _pick(k % 3, ["web", "mobile", "store"]).alias("source_system"), updated.alias("last_updated"),
     )
     replay = F.col("_copy") == 1
     return base.select(
         "order_id", "customer_id", "order_date",
         F.when(replay, F.lit("completed")).otherwise(F.col("status")).alias("status"),
         "total_amount",
-        F.when(replay, F.lit("replay")).otherwise(F.col("source_system")).alias("source_system"))
+        F.when(replay, F.lit("replay")).otherwise(F.col("source_system")).alias("source_system"), "last_updated")
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +120,8 @@ def customers_from(customer: DataFrame) -> DataFrame:
                           F.concat(F.lit("  "), F.upper(n), F.lit("  ")), F.lower(n),
                           F.regexp_replace(n, "#", "  #"), "Unknown"], n)
     local, good = F.col("_local"), F.col("_good")
-    email = _pick(k % 17, [None, "notanemail", "user@", "@domain.com", F.concat(F.lit(" "), good),
-                           F.upper(good), "N/A", "", F.concat(local, F.lit("@domain"))], good)
+    email = _pick(k % 17, [None, "no at sign", "nobody@", "@nowhere.org", F.concat(F.lit(" "), good),
+                           F.upper(good), "N/A", "", F.concat(local, F.lit("@host"))], good)
     jd = F.date_add(F.lit("1992-01-01").cast("date"), ((k * 37) % 2400).cast("int"))
     join_date = F.when(k % 6 == 5, F.lit(None).cast("string")).otherwise(_render_date(jd, k % 6))
     seg_map = (F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("Premium"))
@@ -150,6 +155,9 @@ def customers_from(customer: DataFrame) -> DataFrame:
         k.alias("customer_id"), name.alias("name"), email.alias("email"), join_date.alias("join_date"),
         segment.alias("segment"), phone.alias("phone"), age.cast("long").alias("age"),
         opt_in.alias("marketing_opt_in"),
+        F.when(k % 7 != 0, F.concat(F.lit("No. "), k.cast("string"), F.lit(" Main Street"))).alias("address"),
+        F.when(k % 9 != 0, F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), (k % 200).cast("int")), "yyyy-MM-dd"))
+        .alias("last_login"),
     )
     copy = F.col("_copy")
     return base.select(
@@ -157,7 +165,7 @@ def customers_from(customer: DataFrame) -> DataFrame:
         F.when(copy == 1, F.upper(F.col("name"))).otherwise(F.col("name")).alias("name"),
         "email", "join_date",
         F.when(copy == 1, F.lit("Gold")).otherwise(F.col("segment")).alias("segment"),
-        "phone", "age", "marketing_opt_in")
+        "phone", "age", "marketing_opt_in", "address", "last_login")
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +220,8 @@ def products_from(part: DataFrame) -> DataFrame:
     r_c = F.col("_r_c")
     r = r_c / F.lit(100.0)
     name = _pick(k % 19, [None, "", "TBD", F.concat(F.lit("  "), nm)], nm)
-    category = _pick(k % 23, [None, "", "Unknown", "electronics", "HOME_KITCHEN", "Kitchen", "sports", "Books",
-                              "Tech", "Media"], F.col("p_type"))
+    category = _pick(k % 23, [None, "", "Unknown", "electronics", "kitchen things", "Home", "sports", "Books",
+                              "Gadget", "Music"], F.col("p_type"))
     unit_price = _pick(k % 31, [F.lit(None).cast(MONEY), F.lit(0.0), -r, F.lit(250000.0)], r)
     cost_at = lambda pct: div_half_up(r_c * pct, 100) / F.lit(100.0)  # noqa: E731  (pct of price, cents half up)
     cost = _pick(k % 37, [F.lit(None).cast(MONEY), cost_at(F.lit(125)), F.lit(-1.0)], cost_at(40 + k % 30))
@@ -229,13 +237,13 @@ def products_from(part: DataFrame) -> DataFrame:
         k.alias("product_id"), name.alias("product_name"), category.alias("category"),
         F.col("p_brand").alias("subcategory"), unit_price.cast(MONEY).alias("unit_price"),
         cost.cast(MONEY).alias("cost"), active.alias("is_active"), created.alias("created_date"),
-        weight.cast("double").alias("weight_kg"),
+        weight.cast("double").alias("weight_kg"), F.when(k % 43 != 0, k % 100 + 1).alias("supplier_id"),
     )
     copy = F.col("_copy")
     return base.select(
         F.when(copy == 2, F.lit(None).cast("long")).otherwise(F.col("product_id")).alias("product_id"),
         F.when(copy == 1, F.upper(F.col("product_name"))).otherwise(F.col("product_name")).alias("product_name"),
-        "category", "subcategory", "unit_price", "cost", "is_active", "created_date", "weight_kg")
+        "category", "subcategory", "unit_price", "cost", "is_active", "created_date", "weight_kg", "supplier_id")
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,10 +321,12 @@ RETENTION_HOURS = [("purchase", 24 * 30), ("error", 24 * 7), ("click", 24), ("vi
 
 
 def topics_from(log: DataFrame) -> DataFrame:
-    """Topic configuration: one row per topic seen in the log."""
+    """Topic configuration: one row per topic seen in the log, but for ``signup``, which nobody configured, and one for
+    ``audit``, to which nobody has written."""
     hours = None
     for t, h in RETENTION_HOURS:
         hours = F.when(F.col("topic") == t, F.lit(h)) if hours is None else hours.when(F.col("topic") == t, F.lit(h))
-    return (log.groupBy("topic").agg(F.countDistinct("partition").alias("partitions"))
+    seen = log.withColumn("topic", F.when(F.col("topic") == "signup", "audit").otherwise(F.col("topic")))
+    return (seen.groupBy("topic").agg(F.countDistinct("partition").alias("partitions"))
             .select(F.col("topic").alias("topic_name"), F.col("partitions").cast("long"),
                     hours.otherwise(F.lit(168)).cast("long").alias("retention_hours")))

@@ -1,7 +1,7 @@
 """Order-event feed for the streaming queries, mapped from the ``events`` table.
 
 A fixture of the test cluster, not part of the library: every event is an
-order event, purchases also give an order item and signups a customer update.
+order event, purchases also give an order item, signups a customer create or update.
 The feed is dirty by rules on the event id, so that SQL can say the same: ids and
 amounts are missing, order dates come in several layouts, some times are no
 times.  It arrives in waves, as separate landings, with rows up to six minutes out of order
@@ -50,6 +50,7 @@ def landing_events(events: DataFrame) -> DataFrame:
     update = row("customer_update", customer_id=customer, name=name,
                  email=F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("@example.com")), join_date=date,
                  segment=F.when(k % 2 == 0, "VIP").otherwise("Regular"), phone=F.lit("5551230000"))
+    update = update.withField("event_type", F.when(k % 3 == 0, "customer_create").otherwise("customer_update"))
     rows = F.array_compact(F.array(order, F.when(kind == "purchase", item), F.when(kind == "signup", update)))
     return events.select(F.explode(rows).alias("e")).select("e.*")
 
@@ -99,7 +100,7 @@ SQL_ORDERS = (f"SELECT 'order' AS event_type, {_TIME} AS event_timestamp, {_ORDE
 SQL_ITEMS = (f"SELECT 'order_item' AS event_type, {_TIME} AS event_timestamp, event_id * 10 + 1 AS item_id, {_ORDER} AS order_id, "
              f"{_K} AS product_id, 1 + {_K} % 5 AS quantity, value AS price, CAST(event_id % 4 * 5 AS DOUBLE) AS discount_percent, "
              f"value * (1 + {_K} % 5) AS line_total FROM events WHERE event_type = 'purchase'")
-SQL_CUSTOMERS = (f"SELECT 'customer_update' AS event_type, {_TIME} AS event_timestamp, {_CUSTOMER} AS customer_id, "
+SQL_CUSTOMERS = (f"SELECT CASE WHEN event_id % 3 = 0 THEN 'customer_create' ELSE 'customer_update' END AS event_type, {_TIME} AS event_timestamp, {_CUSTOMER} AS customer_id, "
                  f"'Customer ' || user_id AS name, 'c' || user_id || '@example.com' AS email, {_DATE} AS join_date, "
                  f"CASE WHEN event_id % 2 = 0 THEN 'VIP' ELSE 'Regular' END AS segment, '5551230000' AS phone "
                  f"FROM events WHERE event_type = 'signup'")

@@ -11,10 +11,36 @@ CTEs, so unused ones cost nothing.
 
 from __future__ import annotations
 
-from basketry.functions import vocab as V
-from basketry.functions.rules import tpch_rules
-
-RULES = tpch_rules()
+from types import SimpleNamespace
+
+# The rule values, written out here a second time and not taken from the
+# package under test: a wrong value there must show as a mismatch.
+V = SimpleNamespace(
+    NAME_SENTINELS=["UNKNOWN", "N/A", "TBD", "TEST USER"],
+    NAME_TITLE_PATTERN=r"^(Mr\.|Ms\.|Mrs\.|Dr\.)\s*",
+    EMAIL_PATTERN=r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
+    EMAIL_SENTINELS=["N/A", "TBD", "UNKNOWN", "NOTANEMAIL"],
+    STATUS_GROUPS=[("completed", ["COMPLETED", "COMPLETE"]), ("cancelled", ["CANCELLED", "CANCELED"]),
+                   ("pending", ["PENDING", "PROCESSING"]), ("shipped", ["SHIPPED", "DELIVERED"]),
+                   ("refunded", ["REFUNDED", "RETURNED"]), ("failed", ["FAILED", "ERROR"]), ("unknown", ["UNKNWON"])],
+    SEGMENT_SENTINELS=["UNKNOWN", "N/A", "TBD"],
+    SEGMENT_GROUPS=[("Premium", ["PREMIUM", "VIP", "GOLD"]), ("Regular", ["REGULAR", "STANDARD", "BASIC", "SILVER"]),
+                    ("Bronze", ["BRONZE", "NEW"])],
+    TRUE_TOKENS=["TRUE", "T", "YES", "Y", "1", "ACTIVE"], FALSE_TOKENS=["FALSE", "F", "NO", "N", "0", "INACTIVE"],
+    PHONE_SENTINELS=["N/A", "UNKNOWN", "TBD"], PHONE_FAKE_PATTERN=r"^123-456-7890$",
+    PRODUCT_SENTINELS=["UNKNOWN", "N/A", "TBD"], UNKNOWN_PRODUCT="Unknown Product", OTHER_CATEGORY="Other",
+    CATEGORY_RULES=[("ELECTRONIC", "Electronics"), ("HOME", "Home & Kitchen"), ("KITCHEN", "Home & Kitchen"),
+                    ("SPORT", "Sports & Outdoors"), ("BOOK", "Books")])
+RULES = SimpleNamespace(
+    cleaning=SimpleNamespace(order_amount=(0, 5000000), item_quantity=(1, 100), item_price=(0, 1000000), item_discount=(0, 100),
+                             product_price=(0, 10000000), product_weight=(0, 1000), age=(18, 120)),
+    rfm=SimpleNamespace(high_monetary=50000, high_recency_days=60, medium_monetary=25000, medium_recency_days=90),
+    fraud=SimpleNamespace(amount=((500000, 4), (300000, 3), (200000, 2), (100000, 1)), velocity_days=((1, 4), (3, 2), (7, 1)),
+                          total_quantity=((180, 3), (140, 2), (110, 1)), max_item_quantity=((48, 3), (45, 2), (40, 1)),
+                          risk_levels=((8, "Critical"), (6, "High"), (4, "Medium")), low_label="Low", flag_at=3),
+    stream_fraud=SimpleNamespace(amount=((200.0, 4), (120.0, 3), (80.0, 2)),
+                                 alert_amount=((200.0, 4, "High transaction amount"), (80.0, 2, "Elevated transaction amount")),
+                                 status_points=1, flag_at=3, high_risk_at=5, alt_high_at=4, alt_unit=40.0))
 
 
 def _q(vals) -> str:
@@ -127,9 +153,9 @@ RAW_ORDERS = f"""
 raw_orders_base AS (
   SELECT {_o} AS order_id,
     CASE WHEN {_o} % 101 = 7 THEN NULL WHEN {_o} % 101 = 13 THEN -1 - o_custkey ELSE o_custkey END AS customer_id,
-    CASE WHEN {_o} % 101 = 19 THEN NULL WHEN {_o} % 101 = 23 THEN '2024-13-45'
-         WHEN {_o} % 101 = 29 THEN '2023-02-30' ELSE {render_date('CAST(o_orderdate AS DATE)', f'{_o} % 5')} END AS order_date,
-    CASE WHEN {_o} % 101 = 31 THEN NULL WHEN {_o} % 101 = 37 THEN '' WHEN {_o} % 101 = 41 THEN 'unknwon'
+    CASE WHEN {_o} % 101 = 19 THEN NULL WHEN {_o} % 101 = 23 THEN '1996-17-40'
+         WHEN {_o} % 101 = 29 THEN '1997-02-31' ELSE {render_date('CAST(o_orderdate AS DATE)', f'{_o} % 5')} END AS order_date,
+    CASE WHEN {_o} % 101 = 31 THEN NULL WHEN {_o} % 101 = 37 THEN '' WHEN {_o} % 101 = 41 THEN 'on its way'
          WHEN {_o} % 101 = 43 THEN 'Refunded' WHEN {_o} % 101 = 47 THEN 'RETURNED' WHEN {_o} % 101 = 53 THEN 'canceled'
          WHEN {_o} % 101 = 59 THEN 'Failed' WHEN {_o} % 101 = 61 THEN 'on hold'
          WHEN o_orderstatus = 'F' THEN {pick(f'{_o} % 4', ["'completed'", "'Completed'", "'COMPLETE'", "' completed '"])}
@@ -137,11 +163,12 @@ raw_orders_base AS (
          ELSE {pick(f'{_o} % 4', ["'processing'", "'Processing'", "'shipped'", "'SHIPPED'"])} END AS status,
     CASE WHEN {_o} % 101 = 67 THEN NULL WHEN {_o} % 101 = 71 THEN -o_totalprice
          WHEN {_o} % 101 = 73 THEN 0.0 ELSE o_totalprice END AS total_amount,
-    {pick(f'{_o} % 3', ["'web'", "'mobile'", "'store'"])} AS source_system
+    {pick(f'{_o} % 3', ["'web'", "'mobile'", "'store'"])} AS source_system,
+    {pick(f'{_o} % 5', ['NULL', "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')", "strftime(o_orderdate, '%m/%d/%Y')", "CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR)"])} AS last_updated
   FROM orders),
 raw_orders AS (
   SELECT order_id, customer_id, order_date, CASE WHEN _copy = 1 THEN 'completed' ELSE status END AS status, total_amount,
-    CASE WHEN _copy = 1 THEN 'replay' ELSE source_system END AS source_system
+    CASE WHEN _copy = 1 THEN 'replay' ELSE source_system END AS source_system, last_updated
   FROM (SELECT *, unnest(CASE WHEN order_id % 211 = 5 THEN [0, 1] ELSE [0] END) AS _copy FROM raw_orders_base))"""
 
 _k = "c_custkey"
@@ -154,8 +181,8 @@ raw_customers_base AS (
   SELECT {_k} AS customer_id,
     {pick(f'{_k} % 13', ['NULL', "''", "'N/A'", "'Mr. ' || c_name", "'Ms.  ' || c_name", "'  ' || upper(c_name) || '  '",
                          'lower(c_name)', "replace(c_name, '#', '  #')", "'Unknown'"] + ['c_name'] * 4)} AS name,
-    {pick(f'{_k} % 17', ['NULL', "'notanemail'", "'user@'", "'@domain.com'", f"' ' || {_good}", f"upper({_good})", "'N/A'", "''",
-                         "lower(replace(c_name, '#', '.')) || '@domain'"] + [_good] * 8)} AS email,
+    {pick(f'{_k} % 17', ['NULL', "'no at sign'", "'nobody@'", "'@nowhere.org'", f"' ' || {_good}", f"upper({_good})", "'N/A'", "''",
+                         "lower(replace(c_name, '#', '.')) || '@host'"] + [_good] * 8)} AS email,
     CASE WHEN {_k} % 6 = 5 THEN NULL ELSE {render_date(f"(DATE '1992-01-01' + CAST(({_k} * 37) % 2400 AS INTEGER))", f'{_k} % 6')} END AS join_date,
     CASE WHEN {_k} % 29 = 1 THEN 'vip ' WHEN {_k} % 29 = 2 THEN '' WHEN {_k} % 29 = 3 THEN NULL WHEN {_k} % 29 = 4 THEN 'N/A'
          WHEN {_k} % 29 = 5 THEN 'Churned' WHEN {_k} % 29 = 6 THEN 'new' WHEN {_k} % 29 = 7 THEN 'SILVER'
@@ -165,12 +192,14 @@ raw_customers_base AS (
                          f"'(' || {_a} || ') ' || {_e} || '-' || {_l}", f"{_a} || {_e} || {_l}", "'123-456-7890'", 'NULL', "''",
                          "'N/A'", "'Unknown'", f"{_e} || '-' || {_l}", f"{_a} || '-' || {_e} || '-' || {_l}"])} AS phone,
     CAST(CASE WHEN {_k} % 53 = 0 THEN 150 + {_k} % 50 WHEN {_k} % 31 = 0 THEN NULL ELSE {_k} % 91 - 5 END AS BIGINT) AS age,
-    {pick(f'{_k} % 12', ["'True'", "'False'", "'Yes'", "'No'", "'Y'", "'N'", "'1'", "'0'", "'Active'", "'Inactive'", "''", 'NULL'])} AS marketing_opt_in
+    {pick(f'{_k} % 12', ["'True'", "'False'", "'Yes'", "'No'", "'Y'", "'N'", "'1'", "'0'", "'Active'", "'Inactive'", "''", 'NULL'])} AS marketing_opt_in,
+    CASE WHEN {_k} % 7 <> 0 THEN 'No. ' || CAST({_k} AS VARCHAR) || ' Main Street' END AS address,
+    CASE WHEN {_k} % 9 <> 0 THEN strftime(DATE '1998-01-01' + CAST({_k} % 200 AS INTEGER), '%Y-%m-%d') END AS last_login
   FROM customer),
 raw_customers AS (
   SELECT CASE WHEN _copy = 2 THEN NULL ELSE customer_id END AS customer_id,
     CASE WHEN _copy = 1 THEN upper(name) ELSE name END AS name, email, join_date,
-    CASE WHEN _copy = 1 THEN 'Gold' ELSE segment END AS segment, phone, age, marketing_opt_in
+    CASE WHEN _copy = 1 THEN 'Gold' ELSE segment END AS segment, phone, age, marketing_opt_in, address, last_login
   FROM (SELECT *, unnest(list_concat(list_concat([0], CASE WHEN customer_id % 97 = 1 THEN [1] ELSE []::INTEGER[] END),
                                      CASE WHEN customer_id % 197 = 3 THEN [2] ELSE []::INTEGER[] END)) AS _copy
         FROM raw_customers_base))"""
@@ -207,25 +236,26 @@ RAW_PRODUCTS = f"""
 raw_products_base AS (
   SELECT {_p} AS product_id,
     {pick(f'{_p} % 19', ['NULL', "''", "'TBD'", "'  ' || p_name"] + ['p_name'] * 15)} AS product_name,
-    {pick(f'{_p} % 23', ['NULL', "''", "'Unknown'", "'electronics'", "'HOME_KITCHEN'", "'Kitchen'", "'sports'", "'Books'", "'Tech'", "'Media'"] + ['p_type'] * 13)} AS category,
+    {pick(f'{_p} % 23', ['NULL', "''", "'Unknown'", "'electronics'", "'kitchen things'", "'Home'", "'sports'", "'Books'", "'Gadget'", "'Music'"] + ['p_type'] * 13)} AS category,
     p_brand AS subcategory,
     CAST({pick(f'{_p} % 31', ['NULL', '0.0', f'-{_rp}', '250000.0'] + [_rp] * 27)} AS DOUBLE) AS unit_price,
     CAST({pick(f'{_p} % 37', ['NULL', _cost_at(125), '-1.0'] + [_cost_at(f'(40 + {_p} % 30)')] * 34)} AS DOUBLE) AS cost,
     {pick(f'{_p} % 10', ["'True'", "'False'", "'Yes'", "'No'", "'Active'", "'Inactive'", "'1'", "'0'", "''", 'NULL'])} AS is_active,
     {pick(f'{_p} % 4', [f"strftime({_cd}, '%Y-%m-%d')", f"strftime({_cd}, '%m/%d/%Y')", f"strftime({_cd}, '%d-%m-%Y')",
                         f"strftime({_cd}, '%Y-%m-%d %H:%M:%S')"])} AS created_date,
-    CAST({pick(f'{_p} % 41', ['NULL', '-1.0', '5000.0'] + ['p_size * 0.5'] * 38)} AS DOUBLE) AS weight_kg
+    CAST({pick(f'{_p} % 41', ['NULL', '-1.0', '5000.0'] + ['p_size * 0.5'] * 38)} AS DOUBLE) AS weight_kg,
+    CASE WHEN {_p} % 43 <> 0 THEN {_p} % 100 + 1 END AS supplier_id
   FROM part),
 raw_products AS (
   SELECT CASE WHEN _copy = 2 THEN NULL ELSE product_id END AS product_id,
     CASE WHEN _copy = 1 THEN upper(product_name) ELSE product_name END AS product_name,
-    category, subcategory, unit_price, cost, is_active, created_date, weight_kg
+    category, subcategory, unit_price, cost, is_active, created_date, weight_kg, supplier_id
   FROM (SELECT *, unnest(list_concat(list_concat([0], CASE WHEN product_id % 89 = 1 THEN [1] ELSE []::INTEGER[] END),
                                      CASE WHEN product_id % 211 = 2 THEN [2] ELSE []::INTEGER[] END)) AS _copy
         FROM raw_products_base))"""
 
 # ----------------------------------------------------------------- cleaned model
-ORDER_COLS = ["order_id", "customer_id", "order_date", "status", "total_amount", "source_system"]
+ORDER_COLS = ["order_id", "customer_id", "order_date", "status", "total_amount", "source_system", "last_updated"]
 CLEAN = f"""
 orders_dedup AS ({dedup_first('raw_orders', 'order_id', ORDER_COLS)}),
 orders_c1 AS (

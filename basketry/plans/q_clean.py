@@ -89,7 +89,7 @@ def q_enrich_orders(spark, sf_dir):
     return CL.enrich_orders(df, "d", "status").select("order_id", "order_year", "order_month", "is_completed")
 
 
-ORDER_OUT = ["order_id", "customer_id", "order_date", "status", "total_amount", "source_system", "order_date_cleaned",
+ORDER_OUT = ["order_id", "customer_id", "order_date", "status", "total_amount", "source_system", "last_updated", "order_date_cleaned",
              "status_cleaned", "total_amount_cleaned", "order_year", "order_month", "is_completed", "is_valid_order"]
 
 

@@ -10,6 +10,8 @@ from basketry.plans.context import context
 from basketry.plans.oracle import avg2, money_sum, with_base
 from basketry.plans.registry import decimals_to_double, register
 from basketry.plans import feed
+from basketry.plans import landing as LD
+from basketry.sources.tables import read_table
 
 
 def ctx(spark, sf_dir):
@@ -59,6 +61,23 @@ def q_amount_histogram(spark, sf_dir):
     return L.histogram(events(ctx(spark, sf_dir)), "total_amount", 30)
 
 
+_HIST = """
+SELECT bin, lo + bin * (hi - lo) / 10 AS bin_start, lo + (bin + 1) * (hi - lo) / 10 AS bin_end, count(*) AS count
+FROM (SELECT CAST(CASE WHEN hi - lo = 0 THEN 0 ELSE least(floor((x - lo) / (hi - lo) * 10), 9) END AS BIGINT) AS bin, lo, hi
+      FROM scores, (SELECT min(x) AS lo, max(x) AS hi FROM scores))
+GROUP BY bin, lo, hi"""
+
+
+@register("fraud_score_histogram", with_base(_HIST, """
+scores AS (SELECT CAST(s AS DOUBLE) AS x FROM (
+  SELECT CASE WHEN total_amount > 200.0 THEN 4 WHEN total_amount > 120.0 THEN 3 WHEN total_amount > 80.0 THEN 2 ELSE 0 END
+    + CASE WHEN status IN ('cancelled', 'refunded') THEN 1 ELSE 0 END AS s FROM events_enriched WHERE is_valid_order = 1) WHERE s >= 3)"""))
+def q_fraud_score_histogram(spark, sf_dir):
+    """M4: flagged orders by fraud score, 10 bins."""
+    c = ctx(spark, sf_dir)
+    return L.histogram(FR.stream_fraud(events(c), c.rules.stream_fraud), "fraud_score", 10)
+
+
 @register("amount_box_by_status", with_base("""
 SELECT status, min(x) AS min, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median,
   round(quantile_cont(x, 0.75), 6) AS q3,
@@ -78,10 +97,10 @@ SELECT CAST(coalesce(CAST(sum(revenue) AS DECIMAL(38,2)), 0) AS DOUBLE) AS reven
   count(DISTINCT customer_id) AS customers,
   CASE WHEN coalesce(sum(orders), 0) > 0 THEN {avg2('CAST(sum(revenue) AS DECIMAL(38,2))', 'sum(orders)')} ELSE 0.0 END AS avg_order_value
 FROM gold_months WHERE order_year IN (1996, 1997, 1998) AND customer_segment IN ('Premium', 'Regular', 'Bronze')
-  AND value_segment IN ('high_value', 'medium_value', 'low_value')""", GOLD_MONTHS_CTE))
+  AND value_segment IN ('high_value', 'medium_value')""", GOLD_MONTHS_CTE))
 def q_gold_filtered_kpis(spark, sf_dir):
     return L.gold_filtered_kpis(gold_months(ctx(spark, sf_dir)), FILTER_YEARS, FILTER_SEGMENTS,
-                                ["high_value", "medium_value", "low_value"])
+                                ["high_value", "medium_value"])
 
 
 @register("gold_monthly_trend", with_base("""
@@ -109,11 +128,11 @@ def q_gold_value_segment(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ M14, M15
-@register("customer_event_kpis", with_base("""
-SELECT count(*) AS total_events, count(DISTINCT customer_id) AS unique_customers, count(DISTINCT customer_id) AS creates,
-  count(customer_id) - count(DISTINCT customer_id) AS updates FROM raw_customers"""))
+@register("customer_event_kpis", f"""
+SELECT count(*) AS total_events, count(DISTINCT customer_id) AS unique_customers, count_if(event_type = 'customer_create') AS creates,
+  count_if(event_type = 'customer_update') AS updates FROM ({LD.SQL_CUSTOMERS})""")
 def q_customer_event_kpis(spark, sf_dir):
-    return L.customer_event_kpis(ctx(spark, sf_dir).raw_customers)
+    return L.customer_event_kpis(LD.landing_events(read_table(spark, sf_dir, "events")))
 
 
 @register("customer_segment_counts", with_base(
@@ -150,9 +169,9 @@ commits AS (
   UNION ALL
   SELECT 'batch', topic, "partition", CAST(floor("offset" / 100) * 100 AS BIGINT), "timestamp" FROM message_log),
 topic_cfg AS (
-  SELECT topic AS topic_name, count(DISTINCT "partition") AS partitions,
+  SELECT CASE topic WHEN 'signup' THEN 'audit' ELSE topic END AS topic_name, count(DISTINCT "partition") AS partitions,
     CAST(CASE topic WHEN 'purchase' THEN 720 WHEN 'error' THEN 168 WHEN 'click' THEN 24 WHEN 'view' THEN 48
-         WHEN 'signup' THEN 336 ELSE 168 END AS BIGINT) AS retention_hours
+         ELSE 168 END AS BIGINT) AS retention_hours
   FROM message_log GROUP BY topic),
 stats AS (
   SELECT topic, "partition", count(*) AS message_count, min("offset") AS earliest_offset, max("offset") AS latest_offset
@@ -210,8 +229,8 @@ def q_consumer_lag(spark, sf_dir):
 
 
 @register("log_retention", with_base("""
-SELECT m.topic, m."partition", m."offset", m."timestamp" FROM message_log m JOIN topic_cfg t ON m.topic = t.topic_name
-WHERE m."timestamp" >= (SELECT max("timestamp") FROM message_log) - to_hours(t.retention_hours)""", LOG_CTE))
+SELECT m.topic, m."partition", m."offset", m."timestamp" FROM message_log m LEFT JOIN topic_cfg t ON m.topic = t.topic_name
+WHERE t.retention_hours IS NULL OR m."timestamp" >= (SELECT max("timestamp") FROM message_log) - to_hours(t.retention_hours)""", LOG_CTE))
 def q_log_retention(spark, sf_dir):
     lg = log(ctx(spark, sf_dir))
     return ML.retained(lg, feed.topics_from(lg)).select("topic", "partition", "offset", "timestamp")
@@ -219,7 +238,7 @@ def q_log_retention(spark, sf_dir):
 
 @register("message_rates", with_base("""
 SELECT topic, "partition", minute, CAST(total AS BIGINT) AS messages_total,
-  CASE WHEN epoch(minute) - epoch(fm) > 0 THEN CAST(total - ft AS DOUBLE) / (epoch(minute) - epoch(fm)) * 60 END AS messages_per_minute
+  CASE WHEN epoch(minute) - epoch(fm) > 0 THEN CAST(total - ft AS DOUBLE) / (epoch(minute) - epoch(fm)) * 60 ELSE 0 END AS messages_per_minute
 FROM (SELECT *, first_value(total) OVER w AS ft, first_value(minute) OVER w AS fm
       FROM (SELECT *, sum(n) OVER (PARTITION BY topic, "partition" ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
             FROM (SELECT topic, "partition", date_trunc('minute', "timestamp") AS minute, count(*) AS n FROM message_log GROUP BY 1, 2, 3))
@@ -230,8 +249,8 @@ def q_message_rates(spark, sf_dir):
 
 @register("fraud_timeline", with_base(f"""
 SELECT event_time AS order_timestamp, CAST(s AS BIGINT) AS fraud_score, CAST(total_amount AS DOUBLE) AS total_amount FROM (
-  SELECT event_time, total_amount, CASE WHEN total_amount > 400.0 THEN 4 WHEN total_amount > 240.0 THEN 3
-    WHEN total_amount > 160.0 THEN 2 ELSE 0 END + CASE WHEN status IN ('cancelled', 'refunded') THEN 1 ELSE 0 END AS s
+  SELECT event_time, total_amount, CASE WHEN total_amount > 200.0 THEN 4 WHEN total_amount > 120.0 THEN 3
+    WHEN total_amount > 80.0 THEN 2 ELSE 0 END + CASE WHEN status IN ('cancelled', 'refunded') THEN 1 ELSE 0 END AS s
   FROM events_enriched WHERE is_valid_order = 1) WHERE s >= 3"""))
 def q_fraud_timeline(spark, sf_dir):
     """M7: (time, score, amount) points of the stream fraud scores."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketry.operators import analytics as A
 from basketry.operators import quality as Q
 from basketry.operators.model import dedup_keep_first
 from basketry.plans.context import RetailContext, context
@@ -19,13 +20,13 @@ def ctx(spark, sf_dir):
 # raw table -> (column, is_text) in column order (for the SQL oracle)
 RAW_SCHEMAS = {
     "orders": ("raw_orders", [("order_id", 0), ("customer_id", 0), ("order_date", 1), ("status", 1),
-                              ("total_amount", 0), ("source_system", 1)]),
+                              ("total_amount", 0), ("source_system", 1), ("last_updated", 1)]),
     "customers": ("raw_customers", [("customer_id", 0), ("name", 1), ("email", 1), ("join_date", 1), ("segment", 1),
-                                    ("phone", 1), ("age", 0), ("marketing_opt_in", 1)]),
+                                    ("phone", 1), ("age", 0), ("marketing_opt_in", 1), ("address", 1), ("last_login", 1)]),
     "order_items": ("raw_items", [("item_id", 0), ("order_id", 0), ("product_id", 0), ("quantity", 0), ("price", 0),
                                   ("discount_percent", 0), ("tax_amount", 0), ("line_total", 0)]),
     "products": ("raw_products", [("product_id", 0), ("product_name", 1), ("category", 1), ("subcategory", 1),
-                                  ("unit_price", 0), ("cost", 0), ("is_active", 1), ("created_date", 1), ("weight_kg", 0)]),
+                                  ("unit_price", 0), ("cost", 0), ("is_active", 1), ("created_date", 1), ("weight_kg", 0), ("supplier_id", 0)]),
 }
 
 
@@ -102,10 +103,16 @@ def q_dq_summary(spark, sf_dir):
 @register("dq_overview", with_base(f"""
 SELECT CAST(sum(total_rows) AS BIGINT) AS total_rows,
   CAST(round(CAST(avg(CAST(completeness_score AS DECIMAL(10,2))) AS DECIMAL(38,6)), 2) AS DOUBLE) AS avg_completeness,
-  CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, count(*) AS tables
+  CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, count(*) AS tables,
+  CAST((SELECT count(*) FROM orders_clean WHERE order_date_cleaned IS NULL OR order_date_cleaned > DATE '1998-01-01')
+    + (SELECT count(*) FROM raw_customers WHERE email IS NULL OR NOT regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$'))
+    + (SELECT count(*) FROM raw_orders WHERE total_amount < 0) AS BIGINT) AS invalid_rows
 FROM ({_summary_sql()})"""))
 def q_dq_overview(spark, sf_dir):
-    return Q.quality_overview(Q.quality_summary(raw_tables(ctx(spark, sf_dir))))
+    c = ctx(spark, sf_dir)
+    invalid = (Q.row_count(A.invalid_dates(c.orders_clean, "1998-01-01")).union(Q.row_count(A.invalid_emails(c.raw_customers)))
+               .union(Q.row_count(A.negative_amounts(c.raw_orders))))
+    return Q.quality_overview(Q.quality_summary(raw_tables(c)), invalid)
 
 
 @register("referential_integrity", with_base("""
@@ -147,7 +154,7 @@ def q_flag_duplicates(spark, sf_dir):
 
 @register("dedup_keep_first", with_base("""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY name NULLS FIRST, email NULLS FIRST,
-  join_date NULLS FIRST, segment NULLS FIRST, phone NULLS FIRST, age NULLS FIRST, marketing_opt_in NULLS FIRST) AS rn
+  join_date NULLS FIRST, segment NULLS FIRST, phone NULLS FIRST, age NULLS FIRST, marketing_opt_in NULLS FIRST, address NULLS FIRST, last_login NULLS FIRST) AS rn
   FROM raw_customers) WHERE rn = 1""".replace("SELECT * FROM (SELECT *,", "SELECT * EXCLUDE (rn) FROM (SELECT *,")))
 def q_dedup_keep_first(spark, sf_dir):
     return dedup_keep_first(ctx(spark, sf_dir).raw_customers, ["customer_id"])
@@ -176,3 +183,33 @@ CLEAN_PAIRS = [("name", "name_cleaned"), ("email", "email_cleaned"), ("join_date
     + ") AS missing_after FROM customers_clean" for raw, clean in CLEAN_PAIRS)))
 def q_cleaning_impact(spark, sf_dir):
     return Q.cleaning_impact(ctx(spark, sf_dir).customers_clean, CLEAN_PAIRS, "customers")
+
+
+def _impact_sql(table, view, pairs, text):
+    """Missing before and after cleaning; ``text`` has the columns whose empty string counts as missing."""
+    def miss(c):
+        return f"{c} IS NULL" + (f" OR {c} = ''" if c in text else "")
+    return "\nUNION ALL\n".join(
+        f"SELECT '{table}' AS table_name, '{raw}' AS column_name, count(*) AS total_rows, count_if({miss(raw)}) AS missing_before, "
+        f"count_if({miss(clean)}) AS missing_after FROM {view}" for raw, clean in pairs)
+
+
+IMPACT = {
+    "orders": ("orders_clean", [("order_date", "order_date_cleaned"), ("status", "status_cleaned"), ("total_amount", "total_amount_cleaned")],
+               {"order_date", "status", "status_cleaned"}),
+    "order_items": ("items_clean", [("quantity", "quantity_cleaned"), ("price", "price_cleaned"),
+                                    ("discount_percent", "discount_percent_cleaned")], set()),
+    "products": ("products_clean", [("product_name", "product_name_cleaned"), ("category", "category_cleaned"),
+                                    ("unit_price", "unit_price_cleaned"), ("cost", "cost_cleaned"), ("is_active", "is_active_cleaned"),
+                                    ("created_date", "created_date_cleaned"), ("weight_kg", "weight_kg_cleaned")],
+                 {"product_name", "product_name_cleaned", "category", "category_cleaned", "is_active", "created_date"}),
+}
+
+
+@register("cleaning_impact_tables", with_base("\nUNION ALL\n".join(_impact_sql(t, *args) for t, args in IMPACT.items())))
+def q_cleaning_impact_tables(spark, sf_dir):
+    """Orders, items and products besides customers."""
+    c = ctx(spark, sf_dir)
+    frames = {"orders": c.orders_clean, "order_items": c.items_clean, "products": c.products_clean}
+    out = [Q.cleaning_impact(df, IMPACT[t][1], t) for t, df in frames.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])

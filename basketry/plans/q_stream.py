@@ -16,6 +16,7 @@ from basketry.operators import fraud as FR
 from basketry.operators import msglog as ML
 from basketry.plans import landing as LD
 from basketry.plans.context import context
+from basketry.functions.rules import tpch_rules
 from basketry.plans.oracle import RULES
 from basketry.plans.registry import decimals_to_double, register
 from basketry.session import shared_dir
@@ -25,6 +26,7 @@ from basketry.streaming import orders_stream as S
 
 ENRICH_COLS = ["order_id", "customer_id", "status", "total_amount", "event_time", "order_date_parsed", "order_year",
                "order_month", "is_completed", "is_valid_order"]
+FRAUD = tpch_rules().stream_fraud
 PARSED, ENRICHED = LD.SQL_PARSED, LD.SQL_ENRICHED
 
 
@@ -109,7 +111,7 @@ def q_event_type_route(spark, sf_dir):
     return S.route_events(spark.read.schema(S.EVENT_SCHEMA).json(LD.landed(spark, sf_dir)), "order_item")
 
 
-@register("event_type_route_customers", LD.SQL_CUSTOMERS)
+@register("event_type_route_customers", f"SELECT * FROM ({LD.SQL_CUSTOMERS}) WHERE event_type = 'customer_update'")
 def q_event_type_route_customers(spark, sf_dir):
     return S.route_events(spark.read.schema(S.EVENT_SCHEMA).json(LD.landed(spark, sf_dir)), "customer_update")
 
@@ -143,7 +145,7 @@ SELECT order_id, customer_id, order_timestamp, CAST(a AS DOUBLE) AS total_amount
 def q_stream_fraud(spark, sf_dir):
     out, ck = shared_dir(spark, "fraud"), shared_dir(spark, "ck")
     LD.run_waves(spark, sf_dir, lambda path: [
-        S.to_parquet(FR.stream_fraud(stream_orders(spark, path), RULES.stream_fraud), out, ck)])
+        S.to_parquet(FR.stream_fraud(stream_orders(spark, path), FRAUD), out, ck)])
     return decimals_to_double(spark.read.parquet(out))
 
 
@@ -238,7 +240,7 @@ def medallion(spark, sf_dir) -> dict[str, str]:
     root, paths = shared_dir(spark, "medallion"), {}
 
     def start(landing):
-        paths.update(S.run_medallion(spark, landing, root, fraud_rules=RULES.stream_fraud))
+        paths.update(S.run_medallion(spark, landing, root, fraud_rules=FRAUD))
         return []
     LD.run_waves(spark, sf_dir, start)
     return paths
@@ -288,7 +290,7 @@ def q_stream_velocity(spark, sf_dir):
           note="K6 with the stateful count")
 def q_stream_fraud_velocity(spark, sf_dir):
     counts, path = _velocity(spark, sf_dir)
-    alerts = FR.stream_fraud(batch_orders(spark, path), RULES.stream_fraud)
+    alerts = FR.stream_fraud(batch_orders(spark, path), FRAUD)
     return decimals_to_double(alerts.join(counts.select("order_id", "orders_in_last_hour"), "order_id", "left"))
 
 

@@ -21,10 +21,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # broadcast only what is measured small: no broadcast from planning-time
-    # estimates (compressed file sizes understate rows); AQE converts a join
-    # to a broadcast once the shuffled side's actual size is known
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # a modest limit for planning-time estimates (compressed file sizes
+    # understate rows); AQE converts more joins once actual sizes are known
+    "spark.sql.autoBroadcastJoinThreshold": "4MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -87,9 +86,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="basketry-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable (sets a dir only when none is set)."""
-    if not spark.sparkContext.getCheckpointDir():
-        shared_dir(spark, "init")

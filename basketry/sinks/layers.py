@@ -21,14 +21,14 @@ def _schema(*fields) -> T.StructType:
 
 # Declared schemas of the raw retail inputs (no inference).
 ORDERS_SCHEMA = _schema(("order_id", _L), ("customer_id", _L), ("order_date", _S), ("status", _S),
-                        ("total_amount", MONEY), ("source_system", _S))
+                        ("total_amount", MONEY), ("source_system", _S), ("last_updated", _S))
 CUSTOMERS_SCHEMA = _schema(("customer_id", _L), ("name", _S), ("email", _S), ("join_date", _S), ("segment", _S),
-                           ("phone", _S), ("age", _L), ("marketing_opt_in", _S))
+                           ("phone", _S), ("age", _L), ("marketing_opt_in", _S), ("address", _S), ("last_login", _S))
 ITEMS_SCHEMA = _schema(("item_id", _L), ("order_id", _L), ("product_id", _L), ("quantity", _L), ("price", MONEY),
                        ("discount_percent", _D), ("tax_amount", MONEY), ("line_total", MONEY))
 PRODUCTS_SCHEMA = _schema(("product_id", _L), ("product_name", _S), ("category", _S), ("subcategory", _S),
                           ("unit_price", MONEY), ("cost", MONEY), ("is_active", _S), ("created_date", _S),
-                          ("weight_kg", _D))
+                          ("weight_kg", _D), ("supplier_id", _L))
 
 # CSV settings that keep text exact: padded values keep their spaces, and
 # null is written as \N so an empty string stays an empty string.
@@ -80,8 +80,12 @@ def write_bronze(root: str, tables: dict[str, DataFrame], mode: str = "overwrite
 
 
 def write_partitioned(df: DataFrame, path: str, keys=("order_year", "order_month")) -> str:
-    """Partitioned by year/month; overwriting replaces only the partitions present."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Partitioned by year/month; overwriting replaces only the partitions present.
+
+    Rows of a partition meet before the write (one file per partition, or a
+    few for one that AQE splits), instead of a file per task and partition.
+    """
+    (df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys).parquet(path))
     return path
 
@@ -126,15 +130,13 @@ def silver_union(spark: SparkSession, valid_path: str, invalid_path: str) -> Dat
 
 
 def layer_freshness(spark: SparkSession, layers: dict[str, str]) -> DataFrame:
-    """Per layer - data files and newest modification time, from file metadata
-    (``_SUCCESS`` and temporary files are not data files and are never read)."""
-    frames = []
+    """Per layer - data files and newest modification time, from the file
+    listing (no file is opened; ``_SUCCESS`` and temporary files are no data
+    files).  A layer without files counts 0."""
+    out = spark.createDataFrame([(name,) for name in layers], "layer string").withColumns(
+        {"path": F.lit(None).cast("string"), "mtime": F.lit(None).cast("timestamp")})
     for name, path in layers.items():
-        df = spark.read.parquet(path).select(F.lit(name).alias("layer"), F.col("_metadata.file_path").alias("file"),
-                                             F.col("_metadata.file_modification_time").alias("mtime"))
-        frames.append(df)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("layer").agg(F.countDistinct("file").cast("long").alias("files"),
-                                    F.max("mtime").alias("last_modified"))
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+                 .select(F.lit(name).alias("layer"), "path", F.col("modificationTime").alias("mtime")))
+        out = out.unionByName(files)
+    return out.groupBy("layer").agg(F.count("path").cast("long").alias("files"), F.max("mtime").alias("last_modified"))
