@@ -45,6 +45,7 @@ EVENT_COLUMNS: dict[str, dict[str, T.DataType]] = {
     "customer_update": {"event_type": _S, "event_timestamp": _S, "customer_id": _L, "name": _S, "email": _S,
                         "join_date": _S, "segment": _S, "phone": _S},
 }
+EVENT_COLUMNS["customer_create"] = EVENT_COLUMNS["customer_update"]
 EVENT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in
                              {n: t for cols in EVENT_COLUMNS.values() for n, t in cols.items()}.items()])
 
