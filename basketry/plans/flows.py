@@ -30,14 +30,21 @@ class MedallionPaths:
         return f"{self.root}/{name}"
 
 
-def quality_suite(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
-    """The quality reports over the raw tables (one aggregate pass each)."""
+def quality_suite(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame,
+                  as_of) -> dict[str, DataFrame]:
+    """The quality reports over the raw tables (one aggregate pass each); dates after ``as_of`` are invalid."""
+    dated = CL.standardize_dates(orders, "order_date")
     tables = {"orders": orders, "customers": customers, "order_items": items, "products": products}
     return {
         "dq_summary": Q.quality_summary(tables),
         "referential_integrity": Q.referential_integrity(orders, customers, items, products),
         "null_counts_orders": Q.null_counts(orders),
+        "duplicate_order_ids": Q.duplicate_keys(orders, "order_id"),
         "duplicate_customer_ids": Q.duplicate_keys(customers, "customer_id"),
+        "order_date_range": Q.date_range(dated, "order_date_cleaned"),
+        "invalid_dates": A.invalid_dates(dated, as_of),
+        "invalid_emails": A.invalid_emails(customers),
+        "negative_amounts": A.negative_amounts(orders),
     }
 
 
@@ -52,14 +59,17 @@ def run_batch_medallion(spark: SparkSession, raw: dict[str, DataFrame], root: st
     customers = spark.read.schema(LY.CUSTOMERS_SCHEMA).parquet(bronze["customers"])
     items = spark.read.schema(LY.ITEMS_SCHEMA).parquet(bronze["order_items"])
     products = spark.read.schema(LY.PRODUCTS_SCHEMA).parquet(bronze["products"])
-    # P1 reports
-    for name, df in quality_suite(orders, customers, items, products).items():
-        LY.write_parquet(df, p[f"quality/{name}"])
-    # Silver: cleaned entities; orders and facts partitioned by year/month
-    as_of = CL.orders_as_of(orders, rules.cleaning)
+    # Silver orders first: de-duplicated once, read by everything below, and the source of as_of
     orders_clean = CL.clean_orders(dedup_keep_first(orders, ["order_id"]), rules.cleaning)
     LY.write_partitioned(orders_clean, p["silver/orders"])
     orders_schema = orders_clean.schema
+    newest = spark.read.schema(orders_schema).parquet(p["silver/orders"]).select(
+        F.max(F.when(F.col("is_valid_order") == 1, F.col("order_date_cleaned")))).first()[0]
+    as_of = F.lit(newest).cast("date")
+    # P1 reports
+    for name, df in quality_suite(orders, customers, items, products, as_of).items():
+        LY.write_parquet(df, p[f"quality/{name}"])
+    # Silver: cleaned entities; facts partitioned by year/month
     LY.write_parquet(CL.clean_customers(customers, as_of, rules.cleaning), p["silver/customers"])
     LY.write_parquet(CL.clean_items(items, rules.cleaning), p["silver/order_items"])
     LY.write_parquet(CL.clean_products(products, rules.cleaning), p["silver/products"])
@@ -74,6 +84,11 @@ def run_batch_medallion(spark: SparkSession, raw: dict[str, DataFrame], root: st
     # Gold and reports
     LY.write_parquet(M.gold_segment_monthly(s_orders, s_customers, as_of, rules.rfm), p["gold/customer_segment_monthly"])
     LY.write_parquet(A.monthly_revenue(s_orders), p["gold/monthly_revenue"])
+    monthly = spark.read.parquet(p["gold/monthly_revenue"])
+    LY.write_parquet(A.revenue_anomalies(monthly, 0.2), p["gold/revenue_anomalies"])
+    LY.write_parquet(A.status_distribution(s_orders), p["gold/status_distribution"])
+    LY.write_parquet(A.overall_revenue(s_orders), p["gold/overall_revenue"])
+    LY.write_parquet(M.customer_rfm(s_orders, s_customers, as_of, rules.rfm), p["gold/customer_rfm"])
     LY.write_parquet(A.segment_analysis(s_orders, s_customers), p["gold/segment_analysis"])
     LY.write_parquet(A.category_performance(spark.read.schema(fact_schema).parquet(p["silver/fact_orders"])),
                      p["gold/category_performance"])

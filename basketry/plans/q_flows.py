@@ -12,7 +12,8 @@ from basketry.plans.context import context
 from basketry.plans.flows import latest_orders, run_batch_medallion
 from basketry.plans.oracle import dedup_first, parse_date, with_base
 from basketry.plans.q_batch import GOLD_SQL
-from basketry.plans.registry import register
+from basketry.plans import q_clean, q_fraud, q_quality  # noqa: F401  (their SQL is the layers' oracle)
+from basketry.plans.registry import REGISTRY, decimals_to_double, register
 from basketry.session import shared_dir
 
 
@@ -20,13 +21,35 @@ def ctx(spark, sf_dir):
     return context(spark, sf_dir)
 
 
+def lake(spark, sf_dir):
+    c = ctx(spark, sf_dir)
+    raw = {"orders": c.raw_orders, "customers": c.raw_customers, "order_items": c.raw_items, "products": c.raw_products}
+    return run_batch_medallion(spark, raw, shared_dir(spark, "medallion"), c.rules)
+
+
 @register("medallion_gold", GOLD_SQL)
 def q_medallion_gold(spark, sf_dir):
     """The whole batch run; returns the Gold table as written to the lake."""
-    c = ctx(spark, sf_dir)
-    raw = {"orders": c.raw_orders, "customers": c.raw_customers, "order_items": c.raw_items, "products": c.raw_products}
-    paths = run_batch_medallion(spark, raw, shared_dir(spark, "medallion"), c.rules)
-    return spark.read.parquet(paths["gold/customer_segment_monthly"])
+    return spark.read.parquet(lake(spark, sf_dir)["gold/customer_segment_monthly"])
+
+
+def _layer(name: str, path: str, twin: str, schema: str | None = None) -> None:
+    """Registers what the batch run wrote to ``path``, against the SQL of the query that computes the same."""
+    def build(spark, sf_dir):
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return decimals_to_double(reader.parquet(lake(spark, sf_dir)[path]))
+    register(name, REGISTRY[twin].sql, note=f"as written by the batch run to {path}")(build)
+
+
+_layer("medallion_fact", "silver/fact_orders", "fact_orders_enhanced",
+       "order_id long, customer_id long, customer_name string, customer_segment string, order_date date, order_year long, "
+       "order_month long, status string, total_amount double, product_id long, product_name string, product_category string, "
+       "quantity long, unit_price double, line_total double, is_completed int, customer_data_quality double, "
+       "line_calc_valid boolean, product_active boolean")
+_layer("medallion_customers", "silver/customers", "clean_customers")
+_layer("medallion_fraud", "gold/potential_fraud_orders", "fraud_orders")
+_layer("medallion_quality", "quality/dq_summary", "dq_summary")
+_layer("medallion_rfm", "gold/customer_rfm", "customer_rfm")
 
 
 _LC = dedup_first("(SELECT customer_id, name, segment FROM raw_customers)", "customer_id", ["customer_id", "name", "segment"])
