@@ -37,6 +37,22 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(1), *cols).alias("k2")]
 
 
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose row key (of id and text) is not in ``keys`` (k1, k2); columns of any name are kept."""
+    k1, k2 = row_key(F.col(id_col), text_or_empty(text_col))
+    names = [free_name(docs, "k1"), free_name(docs, "k2")]
+    keys = keys.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
+    return docs.join(keys, (k1 == F.col(names[0])) & (k2 == F.col(names[1])), how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores if ``df`` has a column of that name (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import row_key, text_or_empty, written
+from basketry.llm.common import row_key, text_or_empty, without, written
 
 WINDOW, LITERALS, COVER = 8, 4, 0.8
 LEAST = 5                       # items of fewer tokens match nothing
@@ -207,8 +207,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` without the rows in which an item is found."""
-    found = matches(docs, benchmark, id_col, text_col, **params).select(F.col("k1").alias("found_k1"),
-                                                                        F.col("k2").alias("found_k2")).distinct()
-    key = row_key(F.col(id_col), text_or_empty(text_col))
-    found = written(found, "contaminated")
-    return docs.join(found, (key[0] == F.col("found_k1")) & (key[1] == F.col("found_k2")), "left_anti")
+    found = matches(docs, benchmark, id_col, text_col, **params).select("k1", "k2").distinct()
+    return without(docs, written(found, "contaminated"), id_col, text_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import row_key, text_or_empty, written
+from basketry.llm.common import free_name, row_key, text_or_empty, without, written
 
 BITS = 10                      # a cut every 1024 bytes on average
 LEAST, MOST = 128, 1 << 16     # bounds of a chunk's bytes (the last one may be shorter)
@@ -111,15 +111,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = written(duplicates(docs, id_col, text_col).select("k1", "k2", "kept", "group_size"), "duplicates")
     keys = rows.where("group_size > 1").groupBy("k1", "k2").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     keys = written(keys, "copy-keys")
-    key = row_key(F.col(id_col), text_or_empty(text_col))
-
-    def matched(t: DataFrame, how: str) -> DataFrame:
-        t = t.select(F.col("k1").alias("copy_k1"), F.col("k2").alias("copy_k2"))
-        return docs.join(t, (key[0] == F.col("copy_k1")) & (key[1] == F.col("copy_k2")), how)
-
     twins = keys.where("kept and n > 1")
     if twins.isEmpty():
-        return matched(keys.where("not kept"), "left_anti")
-    one = matched(twins, "left_semi").withColumns({"copy_k1": key[0], "copy_k2": key[1]})
-    one = one.dropDuplicates(["copy_k1", "copy_k2"]).drop("copy_k1", "copy_k2")
-    return matched(keys.where("not kept or n > 1"), "left_anti").unionByName(one)
+        return without(docs, keys.where("not kept"), id_col, text_col)
+    names = [free_name(docs, "k1"), free_name(docs, "k2")]
+    one = without(docs, twins, id_col, text_col, "left_semi").withColumns(
+        dict(zip(names, row_key(F.col(id_col), text_or_empty(text_col)), strict=True)))
+    one = one.dropDuplicates(names).drop(*names)
+    return without(docs, keys.where("not kept or n > 1"), id_col, text_col).unionByName(one)

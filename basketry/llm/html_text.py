@@ -182,7 +182,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_
 
 
 def extract(pages: DataFrame, weights: Weights, html_col: str = "html", out: str = "main_text") -> DataFrame:
-    """``pages`` with a string column ``out``."""
+    """``pages`` with a string column ``out`` (replacing one of that name)."""
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:

@@ -140,7 +140,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
 
 
 def predict(docs: DataFrame, langs: dict[str, dict[str, int]], text_col: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with a struct column ``out``: lang_pred, score."""
+    """``docs`` with a struct column ``out`` (replacing one of that name): lang_pred, score."""
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         profiler = Profiler(langs)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import fold, text_or_empty
+from basketry.llm.common import fold, text_or_empty, written
 
 SAMPLE = 8000           # labelled rows that the model is fitted on
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 7
@@ -109,8 +109,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
             x = [statistics(raw) for raw in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    return (docs.join(F.broadcast(picked), docs[id_col] == F.col("sample_id"))
-            .select(F.col("quality").cast("double").alias("y"), text_or_empty(text_col).cast("binary").alias("raw"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("raw"))
+    return (rows.join(F.broadcast(picked), F.col("id") == F.col("sample_id"))
+            .select(F.col("quality").cast("double").alias("y"), "raw")
             .mapInArrow(run, "y double, x array<double>"))
 
 
@@ -133,10 +134,8 @@ def _sums(function, width: int):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the labelled rows whose fold is not held out (crc32 of the id modulo 3 is not 1)."""
-    from basketry.llm.common import written
-
     rows = written(labelled(docs, labels, sample, id_col, text_col), "quality-rows")
-    moments = _sums(lambda x, y: np.c_[np.ones((1, N_STATS)).T * len(x), x.sum(0), (x * x).sum(0), np.full(N_STATS, y.sum())], 4)(rows)
+    moments = _sums(lambda x, y: np.c_[np.full(N_STATS, len(x)), x.sum(0), (x * x).sum(0), np.full(N_STATS, y.sum())], 4)(rows)
     if not len(moments) or not 0 < moments[0, 3] < moments[0, 0]:
         known = float(moments[0, 3] > 0) if len(moments) else 0.0
         return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(0), np.zeros(1), np.array([known]))
@@ -159,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "quality") -> DataFrame:
-    """``docs`` with a double column ``out``, the probability that a text is good."""
+    """``docs`` with a double column ``out`` (replacing one of that name), the probability that a text is good."""
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:

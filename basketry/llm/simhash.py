@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import row_key, shuffle_partitions, text_or_empty, written
+from basketry.llm.common import row_key, shuffle_partitions, text_or_empty, without, written
 from basketry.llm.components import components
 
 THRESHOLD = 2
@@ -163,6 +163,4 @@ def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col:
     """``docs`` without the near-duplicates of a component's smallest id (rows without an id are kept)."""
     groups = near_duplicates(docs, width, id_col, text_col)
     gone = written(groups.where(F.col(id_col) != F.col("component_id")).select("k1", "k2").distinct(), "near-copies")
-    key = row_key(F.col(id_col), text_or_empty(text_col))
-    gone = gone.toDF("gone_k1", "gone_k2")
-    return docs.join(gone, (key[0] == F.col("gone_k1")) & (key[1] == F.col("gone_k2")), "left_anti")
+    return without(docs, gone, id_col, text_col)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import fold, text_or_empty, written
+from basketry.llm.common import fold, free_name, text_or_empty, written
 
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 SAMPLE = 2000                   # labelled rows per class that the model is fitted on
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` with a struct column ``out``: score, predicted, offending (start, end, score of sentences)."""
+    """``docs`` with a struct column ``out`` (replacing one of that name): score, predicted, offending (start, end, score of sentences)."""
     @F.pandas_udf("score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Known(model.weights)
@@ -187,7 +187,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic."""
-    out = "toxicity"
-    while out in docs.columns:
-        out += "_"
+    out = free_name(docs, "toxicity")
     return score(docs, model, text_col, out).where(F.col(f"{out}.predicted") == 0).drop(out)

@@ -42,9 +42,12 @@ def test_partition_sums_do_not_depend_on_the_partitions(spark):
 def test_edges(spark):
     docs, given = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
     model = Q.train(docs, given.unionByName(given.limit(1).selectExpr("cast(null as long) doc_id", "1 quality", "1 toxic")))
-    out = Q.score(edge_docs(spark).withColumnRenamed("row", "score"), model)
+    out = Q.score(edge_docs(spark).withColumnRenamed("row", "sample_id"), model)
     assert out.count() == edge_docs(spark).count()
     assert all(0 <= r.quality <= 1 for r in out.collect())
+    wide = edge_docs(spark).unionByName(docs.selectExpr("doc_id", "text", "lang AS k1", "n_chars AS row", "1.5D AS quality"))
+    assert np.allclose(Q.train(wide, given).score(np.ones((1, Q.N_STATS))), Q.train(
+        wide.select("doc_id", "text"), given).score(np.ones((1, Q.N_STATS))))
     for labels, want in (([], 0.0), ([(1, None)], 0.0), ([(1, 1)], 1.0)):
         model = Q.train(docs, docs_of(spark, labels, LABELS))
         assert {r.quality for r in Q.score(edge_docs(spark), model).collect()} == {want}
