@@ -11,7 +11,8 @@ and decoded through the id-to-piece table (as many rows as the vocabulary).
 The texts themselves are read once and never shuffled, and a word that makes
 up a third of a corpus is one entry per block.
 
-Blocks are written to the shared folder, so both uses see the same ones.
+Blocks are written to the shared folder, bucketed by block, so both uses see
+the same ones and the documents' half is joined where it lies, without a shuffle.
 Every step streams: a worker holds one block or one bucket's word cache, both
 of bounded size (one document longer than a block is a block of its own).
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import shuffle_partitions, text_or_empty
 from basketry.session import shared_dir
 
-BLOCK_WORDS, BLOCK_DOCS = 8_000_000, 400_000
+BLOCK_WORDS, BLOCK_DOCS = 4_000_000, 200_000
 CACHE_WORDS = 1_000_000          # a bucket's cache starts anew beyond it
 OUT_WORDS = 100_000              # documents leave in batches of about so many words
 #: str.split() also splits at these four, which are no white space to the tokenizer.
@@ -201,9 +202,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     buckets, path = shuffle_partitions(spark), shared_dir(spark, "bpe-blocks")
     schema = (f"part string, block string, bucket int, data binary, places binary, ids array<{kind}>, "
               "n_words array<int>")
-    (rows.mapInArrow(_blocks(buckets, id_type), schema)
-     .write.option("compression", "uncompressed").partitionBy("part").parquet(path))
-    blocks = spark.read.schema(schema).parquet(path)
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    (rows.mapInArrow(_blocks(buckets, id_type), schema).write.option("compression", "uncompressed").option("path", path)
+     .partitionBy("part").bucketBy(buckets, "block").saveAsTable(name))
+    blocks = spark.table(name)
     found = (blocks.where("part = 'words'").select("block", "bucket", "data").repartition(buckets, "bucket")
              .mapInArrow(_encode(model), "block string, bucket int, data binary")
              .groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("found")))
