@@ -78,6 +78,20 @@ def q_bronze_roundtrip(spark, sf_dir):
     return out
 
 
+def _bronze(name: str, table: str, schema: T.StructType, frame: str) -> None:
+    """B1: one raw table, written to Bronze and read back with its declared schema, all rows and columns."""
+    def build(spark, sf_dir):
+        paths = LY.write_bronze(shared_dir(spark, "lake"), {table: getattr(ctx(spark, sf_dir), frame)})
+        return decimals_to_double(spark.read.schema(schema).parquet(paths[table]))
+    register(name, with_base(f"SELECT * FROM {frame}"))(build)
+
+
+_bronze("bronze_orders", "orders", LY.ORDERS_SCHEMA, "raw_orders")
+_bronze("bronze_customers", "customers", LY.CUSTOMERS_SCHEMA, "raw_customers")
+_bronze("bronze_order_items", "order_items", LY.ITEMS_SCHEMA, "raw_items")
+_bronze("bronze_products", "products", LY.PRODUCTS_SCHEMA, "raw_products")
+
+
 SILVER_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("status_cleaned", T.StringType()),
                               T.StructField("total_amount_cleaned", T.DoubleType()),
                               T.StructField("order_year", T.LongType()), T.StructField("order_month", T.LongType())])

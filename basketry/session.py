@@ -7,7 +7,9 @@ created by the platform; ``get_session`` is for local runs and tests, and
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -84,5 +86,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="basketry-shared-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)      # invented here, so also removed here
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

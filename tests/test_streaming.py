@@ -165,6 +165,13 @@ def test_interval_seconds():
             S.seconds(bad)
 
 
+def test_memory_table_of_a_few_rows(spark):
+    landing, name = local_dir(spark, "land"), f"few_{uuid.uuid4().hex[:8]}"
+    write_events(landing, [order(i, dt.datetime(2024, 1, 1)) for i in range(3)])
+    S.await_all(spark, [S.to_memory(S.read_event_files(spark, landing), name, checkpoint=local_dir(spark, "ck"))])
+    assert sorted(r.order_id for r in spark.table(name).collect()) == [0, 1, 2]
+
+
 def test_routes_have_their_own_columns(spark):
     df = spark.createDataFrame([], S.EVENT_SCHEMA)
     assert S.route_events(df, "customer_update").columns == [
