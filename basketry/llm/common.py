@@ -10,6 +10,7 @@ from basketry.session import shared_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +39,16 @@ def row_key(*cols: Column) -> list[Column]:
 
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
-    """The rows of ``docs`` whose row key (of id and text) is not in ``keys`` (k1, k2); columns of any name are kept."""
+    """The rows of ``docs`` whose row key (of id and text) is not in ``keys`` (k1, k2); columns of any name are kept.
+
+    ``keys`` is a written table, so it is counted from file footers: up to ``BROADCAST_KEYS`` keys (16 MB of longs) are
+    broadcast and no text moves; beyond that the join shuffles both sides, with the same result.
+    """
+    small = keys.count() <= BROADCAST_KEYS
     k1, k2 = row_key(F.col(id_col), text_or_empty(text_col))
     names = [free_name(docs, "k1"), free_name(docs, "k2")]
     keys = keys.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
-    return docs.join(keys, (k1 == F.col(names[0])) & (k2 == F.col(names[1])), how)
+    return docs.join(F.broadcast(keys) if small else keys, (k1 == F.col(names[0])) & (k2 == F.col(names[1])), how)
 
 
 def free_name(df: DataFrame, name: str) -> str:

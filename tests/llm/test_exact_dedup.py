@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+from basketry.llm import common as C
 from basketry.llm import exact_dedup as E
 from tests.llm.helpers import docs_of, documents, edge_docs
 
@@ -36,6 +37,14 @@ def test_edge_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["8", "None", "3", "4", "5", "6", "7"])
 
 
+def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    few = sorted(map(str, E.keep_one(edge_docs(spark)).collect()))
+    monkeypatch.setattr(C, "BROADCAST_KEYS", 0)
+    kept = E.keep_one(edge_docs(spark))
+    assert "strategy=broadcast" not in kept._jdf.queryExecution().logical().toString()
+    assert sorted(map(str, kept.collect())) == few
+
+
 def test_empty_table(spark):
     assert E.duplicates(docs_of(spark, [])).collect() == []
     assert E.keep_one(docs_of(spark, [])).collect() == []
