@@ -61,7 +61,7 @@ def words_of(text: str) -> list[str]:
 def _packed(a: np.ndarray) -> bytes:
     """Byte planes, compressed: the high bytes of small numbers are zeros."""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=5).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
@@ -85,7 +85,7 @@ def _blocks(buckets: int, id_type: pa.DataType):
         lists: dict[int, list[str]] = {}
         for k, w in zip(keys, words, strict=True):
             lists.setdefault(k, []).append(w)
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=9).compress
         rows = [("docs", name, None, _packed(np.array(keys, np.int32)),
                  _packed(rank[all_places]), ids, counts)]
         rows += [("words", name, k, pack(" ".join(v).encode()), None, None, None) for k, v in lists.items()]
