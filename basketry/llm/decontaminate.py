@@ -55,7 +55,7 @@ P = np.uint64(0x9E3779B97F4A7C15)
 class Codes(dict):
     """Token to (hash of its canonical form << 2 | capital bit): small numbers are placeholders and breaks."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, token: str) -> int:
         if len(self) > self.LIMIT:

@@ -33,6 +33,7 @@ from basketry.llm.common import fold, free_name, text_or_empty, written
 
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 SAMPLE = 2000                   # labelled rows per class that the model is fitted on
+WORDS = 300_000                 # a worker's cache of words
 CHANCE = 1e-3                   # a word is kept if so many positive documents have it by chance only this rarely
 STEPS, RATE, RIDGE = 400, 0.1, 1e-3
 
@@ -75,14 +76,14 @@ class Model:
 
 
 class Known(dict):
-    """Word to those of its features that have a weight; starts anew beyond a million words."""
+    """Word to those of its features that have a weight; starts anew beyond ``WORDS`` words."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         self[word] = found = tuple(f for f in features(word) if f in self.weights)
         return found
