@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 256
+PIECES = 64
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
