@@ -1,7 +1,10 @@
 """Benchmark decontamination by templates.
 
 Texts become canonical tokens: numbers, units and names give the typed
-placeholders <num>, <unit> and <name>, other words are lower-cased.  Windows of
+placeholders <num>, <unit> and <name>, other words are lower-cased.  Case decides
+what a name is, so every text has several forms: a name is a capitalised word that
+does not start a sentence, or no word at all (copies in other case).  Only
+windows of the same form meet, and an item is found if it is in one form.  Windows of
 ``WINDOW`` tokens are hashed over the templates, so a question matches its
 re-parameterised copies as well as verbatim ones.  Document windows pass a
 bitmap of the benchmark's window hashes (of fixed size, so its broadcast is
@@ -73,28 +76,29 @@ class Codes(dict):
 
 
 def templates(text: str, codes: Codes) -> tuple[np.ndarray, list[str]]:
-    """Canonical token hashes of a text (NUM, UNIT, NAME or a literal's) and the tokens themselves."""
+    """Canonical token hashes of a text (NUM, UNIT, NAME or a literal's), one row per form, and the tokens themselves."""
     tokens = TOKEN.findall(text)
     raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     kind, capital = raw >> np.uint64(1), (raw & np.uint64(1)).astype(bool)
     starts = np.r_[True, kind[:-1] == BREAK][:len(kind)]
-    kind[capital & ~starts] = NAME
     real = np.flatnonzero(kind != BREAK)
-    return kind[real], [tokens[i] for i in real.tolist()]
+    kinds = np.stack([np.where(capital & ~starts, NAME, kind), kind])
+    return kinds[:, real], [tokens[i] for i in real.tolist()]
 
 
-def windows(kind: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows of ``width`` tokens that have enough literals."""
-    n = len(kind) - width + 1
+def windows(kinds: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(form, position, hash) of the windows of ``width`` tokens that have enough literals."""
+    n = kinds.shape[1] - width + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.full(n, width, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    forms = np.arange(len(kinds), dtype=np.uint64)[:, None]
+    h = np.repeat(forms << np.uint64(32) | np.uint64(width), n, axis=1)
     for j in range(width):
-        h = (h ^ kind[j:n + j]) * P
+        h = (h ^ kinds[:, j:n + j]) * P
         h ^= h >> np.uint64(29)
-    literal = np.r_[0, np.cumsum(kind > NAME)]
-    at = np.flatnonzero(literal[width:] - literal[:-width] >= min(literals, width))
-    return at, h[at]
+    literal = np.pad(np.cumsum(kinds > NAME, axis=1), ((0, 0), (1, 0)))
+    form, at = np.nonzero(literal[:, width:] - literal[:, :-width] >= min(literals, width))
+    return form, at, h[form, at]
 
 
 def _slots(kind: np.ndarray, tokens: list[str], at: int, width: int) -> list[str]:
@@ -102,25 +106,26 @@ def _slots(kind: np.ndarray, tokens: list[str], at: int, width: int) -> list[str
 
 
 def _items(width: int, literals: int):
-    """Batches of (item, ik, text) to one row per window: (item, ik, pos, width, n_windows, h, slots)."""
+    """Batches of (item, ik, text) to one row per window: (item, ik, form, pos, width, n_windows, h, slots)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches:
-            rows, out = [], [[], [], [], [], []]
+            rows, out = [], [[], [], [], [], [], []]
             for row, text in enumerate(b.column(2)):
-                kind, tokens = templates(text.as_py(), codes)
-                w = min(width, len(kind))
-                at, h = windows(kind, w, literals) if w >= LEAST else windows(kind[:0], 1, 1)
+                kinds, tokens = templates(text.as_py(), codes)
+                w = min(width, len(tokens))
+                form, at, h = windows(kinds, w, literals) if w >= LEAST else windows(kinds[:, :0], 1, 1)
                 rows += [row] * len(at)
-                for column, values in zip(out, (at.tolist(), [w] * len(at), [len(at)] * len(at), h.view(np.int64).tolist(),
-                                                [_slots(kind, tokens, i, w) for i in at.tolist()]), strict=True):
+                for column, values in zip(out, (form.tolist(), at.tolist(), [w] * len(at), np.bincount(form)[form].tolist(),
+                                                h.view(np.int64).tolist(), [_slots(kinds[f], tokens, i, w) for f, i in
+                                                                            zip(form, at.tolist(), strict=True)]), strict=True):
                     column += values
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(take), b.column(1).take(take),
                  *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]],
-                ["item", "ik", "pos", "width", "n_windows", "h", "slots"])
+                ["item", "ik", "form", "pos", "width", "n_windows", "h", "slots"])
     return run
 
 
@@ -131,16 +136,16 @@ def _documents(widths: list[int], literals: int, bitmap):
         for b in batches:
             rows, pos, hashes, slots = [], [], [], []
             for row, text in enumerate(b.column(3)):
-                kind, tokens = templates(text.as_py(), codes)
+                kinds, tokens = templates(text.as_py(), codes)
                 for width in widths:
-                    at, h = windows(kind, width, literals)
+                    form, at, h = windows(kinds, width, literals)
                     place = h & np.uint64(MAP_BITS - 1)
                     hit = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
-                    at = at[hit].tolist()
+                    form, at = form[hit].tolist(), at[hit].tolist()
                     rows += [row] * len(at)
                     pos += at
                     hashes += h[hit].view(np.int64).tolist()
-                    slots += [_slots(kind, tokens, i, width) for i in at]
+                    slots += [_slots(kinds[f], tokens, i, width) for f, i in zip(form, at, strict=True)]
             keys = [b.column(i).take(pa.array(rows, pa.int64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()),
                                               pa.array(slots, pa.list_(pa.string()))],
@@ -171,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_col), text).alias("ik"),
                              text.alias("text")).distinct()
     kind = items.schema["item"].dataType.simpleString()
-    items = written(items.mapInArrow(_items(width, literals), f"item {kind}, ik long, pos int, width int, n_windows int, "
+    items = written(items.mapInArrow(_items(width, literals), f"item {kind}, ik long, form int, pos int, width int, n_windows int, "
                                      "h long, slots array<string>"), "item-windows")
     widths = sorted(r.width for r in items.select("width").distinct().collect())     # LEAST to width
     bitmap = spark.sparkContext.broadcast(_bitmap(items.select("h")))
@@ -182,25 +187,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = rows.mapInArrow(_documents(widths, literals, bitmap),
                             f"id {kind}, k1 long, k2 long, pos int, h long, slots array<string>")
     found = found.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(SALTS)))
-    ours = items.select("item", "ik", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
+    ours = items.select("item", "ik", "form", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
                         "width", "n_windows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     pairs = found.join(ours, ["h", "salt"]).select(
-        "id", "k1", "k2", "item", "ik", "item_pos", "pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"),
+        "id", "k1", "k2", "item", "ik", "form", "item_pos", "pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"),
         "width", "n_windows",
         F.arrays_zip("item_slots", "slots").alias("slots"))
     pairs = written(pairs.distinct(), "window-matches")
 
-    on = ["k1", "k2", "ik", "diagonal"]
+    on = ["k1", "k2", "ik", "form", "diagonal"]
     values = pairs.select(*on, F.explode("slots").alias("s")).select(*on, "s.item_slots", "s.slots")
     odd = (values.groupBy(*on, "item_slots").agg(F.min("slots").alias("lo"), F.max("slots").alias("hi"))
            .where("lo <> hi").select(*on).distinct())
     good = pairs.join(written(odd, "inconsistent"), on, "left_anti")
     same = F.forall("slots", lambda s: s["item_slots"] == s["slots"])
-    best = (good.groupBy("id", "k1", "k2", "item", "ik")
+    best = (good.groupBy("id", "k1", "k2", "item", "ik", "form")
             .agg(F.count_distinct("item_pos").alias("windows"), F.max("n_windows").alias("n_windows"),
                  F.bool_and(same).alias("verbatim"), F.min("pos").alias("first"),
                  F.max(F.col("pos") + F.col("width") - 1).alias("last"))
             .withColumn("coverage", F.col("windows") / F.col("n_windows")).where(F.col("coverage") >= cover))
+    best = (best.groupBy("id", "k1", "k2", "item", "ik").agg(F.max(F.struct(
+        "coverage", "verbatim", (-F.col("form")).alias("form"), "windows", "n_windows", "first", "last")).alias("best"))
+            .select("id", "k1", "k2", "item", "best.*"))
     return best.select(F.col("id").alias(id_col), "k1", "k2", F.col("item").alias(item_col), "windows", "n_windows",
                        "coverage", "verbatim", "first", "last")
 

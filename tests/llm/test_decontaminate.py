@@ -57,3 +57,11 @@ def test_edges(spark):
     assert D.matches(edge_docs(spark), docs_of(spark, [], ITEMS)).collect() == []
     rows = D.matches(docs_of(spark, [(None, Q), (None, Q)]), items).collect()
     assert [(r.doc_id, r.item_id) for r in rows] == [(None, None)]
+
+
+def test_upper_and_lower_case_copies(spark):
+    other = "the report of Anna Berg and Carl Dahl says that Emma Falk met Georg Holm in Oslo near the old town hall"
+    docs = [(1, Q.upper()), (2, Q.lower()), (3, f"Before it. {other.upper()} And after."), (4, other.lower()), (5, Q.title())]
+    got = found(spark, docs, [(1, Q), (2, other)])
+    assert set(got) == {(1, 1), (2, 1), (5, 1), (3, 2), (4, 2)}
+    assert all(r.coverage == 1.0 and r.verbatim for r in got.values())
