@@ -3,7 +3,8 @@
 Texts become canonical tokens: numbers, units and names give the typed
 placeholders <num>, <unit> and <name>, other words are lower-cased.  Case decides
 what a name is, so every text has several forms: a name is a capitalised word that
-does not start a sentence, or no word at all (copies in other case).  Only
+does not start a sentence, no word at all (copies in other case), or any
+capitalised word (names at the start of a sentence).  Only
 windows of the same form meet, and an item is found if it is in one form.  Windows of
 ``WINDOW`` tokens are hashed over the templates, so a question matches its
 re-parameterised copies as well as verbatim ones.  Document windows pass a
@@ -15,7 +16,8 @@ a third of all documents.
 A match lies on a diagonal: the same distance between its places in document
 and item.  On each diagonal the slots must be consistent: a value of the
 item always stands for the same value of the document.  An item is found in a
-document if windows on consistent diagonals cover ``COVER`` of its windows.
+document if windows on consistent diagonals cover ``COVER`` of its windows, or
+``RUN`` consecutive ones match on one diagonal (a long excerpt).
 
 Windows need ``LITERALS`` literal words, else runs of capitals or digits would
 match each other; an item shorter than a window is one window of its own width,
@@ -33,12 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import row_key, text_or_empty, without, written
 
 WINDOW, LITERALS, COVER = 8, 4, 0.8
+RUN = 25                        # consecutive windows: 32 tokens
 LEAST = 5                       # items of fewer tokens match nothing
 SALTS = 32
 MAP_BITS = 1 << 23              # the bitmap's bits: 1 MB, whatever the benchmark's size
@@ -82,7 +85,7 @@ def templates(text: str, codes: Codes) -> tuple[np.ndarray, list[str]]:
     kind, capital = raw >> np.uint64(1), (raw & np.uint64(1)).astype(bool)
     starts = np.r_[True, kind[:-1] == BREAK][:len(kind)]
     real = np.flatnonzero(kind != BREAK)
-    kinds = np.stack([np.where(capital & ~starts, NAME, kind), kind])
+    kinds = np.stack([np.where(capital & ~starts, NAME, kind), kind, np.where(capital, NAME, kind)])
     return kinds[:, real], [tokens[i] for i in real.tolist()]
 
 
@@ -164,7 +167,7 @@ def _bitmap(h: DataFrame) -> bytes:
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, literals: int = LITERALS,
-            cover: float = COVER) -> DataFrame:
+            cover: float = COVER, run: int = RUN) -> DataFrame:
     """One row per document row and item found in it: (id, k1, k2, item, windows, n_windows, coverage, verbatim,
     first, last).
 
@@ -201,11 +204,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
            .where("lo <> hi").select(*on).distinct())
     good = pairs.join(written(odd, "inconsistent"), on, "left_anti")
     same = F.forall("slots", lambda s: s["item_slots"] == s["slots"])
+    order = Window.partitionBy(*on).orderBy("item_pos")
+    long = (good.withColumn("island", F.col("item_pos") - F.row_number().over(order)).groupBy(*on, "island").count()
+            .where(F.col("count") >= run).select("k1", "k2", "ik", "form", F.lit(True).alias("long")).distinct())
     best = (good.groupBy("id", "k1", "k2", "item", "ik", "form")
             .agg(F.count_distinct("item_pos").alias("windows"), F.max("n_windows").alias("n_windows"),
                  F.bool_and(same).alias("verbatim"), F.min("pos").alias("first"),
                  F.max(F.col("pos") + F.col("width") - 1).alias("last"))
-            .withColumn("coverage", F.col("windows") / F.col("n_windows")).where(F.col("coverage") >= cover))
+            .withColumn("coverage", F.col("windows") / F.col("n_windows")).join(long, ["k1", "k2", "ik", "form"], "left")
+            .where((F.col("coverage") >= cover) | F.col("long")))
     best = (best.groupBy("id", "k1", "k2", "item", "ik").agg(F.max(F.struct(
         "coverage", "verbatim", (-F.col("form")).alias("form"), "windows", "n_windows", "first", "last")).alias("best"))
             .select("id", "k1", "k2", "item", "best.*"))

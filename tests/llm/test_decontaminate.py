@@ -65,3 +65,20 @@ def test_upper_and_lower_case_copies(spark):
     got = found(spark, docs, [(1, Q), (2, other)])
     assert set(got) == {(1, 1), (2, 1), (5, 1), (3, 2), (4, 2)}
     assert all(r.coverage == 1.0 and r.verbatim for r in got.values())
+
+
+def test_names_at_sentence_starts(spark):
+    q = "Alice has 12 apples in her basket. Alice gives 5 apples to Bob. How many apples does Alice have now?"
+    other = q.replace("Alice", "Carla").replace("Bob", "Dmitri").replace("12", "30")
+    mixed = other.replace("Carla gives", "Bruno gives")
+    short = "Anna went home with the 3 red balls today"
+    docs = [(1, other), (2, f"Before it. {other} And after."), (3, mixed), (4, f"we know that {short}")]
+    got = found(spark, docs, [(1, q), (2, short)])
+    assert set(got) == {(1, 1), (2, 1), (4, 2)} and got[1, 1].coverage == 1.0
+
+
+def test_long_excerpts(spark):
+    words = [f"word{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    docs = [(1, "before " + " ".join(words[20:60]) + " after"), (2, " ".join(words[20:40]) + " and " + " ".join(words[41:61]))]
+    got = found(spark, docs, [(1, " ".join(words))])
+    assert set(got) == {(1, 1)} and got[1, 1].coverage < 0.5
