@@ -45,10 +45,15 @@ def features(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Model:
-    """Sentence logit = bias + sum of the weights of its distinct features."""
+    """Sentence logit = bias + sum of the weights of its distinct features.
+
+    ``leak`` is the logit of all sentences without features together, once a document, so that a text's length alone
+    adds nothing; without it each of them has the bias as its logit.
+    """
 
     bias: float = -math.inf
     weights: dict[str, float] = field(default_factory=dict)
+    leak: float | None = None
 
     def sentence(self, found: set[str]) -> float:
         z = self.bias + sum(self.weights[f] for f in found)
@@ -59,10 +64,11 @@ class Model:
         if not self.weights:
             return 0.0, []
         known = Known(self.weights) if known is None else known
-        clean = math.log1p(-self.sentence(set()))
+        clean = math.log1p(-self.sentence(set())) if self.leak is None else 0.0
+        left = 0.0 if self.leak is None or not SENTENCE.search(text) else -math.log1p(math.exp(min(700.0, self.leak)))
         if not any(map(known.__getitem__, set(WORD.findall(text.lower())))):
-            return -math.expm1(clean * sum(1 for _ in SENTENCE.finditer(text))), []
-        left, spans = 0.0, []
+            return -math.expm1(left + clean * sum(1 for _ in SENTENCE.finditer(text))), []
+        spans = []
         for m in SENTENCE.finditer(text):
             found = set().union(*map(known.__getitem__, WORD.findall(m[0].lower())))
             if not found:
@@ -122,7 +128,7 @@ def chosen(rows: DataFrame) -> list[str]:
 def fit(rows: DataFrame) -> Model:
     """The noisy-or model of labelled rows (toxic, text), which are a bounded sample.
 
-    The driver gets the chosen features and, for each row, its number of sentences without any and the others' features.
+    The driver gets the chosen features and, for each row, whether it has a sentence and the features of those with any.
     """
     names = chosen(rows)
     if not names:
@@ -135,31 +141,31 @@ def fit(rows: DataFrame) -> Model:
             for y, text in p.itertuples(index=False):
                 found = [[at[f] for f in s & at.keys()] for s in _bag(text)]
                 full = [f for f in found if f]
-                out.append((y, len(found) - len(full), [i for f in full for i in f], [len(f) for f in full]))
-            yield pd.DataFrame(out, columns=["y", "plain", "found", "sizes"])
+                out.append((y, int(bool(found)), [i for f in full for i in f], [len(f) for f in full]))
+            yield pd.DataFrame(out, columns=["y", "any", "found", "sizes"])
 
-    got = rows.select("toxic", "text").mapInPandas(run, "y int, plain int, found array<int>, sizes array<int>").toPandas()
-    y, plain = got["y"].to_numpy(float), got["plain"].to_numpy(float)
-    # sentences that have a chosen feature, as sparse rows; the others of a row only count
+    got = rows.select("toxic", "text").mapInPandas(run, "y int, any int, found array<int>, sizes array<int>").toPandas()
+    y, some = got["y"].to_numpy(float), got["any"].to_numpy(float)
+    # sentences that have a chosen feature, as sparse rows; the others have one leak term a row
     sizes = [np.array(s, np.int64) for s in got["sizes"]]
     doc = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
     sent = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
     word = np.concatenate([np.array(f, np.int64) for f in got["found"]])
-    theta = np.zeros(len(at) + 1)
-    theta[-1] = -4.0
+    theta = np.zeros(len(at) + 2)       # weights, leak, bias
+    theta[-2:] = -4.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         z = theta[-1] + np.bincount(sent, theta[word], len(doc))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[-1]))
-        left = -np.bincount(doc, np.logaddexp(0, z), len(y)) - plain * np.logaddexp(0, theta[-1])
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[-2]))
+        left = -np.bincount(doc, np.logaddexp(0, z), len(y)) - some * np.logaddexp(0, theta[-2])
         pos = np.maximum(-np.expm1(left), 1e-12)
         blame = np.where(y > 0, -np.exp(left) / pos, 1.0) / len(y)     # d loss / d z = blame * p
         g_sent = blame[doc] * p
-        grad = np.r_[np.bincount(word, g_sent[sent], len(at)), g_sent.sum() + (blame * plain).sum() * p0]
-        grad[:-1] += RIDGE * theta[:-1] / len(at)
+        grad = np.r_[np.bincount(word, g_sent[sent], len(at)), (blame * some).sum() * p0, g_sent.sum()]
+        grad[:-2] += RIDGE * theta[:-2] / len(at)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         theta -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Model(float(theta[-1]), {f: float(theta[i]) for f, i in at.items()})
+    return Model(float(theta[-1]), {f: float(theta[i]) for f, i in at.items()}, float(theta[-2]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",

@@ -73,3 +73,13 @@ def test_without_labels(spark):
     assert {r.toxicity.score for r in T.score(docs, model).collect()} == {0.0}
     model = T.train(docs_of(spark, []), docs_of(spark, [(1, 1), (2, 0)], LABELS))
     assert T.score(docs_of(spark, []), model).collect() == []
+
+
+def test_length_alone_adds_nothing(spark):
+    rows, labels = corpus()
+    model = T.train(docs_of(spark, rows), docs_of(spark, labels, LABELS))
+    short, _ = model.score("mild day.")
+    for n in (1_000, 50_000):
+        score, spans = model.score("mild day. " * n)
+        assert score == short < 0.1 and not spans
+    assert model.score("mild day. " * 50_000 + "the vilest one.")[0] >= 0.5
