@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import (bpe, decontaminate, exact_dedup, html_text, language, quality, simhash, toxicity,
-                          url_filter)
+from basketry.llm import (bpe, decontaminate, exact_dedup, html_text, language, multi_index, prefix_trie, quality,
+                          simhash, toxicity, url_filter, whitening)
 from basketry.llm.common import fold, table
 from basketry.llm.line_dedup import drop_frequent_lines
 
@@ -126,6 +126,67 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "toxicity.offending")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+              ORDER BY i) AS entries FROM range(256) AS numbers(i)
+), o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT),
+                         lambda a, b: xor(a >> 8, entries[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc_table
+), turns AS (
+  SELECT c.conv_id, 0 AS part, o.pos, role, text FROM c JOIN o ON o.conv_id = c.base AND o.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, 1 AS part, o.pos, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos >= c.h
+), s AS (
+  SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY part, pos) FILTER (WHERE part IS NOT NULL), []) AS seq
+  FROM c LEFT JOIN turns ON turns.conv_id = c.conv_id GROUP BY c.conv_id
+), p AS (
+  SELECT conv_id, len(seq) AS whole, unnest(range(len(seq) + 1)) AS depth, seq FROM s
+), n AS (
+  SELECT seq[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole = depth), '')) AS ends_sha256
+  FROM p GROUP BY seq[1:depth], depth
+), k AS (
+  SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN depth = 0 THEN 0
+              ELSE (n_convs - 1) * len(regexp_extract_all(n.prefix[depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM n LEFT JOIN k ON n.prefix = k.prefix
+), up AS (
+  SELECT prefix[1:above] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT m.*, unnest(range(depth + 1)) AS above FROM m) GROUP BY 1
+)
+SELECT m.conv_id, m.depth, parent.conv_id AS parent_conv_id, m.n_convs, m.n_children, up.n_leaves::BIGINT AS n_leaves,
+       up.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN up ON m.prefix = up.prefix
+LEFT JOIN n AS parent ON m.depth > 0 AND parent.depth = m.depth - 1 AND parent.prefix = m.prefix[1:m.depth - 1]
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model)
+    return whitening.whiten(rows, model).select("vec_id", "component", F.lit(model.n).cast("long").alias("n"), "deviation",
+                                                "whitened", "explained", F.lit(error).alias("identity_error"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.search(multi_index.build(rows, k=20), rows.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -137,9 +198,13 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op6_url_filter": OP6_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
