@@ -7,11 +7,17 @@ the next one's documents.  All but the last return the columns of documents.
 1. toxicity: documents that the noisy-or model predicts toxic go.  Rows whose
    id the labels hold outside the held-out fold train it.
 2. exact dedup: of equal texts the row with the largest id stays.
-3. near dedup: of the documents that are connected by pairs of five-word
-   similarity 0.8 or more, the one with the smallest id stays; a row without
-   an id is kept.
+3. SimHash near dedup: of the documents whose fingerprints (three words, 2
+   bits) are connected, the one with the smallest id stays; a row without an
+   id is kept.
 4. decontamination: documents in which a benchmark item is found go.
 5. BPE: ids and decoded text of what is left, with their digests.
+
+Defined results: a null or empty text is a document without a toxic sentence or
+a benchmark item; of several, exact dedup keeps one.  Repeated rows are exact
+copies: the one with the largest id stays, of equal ids one.  Labels and benchmark rows that are null or empty teach and match
+nothing.  Columns that documents have besides the usual ones stay up to the
+last stage.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, decontaminate, exact_dedup, near_copies, toxicity
+from basketry.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from basketry.llm.common import table, written
 
 
@@ -33,7 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs, width=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
