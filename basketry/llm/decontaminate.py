@@ -10,8 +10,9 @@ windows of the same form meet, and an item is found if it is in one form.  Windo
 re-parameterised copies as well as verbatim ones.  Document windows pass a
 bitmap of the benchmark's window hashes (of fixed size, so its broadcast is
 bounded; it only spares the shuffle rows that cannot match) and are then
-hash-joined with the benchmark windows, salted, since one passage may stand in
-a third of all documents.
+hash-joined with the benchmark windows.  One passage may stand in a third of
+all documents: the planner broadcasts the benchmark's windows where they are small,
+else it splits the skewed partitions of the documents' side.
 
 A match lies on a diagonal: the same distance between its places in document
 and item.  On each diagonal the slots must be consistent: a value of the
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ from basketry.llm.common import row_key, text_or_empty, without, written
 WINDOW, LITERALS, COVER = 8, 4, 0.8
 RUN = 25                        # consecutive windows: 32 tokens
 LEAST = 5                       # items of fewer tokens match nothing
-SALTS = 32
+CHARS = 200_000                 # texts of together so many characters are hashed at once
 MAP_BITS = 1 << 23              # the bitmap's bits: 1 MB, whatever the benchmark's size
 TOKEN = re.compile(r"[.!?\n:]|[^\W_]+(?:[.,'’][^\W_]+)*")
 NUM, UNIT, NAME, BREAK = (np.uint64(i) for i in (1, 2, 3, 0))
@@ -59,13 +61,15 @@ P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Codes(dict):
-    """Token to (hash of its canonical form << 2 | capital bit): small numbers are placeholders and breaks."""
+    """Token to a place in ``table``, the hash of its canonical form << 1 | capital bit; placeholders and breaks are small."""
 
     LIMIT = 300_000
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.values_, self.table = [], np.empty(0, np.uint64)
+
     def __missing__(self, token: str) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
         if token in ".!?\n:":
             code = 0
         elif any(c.isdigit() for c in token):
@@ -74,40 +78,73 @@ class Codes(dict):
             code = 2 << 1
         else:
             code = (xxhash.xxh64_intdigest(token.lower()) >> 4 | 8) << 1 | token[0].isupper()
-        self[token] = code
-        return code
+        self[token] = place = len(self)
+        self.values_.append(code)
+        return place
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """The tokens' codes; the dictionary starts anew when it has grown beyond ``LIMIT``."""
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.values_, self.table = [], np.empty(0, np.uint64)
+        places = np.array([self[t] for t in tokens], np.int64)
+        if len(self.table) < len(self.values_):
+            self.table = np.r_[self.table, np.array(self.values_[len(self.table):], np.uint64)]
+        return self.table[places]
+
 
+@dataclass
+class Templates:
+    """Canonical tokens of some texts, one after the other, without breaks: ``kinds`` has a row per form (NUM, UNIT,
+    NAME or a literal's hash), ``place`` the tokens' places among ``tokens``, ``text`` and ``pos`` their text and place in it."""
 
-def templates(text: str, codes: Codes) -> tuple[np.ndarray, list[str]]:
-    """Canonical token hashes of a text (NUM, UNIT, NAME or a literal's), one row per form, and the tokens themselves."""
-    tokens = TOKEN.findall(text)
-    raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    kinds: np.ndarray
+    tokens: list[str]
+    place: np.ndarray
+    text: np.ndarray
+    pos: np.ndarray
+
+    def slots(self, form: int, at: int, width: int) -> list[str]:
+        return [self.tokens[self.place[i]].lower() for i in range(at, at + width) if self.kinds[form, i] <= NAME]
+
+
+def templates(texts: list[str], codes: Codes) -> Templates:
+    tokens: list[str] = []
+    ends = []
+    for text in texts:
+        tokens += TOKEN.findall(text)
+        ends.append(len(tokens))
+    ends = np.array(ends, np.int64)
+    raw = codes.of(tokens)
     kind, capital = raw >> np.uint64(1), (raw & np.uint64(1)).astype(bool)
-    starts = np.r_[True, kind[:-1] == BREAK][:len(kind)]
+    starts = np.zeros(len(kind), bool)
+    starts[1:] = kind[:-1] == BREAK
+    starts[np.r_[0, ends[:-1]][np.diff(np.r_[0, ends]) > 0]] = True
     real = np.flatnonzero(kind != BREAK)
+    text = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))[real]
+    kind, capital, starts = kind[real], capital[real], starts[real]
     kinds = np.stack([np.where(capital & ~starts, NAME, kind), kind, np.where(capital, NAME, kind)])
-    return kinds[:, real], [tokens[i] for i in real.tolist()]
+    return Templates(kinds, tokens, real, text, np.arange(len(real)) - np.searchsorted(text, text))
 
 
-def windows(kinds: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(form, position, hash) of the windows of ``width`` tokens that have enough literals."""
+def windows(t: Templates, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(form, place, hash) of the windows of ``width`` tokens of one text that have enough literals."""
+    kinds = t.kinds
     n = kinds.shape[1] - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     forms = np.arange(len(kinds), dtype=np.uint64)[:, None]
     h = np.repeat(forms << np.uint64(32) | np.uint64(width), n, axis=1)
     for j in range(width):
-        h = (h ^ kinds[:, j:n + j]) * P
+        h ^= kinds[:, j:n + j]
+        h *= P
         h ^= h >> np.uint64(29)
-    literal = np.pad(np.cumsum(kinds > NAME, axis=1), ((0, 0), (1, 0)))
-    form, at = np.nonzero(literal[:, width:] - literal[:, :-width] >= min(literals, width))
+    literal = np.pad(np.cumsum(kinds > NAME, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+    enough = literal[:, width:] - literal[:, :-width] >= min(literals, width)
+    form, at = np.nonzero(enough & (t.text[:n] == t.text[width - 1:]))
     return form, at, h[form, at]
 
 
-def _slots(kind: np.ndarray, tokens: list[str], at: int, width: int) -> list[str]:
-    return [tokens[i].lower() for i in range(at, at + width) if kind[i] <= NAME]
-
-
 def _items(width: int, literals: int):
     """Batches of (item, ik, text) to one row per window: (item, ik, form, pos, width, n_windows, h, slots)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +152,15 @@ def _items(width: int, literals: int):
         for b in batches:
             rows, out = [], [[], [], [], [], [], []]
             for row, text in enumerate(b.column(2)):
-                kinds, tokens = templates(text.as_py(), codes)
-                w = min(width, len(tokens))
-                form, at, h = windows(kinds, w, literals) if w >= LEAST else windows(kinds[:, :0], 1, 1)
+                t = templates([text.as_py()], codes)
+                w = min(width, len(t.place))
+                if w < LEAST:
+                    continue
+                form, at, h = windows(t, w, literals)
                 rows += [row] * len(at)
                 for column, values in zip(out, (form.tolist(), at.tolist(), [w] * len(at), np.bincount(form)[form].tolist(),
-                                                h.view(np.int64).tolist(), [_slots(kinds[f], tokens, i, w) for f, i in
-                                                                            zip(form, at.tolist(), strict=True)]), strict=True):
+                                                h.view(np.int64).tolist(), [t.slots(f, i, w) for f, i in
+                                                                            zip(form.tolist(), at.tolist(), strict=True)]), strict=True):
                     column += values
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             take = pa.array(rows, pa.int64())
@@ -134,21 +173,33 @@ def _items(width: int, literals: int):
 
 def _documents(widths: list[int], literals: int, bitmap):
     """Batches of (id, k1, k2, text) to the windows that the bitmap lets through: (id, k1, k2, pos, h, slots)."""
+    def groups(texts) -> Iterator[tuple[int, list[str]]]:
+        """Consecutive texts of together about ``CHARS`` characters, so short ones share the array operations."""
+        first, some, size = 0, [], 0
+        for row, text in enumerate(texts):
+            some.append(text.as_py())
+            size += len(some[-1])
+            if size >= CHARS:
+                yield first, some
+                first, some, size = row + 1, [], 0
+        if some:
+            yield first, some
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bits = Codes(), np.frombuffer(bitmap.value, np.uint8)
         for b in batches:
             rows, pos, hashes, slots = [], [], [], []
-            for row, text in enumerate(b.column(3)):
-                kinds, tokens = templates(text.as_py(), codes)
+            for first, texts in groups(b.column(3)):
+                t = templates(texts, codes)
                 for width in widths:
-                    form, at, h = windows(kinds, width, literals)
+                    form, at, h = windows(t, width, literals)
                     place = h & np.uint64(MAP_BITS - 1)
                     hit = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
-                    form, at = form[hit].tolist(), at[hit].tolist()
-                    rows += [row] * len(at)
-                    pos += at
+                    form, at = form[hit], at[hit]
+                    rows += (t.text[at] + first).tolist()
+                    pos += t.pos[at].tolist()
                     hashes += h[hit].view(np.int64).tolist()
-                    slots += [_slots(kinds[f], tokens, i, width) for f, i in zip(form, at, strict=True)]
+                    slots += [t.slots(f, i, width) for f, i in zip(form.tolist(), at.tolist(), strict=True)]
             keys = [b.column(i).take(pa.array(rows, pa.int64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()),
                                               pa.array(slots, pa.list_(pa.string()))],
@@ -189,10 +240,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(_documents(widths, literals, bitmap),
                             f"id {kind}, k1 long, k2 long, pos int, h long, slots array<string>")
-    found = found.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(SALTS)))
-    ours = items.select("item", "ik", "form", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
-                        "width", "n_windows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    pairs = found.join(ours, ["h", "salt"]).select(
+    ours = items.select("item", "ik", "form", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "width", "n_windows")
+    pairs = found.join(ours, "h").select(
         "id", "k1", "k2", "item", "ik", "form", "item_pos", "pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"),
         "width", "n_windows",
         F.arrays_zip("item_slots", "slots").alias("slots"))
