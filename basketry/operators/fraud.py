@@ -122,8 +122,8 @@ def enrich_order_events(events: DataFrame) -> DataFrame:
     })
 
 
-def stream_fraud(events: DataFrame, rules: StreamFraudRules = StreamFraudRules()) -> DataFrame:
-    """L4 / K6: stateless per-order score: amount ladder + suspicious status; keep >= flag_at."""
+def stream_fraud(events: DataFrame, rules: StreamFraudRules = StreamFraudRules(), *also: str) -> DataFrame:
+    """L4 / K6: stateless per-order score: amount ladder + suspicious status; keep >= flag_at; columns ``also`` stay."""
     scored = (events.filter(F.col("is_valid_order") == 1)
               .withColumn("amount_score", ladder(F.col("total_amount"), rules.amount))
               .withColumn("status_score", F.when(F.col("status").isin(list(rules.suspicious_statuses)),
@@ -131,7 +131,7 @@ def stream_fraud(events: DataFrame, rules: StreamFraudRules = StreamFraudRules()
               .withColumn("fraud_score", (F.col("amount_score") + F.col("status_score")).cast("long")))
     return (scored.filter(F.col("fraud_score") >= rules.flag_at)
             .select("order_id", "customer_id", F.col("event_time").alias("order_timestamp"),
-                    "total_amount", "fraud_score", "status"))
+                    "total_amount", "fraud_score", "status", *also))
 
 
 def fraud_alerts(events: DataFrame, rules: StreamFraudRules = StreamFraudRules()) -> DataFrame:

@@ -46,12 +46,16 @@ def landing_events(events: DataFrame) -> DataFrame:
                 total_amount=F.when(r == 19, 0.0).when(r != 23, F.col("value")), source_system=F.lit("stream"))
     item = row("order_item", item_id=k * 10 + 1, order_id=order_id, product_id=prop, quantity=quantity, price=F.col("value"),
                discount_percent=discount, line_total=F.col("value") * quantity)
+    more = 1 + (prop + 2) % 5
+    second = row("order_item", item_id=k * 10 + 2, order_id=order_id, product_id=prop + 1, quantity=more, price=F.col("value"),
+                 discount_percent=F.lit(0.0), line_total=F.col("value") * more)
     name = F.concat(F.lit("Customer "), F.col("user_id").cast("string"))
     update = row("customer_update", customer_id=customer, name=name,
                  email=F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("@example.com")), join_date=date,
                  segment=F.when(k % 2 == 0, "VIP").otherwise("Regular"), phone=F.lit("5551230000"))
     update = update.withField("event_type", F.when(k % 3 == 0, "customer_create").otherwise("customer_update"))
-    rows = F.array_compact(F.array(order, F.when(kind == "purchase", item), F.when(kind == "signup", update)))
+    rows = F.array_compact(F.array(order, F.when(kind == "purchase", item), F.when((kind == "purchase") & (k % 4 == 1), second),
+                                   F.when(kind == "signup", update)))
     return events.select(F.explode(rows).alias("e")).select("e.*")
 
 
@@ -66,15 +70,64 @@ def waves(events: DataFrame, n: int = WAVES) -> list[DataFrame]:
     return [events.filter(number == i) for i in range(n)]
 
 
-def run_waves(spark: SparkSession, sf_dir: str, start: Callable[[str], list[StreamingQuery]]) -> str:
-    """Lands each wave and runs the queries of ``start(landing)`` over it from their checkpoints; returns the landing."""
-    root = shared_dir(spark, "landing")
-    for i, wave in enumerate(waves(read_table(spark, sf_dir, "events"))):
-        S.land_events(landing_events(wave), f"{root}/wave={i}")
+def run_waves(spark: SparkSession, sf_dir: str, start: Callable[[str], list[StreamingQuery]], again: bool = False,
+              closing: bool = False) -> str:
+    """Lands each wave and runs the queries of ``start(landing)`` over it from their checkpoints; returns the landing.
+
+    ``again``: every eleventh event of a wave comes once more with the same wave's end and with the next wave.
+    ``closing``: a last wave of one order and one item a month later, whose watermark closes what is open.
+    """
+    root, events = shared_dir(spark, "landing"), read_table(spark, sf_dir, "events")
+    before = None
+    for i, wave in enumerate(waves(events)):
+        rows = landing_events(wave)
+        if again:
+            rows = rows.unionByName(landing_events(repeated(wave)))
+            rows = rows.unionByName(landing_events(repeated(before))) if before is not None else rows
+        S.land_events(rows, f"{root}/wave={i}")
+        S.await_all(spark, start(f"{root}/*"))
+        before = wave
+    if closing:
+        S.land_events(closing_events(events), f"{root}/wave=closing")
         S.await_all(spark, start(f"{root}/*"))
     return f"{root}/*"
 
 
+def repeated(events: DataFrame) -> DataFrame:
+    """The events that are delivered again (only those with a time)."""
+    return events.filter((F.col("event_id") % 11 == 4) & (F.col("event_id") % 50 != 17))
+
+
+def closing_events(events: DataFrame) -> DataFrame:
+    """An order and an item of nobody, 30 days after the newest event."""
+    late = F.date_format(F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 30 DAYS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+    def row(kind: str) -> F.Column:
+        known = {"event_type": F.lit(kind), "event_timestamp": F.col("late"), "order_id": F.lit(-1), "customer_id": F.lit(-1),
+                 "item_id": F.lit(-1)}
+        return F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.EVENT_SCHEMA])
+    last = events.agg(late.alias("late")).filter("late IS NOT NULL")
+    return last.select(F.explode(F.array(row("order"), row("order_item"))).alias("e")).select("e.*")
+
+
+def landing_lines(events: DataFrame) -> DataFrame:
+    """The feed as text lines (column ``value``), some of which are no sound record of a known type."""
+    text = F.col("order_id").cast("string")
+    r = F.when(F.col("event_type") == "order", F.col("order_id") % 61)
+    line = (F.when(r == 3, F.concat(F.lit("{broken "), text)).when(r == 7, F.concat(F.lit('{"event_type":"order","order_id":"x'), text, F.lit('"}')))
+            .when(r == 11, F.concat(F.lit('{"event_type":"refund","order_id":'), text, F.lit("}")))
+            .when(r == 13, F.concat(F.lit('{"event_type":"order","order_id":'), text, F.lit(',"colour":"red"}')))
+            .when(r == 17, F.concat(F.lit('{"order_id":'), text, F.lit("}"))))
+    return landing_events(events).select(F.coalesce(line, F.to_json(F.struct(*S.EVENT_SCHEMA.fieldNames()))).alias("value"))
+
+
+def run_line_waves(spark: SparkSession, sf_dir: str, start: Callable[[str], list[StreamingQuery]]) -> None:
+    root = shared_dir(spark, "lines")
+    for i, wave in enumerate(waves(read_table(spark, sf_dir, "events"))):
+        landing_lines(wave).write.text(f"{root}/wave={i}")
+        S.await_all(spark, start(f"{root}/*"))
+
+
 def landed(spark: SparkSession, sf_dir: str) -> str:
     """The whole feed in one landing directory."""
     path = shared_dir(spark, "landing")
@@ -99,7 +152,9 @@ SQL_ORDERS = (f"SELECT 'order' AS event_type, {_TIME} AS event_timestamp, {_ORDE
               f"{_DATE} AS order_date, {_STATUS} AS status, {_AMOUNT} AS total_amount, 'stream' AS source_system FROM events")
 SQL_ITEMS = (f"SELECT 'order_item' AS event_type, {_TIME} AS event_timestamp, event_id * 10 + 1 AS item_id, {_ORDER} AS order_id, "
              f"{_K} AS product_id, 1 + {_K} % 5 AS quantity, value AS price, CAST(event_id % 4 * 5 AS DOUBLE) AS discount_percent, "
-             f"value * (1 + {_K} % 5) AS line_total FROM events WHERE event_type = 'purchase'")
+             f"value * (1 + {_K} % 5) AS line_total FROM events WHERE event_type = 'purchase' UNION ALL "
+             f"SELECT 'order_item', {_TIME}, event_id * 10 + 2, {_ORDER}, {_K} + 1, 1 + ({_K} + 2) % 5, value, 0.0, "
+             f"value * (1 + ({_K} + 2) % 5) FROM events WHERE event_type = 'purchase' AND event_id % 4 = 1")
 SQL_CUSTOMERS = (f"SELECT CASE WHEN event_id % 3 = 0 THEN 'customer_create' ELSE 'customer_update' END AS event_type, {_TIME} AS event_timestamp, {_CUSTOMER} AS customer_id, "
                  f"'Customer ' || user_id AS name, 'c' || user_id || '@example.com' AS email, {_DATE} AS join_date, "
                  f"CASE WHEN event_id % 2 = 0 THEN 'VIP' ELSE 'Regular' END AS segment, '5551230000' AS phone "

@@ -10,6 +10,7 @@ from basketry.operators import fraud as FR
 from basketry.operators import model as M
 from basketry.plans.context import context
 from basketry.plans.flows import latest_orders, run_batch_medallion
+from basketry.plans.incremental import GoldStore
 from basketry.plans.oracle import dedup_first, parse_date, with_base
 from basketry.plans.q_batch import GOLD_SQL
 from basketry.plans import q_clean, q_fraud, q_quality  # noqa: F401  (their SQL is the layers' oracle)
@@ -88,3 +89,14 @@ def q_recent_orders_filtered(spark, sf_dir):
     ev = FR.enrich_order_events(ctx(spark, sf_dir).order_events)
     return latest_orders(ev, "completed", 100, 100).select("order_id", "customer_id", "event_time", "status",
                                                           "total_amount")
+
+
+# ------------------------------------------------------------------ P2 / F8: incremental
+@register("gold_incremental", GOLD_SQL, note="three deliveries; the last only brings copies of orders delivered before")
+def q_gold_incremental(spark, sf_dir):
+    c = context(spark, sf_dir)
+    store, replay = GoldStore(spark, shared_dir(spark, "gold_store"), c.rules), F.col("source_system") == "replay"
+    customers = c.customers_clean
+    for name, part in (("first", ~replay & (F.col("order_id") % 10 < 7)), ("second", ~replay & (F.col("order_id") % 10 >= 7)), ("copies", replay)):
+        store.deliver(name, c.raw_orders.filter(part), customers)
+    return store.gold()

@@ -134,14 +134,14 @@ def q_stream_bronze(spark, sf_dir):
 
 
 _SAMT = " ".join(f"WHEN a > {t} THEN {p}" for t, p in RULES.stream_fraud.amount)
-_FRAUD = f"""
+FRAUD_SQL = f"""
 SELECT order_id, customer_id, order_timestamp, CAST(a AS DOUBLE) AS total_amount, CAST(s AS BIGINT) AS fraud_score, status FROM (
   SELECT order_id, customer_id, t AS order_timestamp, status, a,
     CASE {_SAMT} ELSE 0 END + CASE WHEN status IN ('cancelled', 'refunded') THEN 1 ELSE 0 END AS s
   FROM {PARSED} WHERE valid = 1) WHERE s >= {RULES.stream_fraud.flag_at}"""
 
 
-@register("stream_fraud", _FRAUD)
+@register("stream_fraud", FRAUD_SQL)
 def q_stream_fraud(spark, sf_dir):
     out, ck = shared_dir(spark, "fraud"), shared_dir(spark, "ck")
     LD.run_waves(spark, sf_dir, lambda path: [
@@ -262,36 +262,23 @@ def q_stream_medallion_silver(spark, sf_dir):
     return decimals_to_double(LY.silver_union(spark, paths["silver"], paths["silver_invalid_dates"]).select(*ENRICH_COLS))
 
 
-@register("stream_medallion_fraud", _FRAUD)
+@register("stream_medallion_fraud", FRAUD_SQL)
 def q_stream_medallion_fraud(spark, sf_dir):
     return decimals_to_double(spark.read.parquet(medallion(spark, sf_dir)["fraud"]))
 
 
 _COUNTED = f"(SELECT order_id, customer_id, t, CAST(floor(epoch(t)) AS BIGINT) AS s FROM {PARSED} WHERE t IS NOT NULL AND customer_id IS NOT NULL)"
-_VELOCITY = f"""
+VELOCITY_SQL = f"""
 SELECT e.order_id, e.customer_id, e.t AS event_time,
   (SELECT count(*) FROM {_COUNTED} x WHERE x.customer_id = e.customer_id AND x.s BETWEEN e.s - 3600 AND e.s) AS orders_in_last_hour
 FROM {_COUNTED} e"""
 
 
-def _velocity(spark, sf_dir):
+@register("stream_velocity_counters", VELOCITY_SQL, note="native counters on the stream, hours summed in a batch job")
+def q_stream_velocity_counters(spark, sf_dir):
     out, ck = shared_dir(spark, "per_second"), shared_dir(spark, "ck")
     path = LD.run_waves(spark, sf_dir, lambda path: [S.to_upserts(S.orders_per_second(stream_orders(spark, path)), out, ck)])
-    counters = S.current_rows(spark, out, ["customer_id", "second"])
-    return S.velocity(batch_orders(spark, path), counters), path
-
-
-@register("stream_velocity", _VELOCITY)
-def q_stream_velocity(spark, sf_dir):
-    return _velocity(spark, sf_dir)[0]
-
-
-@register("stream_fraud_velocity", f"SELECT f.*, v.orders_in_last_hour FROM ({_FRAUD}) f LEFT JOIN ({_VELOCITY}) v USING (order_id)",
-          note="K6 with the stateful count")
-def q_stream_fraud_velocity(spark, sf_dir):
-    counts, path = _velocity(spark, sf_dir)
-    alerts = FR.stream_fraud(batch_orders(spark, path), FRAUD)
-    return decimals_to_double(alerts.join(counts.select("order_id", "orders_in_last_hour"), "order_id", "left"))
+    return S.velocity(batch_orders(spark, path), S.current_rows(spark, out, ["customer_id", "second"]))
 
 
 @register("latest_bronze", f"""
