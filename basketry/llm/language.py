@@ -31,8 +31,8 @@ from basketry.llm.common import fold, text_or_empty
 SAMPLE = 2000           # rows per language that its profile is counted on
 SIZE, LONGEST = 300, 3
 WORDS = 500_000         # a worker's cache of words
-LANGUAGES = 500         # the most frequent language values are learned, if there are more
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: of word characters without those that are numbers only, such as superscripts, fractions and numerals.
+WORD = re.compile("[^\\W_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha()) + "]+")
 
 
 def grams(word: str) -> list[str]:
@@ -62,15 +62,18 @@ class Numbers(dict):
 class Profiler(dict):
     """Profiles of texts against those of the languages; the dict holds each word's n-gram numbers.
 
-    The languages' n-grams have the first numbers, for which ``ranks`` has a row per language; all others share its last
-    column, ``SIZE`` off any rank.  Starts anew beyond ``WORDS`` words.
+    The languages' n-grams have the first numbers; ``lang`` and ``rank`` list, n-gram by n-gram from ``starts`` on, the
+    languages that have it.  All others are ``SIZE`` off any rank.  Starts anew beyond ``WORDS`` words.
     """
 
     def __init__(self, langs: dict[str, dict[str, int]]) -> None:
         super().__init__()
         self.langs = sorted(langs)
         self.first = sorted({g for ranks in langs.values() for g in ranks})
-        self.ranks = np.array([[langs[x].get(g, -1) for g in [*self.first, ""]] for x in self.langs], np.int64)
+        number = {g: i for i, g in enumerate(self.first)}
+        known = sorted((number[g], i, r) for i, x in enumerate(self.langs) for g, r in langs[x].items())
+        gram, self.lang, self.rank = np.array(known, np.int64).reshape(-1, 3).T
+        self.starts = np.searchsorted(gram, np.arange(len(self.first) + 1))
         self.numbers = Numbers(self.first)
 
     def __missing__(self, word: str) -> np.ndarray:
@@ -100,8 +103,11 @@ class Profiler(dict):
         mine = self.profile(text)
         if not len(mine) or not self.langs:
             return "und", 0.0
-        there = self.ranks[:, np.minimum(mine, len(self.first))]
-        off = np.where(there < 0, SIZE, np.abs(there - np.arange(len(mine)))).sum(axis=1)
+        place = np.flatnonzero(mine < len(self.first))
+        first, n = self.starts[mine[place]], np.diff(self.starts)[mine[place]]
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        nearer = SIZE - np.abs(self.rank[entry] - np.repeat(place, n))       # than an n-gram that isn't there
+        off = SIZE * len(mine) - np.bincount(self.lang[entry], nearer, len(self.langs)).astype(np.int64)
         best = int(np.argmin(off))                            # ties: the smaller name
         return self.langs[best], 1 - float(off[best]) / (SIZE * len(mine))
 
@@ -114,10 +120,9 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, 5) != 0)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return {}
-    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))])
+    # languages with more rows than the sample: at most one per ``sample`` rows, so the texts need not be shuffled
+    share = (rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sample)
+             .select("of", (F.lit(sample) / F.col("n")).alias("share")))
     place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +135,8 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
                         mine[g] += k
             yield pd.DataFrame([(x, g, k) for x, c in total.items() for g, k in c.items()], columns=["lang", "gram", "n"])
 
-    counted = (rows.where(place < F.try_element_at(bound, F.col("lang"))).select("lang", "text")
+    counted = (rows.join(F.broadcast(share), F.col("lang") == F.col("of"), "left")
+               .where(F.col("share").isNull() | (place < F.col("share"))).select("lang", "text")
                .mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     out: dict[str, dict[str, int]] = {}
@@ -141,9 +147,11 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
 
 def predict(docs: DataFrame, langs: dict[str, dict[str, int]], text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out`` (replacing one of that name): lang_pred, score."""
+    model = docs.sparkSession.sparkContext.broadcast(langs)      # SIZE n-grams a language
+
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        profiler = Profiler(langs)
+        profiler = Profiler(model.value)
         for texts in parts:
             yield pd.DataFrame([profiler.nearest(t) for t in texts], columns=["lang_pred", "score"])
 

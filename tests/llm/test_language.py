@@ -58,3 +58,27 @@ def test_edges(spark, monkeypatch):
     check(docs_of(spark, [(1, "a"), (2, "A a b"), (3, "ñ 12")]), tie)
     monkeypatch.setattr(L, "WORDS", 3)
     check(documents(spark).limit(30), langs)
+
+
+def test_numbers_are_no_letters(spark):
+    langs = {"de": {"a": 0, "b": 1}}
+    rows = [(1, "½ ² ① Ⅷ ٣ 12"), (2, "a² b"), (3, "ªº")]
+    got = {r.doc_id: r.language.lang_pred for r in L.predict(docs_of(spark, rows), langs).collect()}
+    assert got == {1: "und", 2: "de", 3: "de"}
+
+
+def test_every_language_is_learned(spark):
+    """600 languages of two documents each, with letters of their own."""
+    rows = [(i, " ".join(chr(0x4E00 + (i % 600) * 7 + j) * (j + 1) for j in range(7)), f"l{i % 600}") for i in range(1200)]
+    docs = docs_of(spark, rows, "doc_id long, text string, lang string")
+    langs = L.profiles(docs)
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert langs.keys() == learned and len(learned) > 570
+    right = [r.language.lang_pred == r.lang for r in L.predict(docs, langs).collect() if r.lang in learned]
+    assert all(right)
+
+
+def test_sample_per_language(spark):
+    rows = [(i, f"w{'ab'[i % 2]}", "many" if i % 10 else "few") for i in range(2000)]
+    some = L.profiles(docs_of(spark, rows, "doc_id long, text string, lang string"), sample=100)
+    assert some.keys() == {"many", "few"} and "w" in some["few"]
