@@ -48,13 +48,16 @@ def q_stream_file_source(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ A8
-@register("kafka_decode", """
+KAFKA_SQL = """
 SELECT CAST(user_id AS VARCHAR) AS message_key, event_type AS message_topic, CAST(user_id % 3 AS INT) AS message_partition,
   event_id AS message_offset, CAST(ts AS TIMESTAMP) AS message_timestamp,
   CASE WHEN event_id % 97 <> 5 THEN event_id END AS order_id, CASE WHEN event_id % 97 <> 5 THEN user_id END AS customer_id,
   CASE WHEN event_id % 97 <> 5 THEN value END AS total_amount, CASE WHEN event_id % 97 <> 5 THEN event_type END AS event_type,
   CASE WHEN event_id % 97 <> 5 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
-  CASE WHEN event_id % 97 = 5 THEN '{broken ' || event_id END AS corrupt FROM events""",
+  CASE WHEN event_id % 97 = 5 THEN '{broken ' || event_id END AS corrupt FROM events"""
+
+
+@register("kafka_decode", KAFKA_SQL,
           note="every 97th message is broken JSON and keeps its text")
 def q_kafka_decode(spark, sf_dir):
     log = context(spark, sf_dir).message_log
@@ -94,7 +97,10 @@ FROM (SELECT make_timestamp(n * {60 * slide} * 1000000) AS ws, customer_id, a
 GROUP BY 1, 2 {having}"""
 
 
-@register("revenue_by_window", _tumbling())
+TUMBLING_SQL = _tumbling()
+
+
+@register("revenue_by_window", TUMBLING_SQL)
 def q_revenue_by_window(spark, sf_dir):
     return S.windowed_revenue(batch_orders(spark, LD.landed(spark, sf_dir)), "1 minute", exact_customers=True)
 

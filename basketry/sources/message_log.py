@@ -5,7 +5,7 @@ partition (``write_log``).  ``spark.readStream.format("message_log")`` reads it
 as a broker's consumer does: one Spark partition per topic partition, from the
 group's committed offsets (else from the earliest), at most
 ``maxOffsetsPerTrigger`` new offsets a partition and micro-batch, and a commit
-after a micro-batch has succeeded.
+after a micro-batch has succeeded (``commit_processed``).
 
 The stream's checkpoint decides what a query has processed: a restart from it
 reads nothing twice and loses nothing.  The committed offsets are for a consumer
@@ -30,6 +30,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "topic string, partition int, offset long, key string, value string, timestamp timestamp"
 COMMITS = "_commits"
@@ -56,8 +57,9 @@ class MessageLog:
     """The log's files: what offsets each topic partition has, read from the files' footers, each of them once."""
 
     def __init__(self, path: str, topics: list[str] | None) -> None:
-        uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
-        self.store, self.root = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+        if path.startswith("file:/") and not path.startswith("file://"):
+            path = path.removeprefix("file:")
+        self.store, self.root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         self.topics = topics
         self.known: dict[str, tuple[str, int, int, int]] = {}       # file -> topic, partition, first and last offset
 
@@ -189,6 +191,18 @@ def read_log(spark: SparkSession, path: str, group: str = "default", **options:
     return spark.readStream.format("message_log").options(path=path, group=group, **options).load()
 
 
+def commit_processed(query: StreamingQuery, path: str, group: str = "default") -> None:
+    """Commits what a query has processed so far, as its own progress says.
+
+    Spark tells a source to commit a micro-batch when it plans the next one, so the last one before a
+    consumer stops is committed here.
+    """
+    for progress in query.recentProgress:
+        for source in json.loads(progress.json)["sources"]:
+            if source["endOffset"]:
+                MessageLog(path, None).commit(group, source["endOffset"])
+
+
 def committed(path: str, group: str = "default") -> dict[str, int]:
     """The group's committed offsets: the next offset to read, by topic partition."""
     return MessageLog(path, None).committed(group)
