@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,9 @@ def nan_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.isnan(F.col(f"`{c}`"))).alias(c) for c in floats])
 
 
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """keys occurring more than once (a null key is a key too)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
+def duplicate_keys(df: DataFrame, key: str, rows: str | None = None) -> DataFrame:
+    """keys occurring more than once (a null key is a key too); column ``rows`` says for how many a row stands."""
+    return df.groupBy(key).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("row_count")).filter(F.col("row_count") > 1)
 
 
 def date_range(df: DataFrame, column: str) -> DataFrame:
@@ -72,6 +72,11 @@ def column_report(df: DataFrame, table: str) -> DataFrame:
                        _pct(F.col("null_count"), F.col("__rows")).cast("double").alias("null_percentage"))
 
 
+def id_column(df: DataFrame) -> str | None:
+    """The first column whose name contains ``id``."""
+    return next((c for c in df.columns if "id" in c.lower()), None)
+
+
 def table_summary(df: DataFrame, table: str) -> DataFrame:
     """F12/F13/F14 (table): rows, columns, duplicate ids, completeness - one pass.
 
@@ -79,23 +84,64 @@ def table_summary(df: DataFrame, table: str) -> DataFrame:
     contains ``id`` (null counted as one value, as ``distinct()`` does);
     completeness = mean over columns of (100 - null%) to 2 places.
     """
-    cols = df.columns
-    id_cols = [c for c in cols if "id" in c.lower()]
+    cols, key = df.columns, id_column(df)
     aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count_if(_missing(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)]
-    if id_cols:
-        k = F.col(f"`{id_cols[0]}`")
-        aggs += [F.countDistinct(k).alias("__distinct"), F.max(F.when(k.isNull(), 1).otherwise(0)).alias("__has_null")]
-    agg = df.agg(*aggs)
+    if key:
+        k = F.col(f"`{key}`")
+        aggs.append((F.countDistinct(k) + F.coalesce(F.max(F.when(k.isNull(), 1).otherwise(0)), F.lit(0))).alias("__distinct"))
+    return _summary(df.agg(*aggs), table, len(cols), key is not None)
+
+
+def _summary(agg: DataFrame, table: str, columns: int, has_key: bool) -> DataFrame:
+    """The summary row of ``__rows``, the missing values ``__m<i>`` of each column and the ``__distinct`` keys (null is one)."""
     rows = F.col("__rows")
-    pcts = [_pct(F.col(f"__m{i}"), rows) for i in range(len(cols))]
-    completeness = reduce(lambda a, b: a + b, [(F.lit(100) - p) for p in pcts]) / F.lit(len(cols))
-    dup = (rows - F.col("__distinct") - F.col("__has_null")) if id_cols else F.lit(0)
+    pcts = [_pct(F.col(f"__m{i}"), rows) for i in range(columns)]
+    completeness = reduce(lambda a, b: a + b, [(F.lit(100) - p) for p in pcts]) / F.lit(columns)
+    dup = (rows - F.col("__distinct")) if has_key else F.lit(0)
     return agg.select(
         F.lit(table).alias("table_name"), rows.cast("long").alias("total_rows"),
-        F.lit(len(cols)).cast("long").alias("total_columns"), dup.cast("long").alias("duplicate_rows"),
+        F.lit(columns).cast("long").alias("total_columns"), dup.cast("long").alias("duplicate_rows"),
         F.when(rows > 0, F.round(completeness.cast(PCT), 2)).otherwise(F.lit(0)).cast("double").alias("completeness_score"))
 
 
+# ------------------------------------------------------------------ measured while writing
+def write_metrics(df: DataFrame, dates: dict[str, Column] | None = None) -> dict[str, Column]:
+    """What a table's reports need of each row, as aggregates that a write can measure on the way.
+
+    Rows; per column its nulls and its missing values; earliest and latest of the ``dates``.
+    """
+    out = {"rows": F.count(F.lit(1))}
+    for i, c in enumerate(df.columns):
+        out[f"null{i}"] = F.count_if(F.col(f"`{c}`").isNull())
+        out[f"missing{i}"] = F.count_if(_missing(df, c))
+    for name, d in (dates or {}).items():
+        out[f"first_{name}"], out[f"last_{name}"] = F.min(d), F.max(d)
+    return out
+
+
+def measured_null_counts(spark: SparkSession, columns: list[str], seen: dict) -> DataFrame:
+    """F9 from a write's metrics."""
+    return spark.createDataFrame([tuple(seen[f"null{i}"] for i in range(len(columns)))],
+                                 T.StructType([T.StructField(c, T.LongType()) for c in columns]))
+
+
+def measured_date_range(spark: SparkSession, name: str, seen: dict) -> DataFrame:
+    """F11 from a write's metrics."""
+    return spark.createDataFrame([(seen[f"first_{name}"], seen[f"last_{name}"])], "earliest date, latest date")
+
+
+def measured_summary(table: str, columns: list[str], seen: dict, distinct: DataFrame) -> DataFrame:
+    """F13 from a write's metrics and the one-row frame ``distinct`` (its column n: distinct keys, null is one)."""
+    counts = {"__rows": seen["rows"], **{f"__m{i}": seen[f"missing{i}"] for i in range(len(columns))}}
+    agg = distinct.select(F.col("n").alias("__distinct"), *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+    return _summary(agg, table, len(columns), True)
+
+
+def distinct_count(df: DataFrame, key: str) -> DataFrame:
+    """One row, n: the distinct values of a key, null counted as one."""
+    return df.select(key).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
 def quality_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """one summary row per table."""
     return reduce(DataFrame.unionByName, [table_summary(df, name) for name, df in tables.items()])
@@ -118,18 +164,18 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-def orphan_count(child: DataFrame, parent: DataFrame, key: str, check: str) -> DataFrame:
-    """E6 (one check): child rows whose non-null key has no parent row."""
-    per_key = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def orphan_count(child: DataFrame, parent: DataFrame, key: str, check: str, rows: str | None = None) -> DataFrame:
+    """E6 (one check): child rows whose non-null key has no parent row; column ``rows`` says for how many a row stands."""
+    per_key = child.filter(F.col(key).isNotNull()).groupBy(key).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("n"))
     orphans = per_key.join(parent.select(key), key, "left_anti")
     return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orphan_count")) \
         .select(F.lit(check).alias("check_name"), "orphan_count")
 
 
 def referential_integrity(orders: DataFrame, customers: DataFrame, items: DataFrame,
-                          products: DataFrame) -> DataFrame:
+                          products: DataFrame, order_rows: str | None = None) -> DataFrame:
     """Orders without customer, items without order, items without product."""
-    return (orphan_count(orders, customers, "customer_id", "orders_missing_customers")
+    return (orphan_count(orders, customers, "customer_id", "orders_missing_customers", order_rows)
             .unionByName(orphan_count(items, orders, "order_id", "order_items_missing_orders"))
             .unionByName(orphan_count(items, products, "product_id", "order_items_missing_products")))
 

@@ -1,10 +1,11 @@
 """Exact quantiles in bounded memory.
 
-Distinct values are counted (partial aggregation), dealt out by value range,
-and ranked by prefix sums: inside each of ``PIECES`` ranges by a window, across
-ranges by their totals.  Range bounds are approximate
-quantiles of the distinct values, so a piece holds a bounded share of them; no
-task holds all distinct values, and no exact percentile buffer is used.
+Distinct values are counted (partial aggregation), dealt out by value range and
+written once, with the number of their range; there are as many ranges as
+shuffle partitions, so they grow with the cluster.  The ranges' totals, a row
+per range, say in which of them an order statistic lies; only those ranges are
+ranked, by a window.  No task holds all distinct values, and no exact
+percentile buffer is used.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 64
+from basketry.session import materialised
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
@@ -25,24 +26,30 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str
     keys = list(named)
     counts = (df.select(*[c.alias(k) for k, c in named.items()], F.col(column).cast("double").alias("__x"))
               .filter(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")))
-    cuts = F.percentile_approx("__x", [i / PIECES for i in range(1, PIECES)], 20 * PIECES).alias("__cuts")
-    placed = _beside(counts, counts, keys, cuts, F.sum("__n").alias("__total"))
-    placed = placed.withColumn("__piece", F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).drop("__cuts")
-
-    # pieces before a value's own, as a list of at most PIECES totals; values before it in its piece, by a window
-    totals = placed.groupBy(*keys, "__piece").agg(F.sum("__n").alias("__m"))
-    ranked = _beside(placed, totals, keys, F.collect_list(F.struct("__piece", "__m")).alias("__pieces"))
-    earlier = F.filter("__pieces", lambda t: t["__piece"] < F.col("__piece"))
-    inside = Window.partitionBy(*keys, "__piece").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("__upto", F.aggregate(earlier, F.lit(0).cast("long"), lambda n, t: n + t["__m"])
-                               + F.sum("__n").over(inside)).drop("__pieces")
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialised(counts.repartitionByRange(pieces, *keys, "__x").withColumn("__piece", F.spark_partition_id()),
+                          "quantile-counts")
 
+    # the ranges' totals: a row per key and range
+    per_key = Window.partitionBy(*(keys or [F.lit(1)]))
+    totals = placed.groupBy(*keys, "__piece").agg(F.sum("__n").alias("__m")).withColumns({
+        "__before": F.coalesce(F.sum("__m").over(per_key.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__total": F.sum("__m").over(per_key)})
     # order statistics floor and ceil of (total - 1) * p, counted from 0, and the way between them
     want = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
-    asked = ranked.select("*", want.alias("__w")).withColumn("__at", (F.col("__total") - 1) * F.col("__w.p"))
+    asked = totals.select("*", want.alias("__w")).withColumn("__at", (F.col("__total") - 1) * F.col("__w.p"))
     low, high = F.floor("__at"), F.ceil("__at")
-    first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
-    found = asked.filter(((first <= low) & (low <= last)) | ((first <= high) & (high <= last)))
+
+    def within(first: Column, n: Column) -> Column:
+        return ((first <= low) & (low < first + n)) | ((first <= high) & (high < first + n))
+    asked = asked.filter(within(F.col("__before"), F.col("__m")))
+
+    # the asked ranges' values with the number of values before them, then the asked ones
+    inside = Window.partitionBy(*keys, "__piece").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = asked.select(*keys, "__piece").distinct()
+    values = _same_range(placed, ranges, keys, "left_semi").withColumn("__first", F.sum("__n").over(inside) - F.col("__n"))
+    found = _same_range(values, asked.select(*keys, "__piece", "__before", "__w", "__at"), keys, "inner").filter(
+        within(F.col("__before") + F.col("__first"), F.col("__n")))
     part = found.groupBy(*keys, F.col("__w.i").alias("__i")).agg(
         F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.first(F.col("__at") - low).alias("__f"))
     value = F.struct("__i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias("v"))
@@ -51,15 +58,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "q")
 
 
-def _beside(df: DataFrame, source: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """``df`` with the aggregates of ``source`` per key (null keys match), or over all of it without keys."""
-    if not keys:
-        one = source.agg(F.struct(*aggregates).alias("all")).scalar()
-        names = source.agg(*aggregates).columns
-        return df.withColumn("__all", one).select("*", *[F.col("__all").getField(n).alias(n) for n in names]).drop("__all")
-    right = source.groupBy(*keys).agg(*aggregates).withColumnsRenamed({k: f"{k}_r" for k in keys})
-    on = None
+def _same_range(values: DataFrame, ranges: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on the range's number and the keys, null equal to null."""
+    right = ranges.withColumnsRenamed({k: f"{k}_r" for k in [*keys, "__piece"]})
+    on = F.col("__piece") == F.col("__piece_r")
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"{k}_r"))
-        on = same if on is None else on & same
-    return df.join(right, on).drop(*[f"{k}_r" for k in keys])
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+    return values.join(right, on, how).drop(*[f"{k}_r" for k in [*keys, "__piece"]])

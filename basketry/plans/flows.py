@@ -7,11 +7,16 @@ lost executor re-reads a layer instead of recomputing from the raw feed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.functions import cleaning as C
 from basketry.functions.rules import RuleSet, tpch_rules
 from basketry.operators import analytics as A
 from basketry.operators import cleaning as CL
@@ -32,7 +37,7 @@ class MedallionPaths:
 
 def quality_suite(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame,
                   as_of) -> dict[str, DataFrame]:
-    """The quality reports over the raw tables (one aggregate pass each); dates after ``as_of`` are invalid."""
+    """P1 over tables that are already there: the quality reports, one aggregate pass each; dates after ``as_of`` are invalid."""
     dated = CL.standardize_dates(orders, "order_date")
     tables = {"orders": orders, "customers": customers, "order_items": items, "products": products}
     return {
@@ -48,56 +53,102 @@ def quality_suite(orders: DataFrame, customers: DataFrame, items: DataFrame, pro
     }
 
 
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
+    """Runs independent jobs at the same time: while one waits for its last tasks, the others fill the cluster.
+
+    All are waited for; the first failure is raised.
+    """
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for job in running:
+        job.result()
+
+
+def write_bronze_measured(spark: SparkSession, raw: dict[str, DataFrame], root: str) -> tuple[dict[str, str], dict[str, dict]]:
+    """Bronze as ``layers.write_bronze`` writes it; also what the quality reports need of every row, measured on the way."""
+    paths, seen = {n: f"{root}/bronze/{n}" for n in raw}, {}
+
+    def write(name: str) -> None:
+        dates = {"order_date": C.parse_date("order_date")} if name == "orders" else None
+        seen[name] = LY.write_measured(raw[name], paths[name], Q.write_metrics(raw[name], dates))
+    together(spark, *[partial(write, name) for name in raw])
+    return paths, seen
+
+
+def write_quality(spark: SparkSession, bronze: dict[str, DataFrame], seen: dict[str, dict], p: MedallionPaths, as_of) -> None:
+    """The quality reports.  What a report needs of each row was measured while Bronze was written; beyond that, orders are
+    read for their keys (duplicates, orphans) and for the rows that reports list, each once."""
+    orders, customers, items, products = (bronze[n] for n in ("orders", "customers", "order_items", "products"))
+
+    def keys() -> None:
+        counted = orders.groupBy("order_id", "customer_id").agg(F.count(F.lit(1)).alias("rows"))
+        LY.write_parquet(counted, p["quality/order_keys"])
+        known = spark.read.parquet(p["quality/order_keys"])
+        distinct = {"orders": known, "customers": customers, "order_items": items, "products": products}
+        summary = [Q.measured_summary(n, bronze[n].columns, seen[n], Q.distinct_count(df, Q.id_column(bronze[n]))) for n, df in distinct.items()]
+        together(spark, lambda: LY.write_parquet(reduce(DataFrame.unionByName, summary), p["quality/dq_summary"]),
+                 lambda: LY.write_parquet(Q.referential_integrity(known, customers, items, products, "rows"), p["quality/referential_integrity"]),
+                 lambda: LY.write_parquet(Q.duplicate_keys(known, "order_id", "rows"), p["quality/duplicate_order_ids"]))
+
+    def listed() -> None:
+        dated = CL.standardize_dates(orders, "order_date")
+        odd = F.col("order_date_cleaned").isNull() | (F.col("order_date_cleaned") > as_of) | (F.col("total_amount") < 0)
+        LY.write_parquet(dated.filter(odd), p["quality/odd_orders"])
+        rows = spark.read.parquet(p["quality/odd_orders"])
+        LY.write_parquet(A.invalid_dates(rows, as_of), p["quality/invalid_dates"])
+        LY.write_parquet(A.negative_amounts(rows).select(*orders.columns), p["quality/negative_amounts"])
+
+    together(spark, keys, listed,
+             lambda: LY.write_parquet(Q.measured_null_counts(spark, orders.columns, seen["orders"]), p["quality/null_counts_orders"]),
+             lambda: LY.write_parquet(Q.measured_date_range(spark, "order_date", seen["orders"]), p["quality/order_date_range"]),
+             lambda: LY.write_parquet(Q.duplicate_keys(customers, "customer_id"), p["quality/duplicate_customer_ids"]),
+             lambda: LY.write_parquet(A.invalid_emails(customers), p["quality/invalid_emails"]))
+
+
 def run_batch_medallion(spark: SparkSession, raw: dict[str, DataFrame], root: str,
                         rules: RuleSet | None = None) -> MedallionPaths:
-    """Raw -> Bronze -> quality reports -> Silver -> Gold and exports."""
+    """Raw -> Bronze -> quality reports -> Silver -> Gold and exports; tables that do not need each other at the same time."""
     rules = rules or tpch_rules()
     p = MedallionPaths(root)
     # Bronze: the feeds as delivered
-    bronze = LY.write_bronze(root, raw)
-    orders = spark.read.schema(LY.ORDERS_SCHEMA).parquet(bronze["orders"])
-    customers = spark.read.schema(LY.CUSTOMERS_SCHEMA).parquet(bronze["customers"])
-    items = spark.read.schema(LY.ITEMS_SCHEMA).parquet(bronze["order_items"])
-    products = spark.read.schema(LY.PRODUCTS_SCHEMA).parquet(bronze["products"])
+    paths, seen = write_bronze_measured(spark, raw, root)
+    schemas = {"orders": LY.ORDERS_SCHEMA, "customers": LY.CUSTOMERS_SCHEMA, "order_items": LY.ITEMS_SCHEMA, "products": LY.PRODUCTS_SCHEMA}
+    bronze = {n: spark.read.schema(s).parquet(paths[n]) for n, s in schemas.items()}
     # Silver orders first: de-duplicated once, read by everything below, and the source of as_of
-    orders_clean = CL.clean_orders(dedup_keep_first(orders, ["order_id"]), rules.cleaning)
-    LY.write_partitioned(orders_clean, p["silver/orders"])
-    orders_schema = orders_clean.schema
-    newest = spark.read.schema(orders_schema).parquet(p["silver/orders"]).select(
-        F.max(F.when(F.col("is_valid_order") == 1, F.col("order_date_cleaned")))).first()[0]
+    orders_clean = CL.clean_orders(dedup_keep_first(bronze["orders"], ["order_id"]), rules.cleaning)
+    together(spark, lambda: LY.write_partitioned(orders_clean, p["silver/orders"]),
+             lambda: LY.write_parquet(CL.clean_items(bronze["order_items"], rules.cleaning), p["silver/order_items"]),
+             lambda: LY.write_parquet(CL.clean_products(bronze["products"], rules.cleaning), p["silver/products"]))
+    s_orders = spark.read.schema(orders_clean.schema).parquet(p["silver/orders"])  # typed partition columns
+    newest = s_orders.select(F.max(F.when(F.col("is_valid_order") == 1, F.col("order_date_cleaned")))).first()[0]
     as_of = F.lit(newest).cast("date")
-    # P1 reports
-    for name, df in quality_suite(orders, customers, items, products, as_of).items():
-        LY.write_parquet(df, p[f"quality/{name}"])
-    # Silver: cleaned entities; facts partitioned by year/month
-    LY.write_parquet(CL.clean_customers(customers, as_of, rules.cleaning), p["silver/customers"])
-    LY.write_parquet(CL.clean_items(items, rules.cleaning), p["silver/order_items"])
-    LY.write_parquet(CL.clean_products(products, rules.cleaning), p["silver/products"])
-    s_orders = spark.read.schema(orders_schema).parquet(p["silver/orders"])  # typed partition columns
-    s_customers = spark.read.parquet(p["silver/customers"])
-    s_items = spark.read.parquet(p["silver/order_items"])
-    s_products = spark.read.parquet(p["silver/products"])
+    # P1 reports beside the rest of Silver: cleaned customers, and the reports of orders alone
+    together(spark, lambda: write_quality(spark, bronze, seen, p, as_of),
+             lambda: LY.write_parquet(CL.clean_customers(bronze["customers"], as_of, rules.cleaning), p["silver/customers"]),
+             lambda: LY.write_parquet(A.monthly_revenue(s_orders), p["gold/monthly_revenue"]),
+             lambda: LY.write_parquet(A.status_distribution(s_orders), p["gold/status_distribution"]),
+             lambda: LY.write_parquet(A.overall_revenue(s_orders), p["gold/overall_revenue"]))
+    s_customers, s_items, s_products = (spark.read.parquet(p[f"silver/{n}"]) for n in ("customers", "order_items", "products"))
     fact = M.fact_orders_enhanced(s_orders, s_customers, s_items, s_products)
-    LY.write_partitioned(fact, p["silver/fact_orders"])
-    fact_schema = fact.schema
-    LY.write_parquet(M.customer_metrics(s_orders, s_customers, as_of), p["silver/customer_metrics"])
-    # Gold and reports
-    LY.write_parquet(M.gold_segment_monthly(s_orders, s_customers, as_of, rules.rfm), p["gold/customer_segment_monthly"])
-    LY.write_parquet(A.monthly_revenue(s_orders), p["gold/monthly_revenue"])
-    monthly = spark.read.parquet(p["gold/monthly_revenue"])
-    LY.write_parquet(A.revenue_anomalies(monthly, 0.2), p["gold/revenue_anomalies"])
-    LY.write_parquet(A.status_distribution(s_orders), p["gold/status_distribution"])
-    LY.write_parquet(A.overall_revenue(s_orders), p["gold/overall_revenue"])
-    LY.write_parquet(M.customer_rfm(s_orders, s_customers, as_of, rules.rfm), p["gold/customer_rfm"])
-    LY.write_parquet(A.segment_analysis(s_orders, s_customers), p["gold/segment_analysis"])
-    LY.write_parquet(A.category_performance(spark.read.schema(fact_schema).parquet(p["silver/fact_orders"])),
-                     p["gold/category_performance"])
-    fraud = FR.fraud_orders(s_orders, s_items, rules.fraud)
-    LY.write_parquet(fraud, p["gold/potential_fraud_orders"])
-    # exports: the Gold table is small (one file); fraud keeps its partitioning
-    LY.write_csv_export(spark.read.parquet(p["gold/customer_segment_monthly"]), p["exports/gold_customer_segment_monthly_csv"])
-    LY.write_csv_export(spark.read.parquet(p["gold/potential_fraud_orders"]), p["exports/potential_fraud_orders"],
-                        single_file=False)
+
+    # facts partitioned by year/month, and what reads them; exports: the Gold table is small (one file), fraud keeps its partitioning
+    def facts() -> None:
+        LY.write_partitioned(fact, p["silver/fact_orders"])
+        LY.write_parquet(A.category_performance(spark.read.schema(fact.schema).parquet(p["silver/fact_orders"])), p["gold/category_performance"])
+
+    def gold() -> None:
+        LY.write_parquet(M.gold_segment_monthly(s_orders, s_customers, as_of, rules.rfm), p["gold/customer_segment_monthly"])
+        LY.write_csv_export(spark.read.parquet(p["gold/customer_segment_monthly"]), p["exports/gold_customer_segment_monthly_csv"])
+
+    def fraud() -> None:
+        LY.write_parquet(FR.fraud_orders(s_orders, s_items, rules.fraud), p["gold/potential_fraud_orders"])
+        LY.write_csv_export(spark.read.parquet(p["gold/potential_fraud_orders"]), p["exports/potential_fraud_orders"], single_file=False)
+
+    together(spark, facts, gold, fraud,
+             lambda: LY.write_parquet(M.customer_metrics(s_orders, s_customers, as_of), p["silver/customer_metrics"]),
+             lambda: LY.write_parquet(M.customer_rfm(s_orders, s_customers, as_of, rules.rfm), p["gold/customer_rfm"]),
+             lambda: LY.write_parquet(A.segment_analysis(s_orders, s_customers), p["gold/segment_analysis"]),
+             lambda: LY.write_parquet(A.revenue_anomalies(spark.read.parquet(p["gold/monthly_revenue"]), 0.2), p["gold/revenue_anomalies"]))
     return p
 
 

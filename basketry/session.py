@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins/partition counts from
 # runtime sizes, splits skewed join partitions, and UTC keeps timestamps
@@ -65,6 +65,13 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: computed once, and a lost executor costs a re-read only."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
