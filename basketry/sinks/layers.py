@@ -7,7 +7,7 @@ partitioned by order year/month with dynamic partition overwrite) and Gold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,13 @@ def write_bronze(root: str, tables: dict[str, DataFrame], mode: str = "overwrite
     return paths
 
 
+def write_measured(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict:
+    """Writes a table and returns ``metrics`` (aggregates without distinct) of its rows, measured as they are written."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def write_partitioned(df: DataFrame, path: str, keys=("order_year", "order_month")) -> str:
     """Partitioned by year/month; overwriting replaces only the partitions present.
 
