@@ -146,9 +146,12 @@ class GoldStore:
             gone.alias("r"), F.expr("l.order_id <=> r.order_id"), "left_anti")
         first = self._staged(delivery, "first", kept.unionByName(fresh).select(*self.first.fieldNames()))
 
-        cleaned = self._clean(changes.select("new.*"))
-        before = self._clean(changes.filter(F.col("old").isNotNull()).select("old.*"))
-        months = _distinct(self._staged(delivery, "touched", cleaned.select(*MONTH).unionByName(before.select(*MONTH)).distinct()))
+        # both versions of the changed orders, cleaned in one pass: the new ones are kept, the months of both are touched
+        both = changes.select(F.explode(F.array(F.struct(F.col("new").alias("row"), F.lit(True).alias("kept")),
+                                                F.struct(F.col("old").alias("row"), F.lit(False).alias("kept")))).alias("v"))
+        both = both.filter("v.row IS NOT NULL").select("v.row.*", "v.kept")
+        versions = self._staged(delivery, "versions", self._clean(both))
+        months, cleaned = _distinct(versions.select(*MONTH)), versions.filter("kept").drop("kept")
         rest = self.table("orders", self.orders, months, MONTH).alias("l").join(
             gone.alias("r"), F.expr("l.order_id <=> r.order_id"), "left_anti")
         orders = self._staged(delivery, "orders", rest.unionByName(cleaned).select(*self.orders.fieldNames()))
