@@ -1,20 +1,24 @@
 """BPE encoding and decoding over a distinct-word table.
 
 White space never crosses a token of this kind of vocabulary, so a text's ids
-are its words' ids in order.  Texts are split once, in blocks of whole
-documents: a block holds its distinct words and each document's words as
-positions in that list.  A block sends one compressed word list per bucket of
-the word hash, as a shuffle's map task does per reducer; in the bucket each
-distinct word is encoded once, whatever the number of its occurrences, and the
-ids go back to the block.  There they are joined to the documents by position
-and decoded through the id-to-piece table (as many rows as the vocabulary).
-The texts themselves are read once and never shuffled, and a word that makes
-up a third of a corpus is one entry per block.
+are its words' ids in order.
+
+1. Spark splits the texts into words.  Words are collected into blocks of whole
+   documents; a block numbers its distinct words by frequency (their places)
+   and keeps each document as a list of places.
+2. The distinct words are a table (block, place, word), a row per word of a
+   block.  Its rows meet by word, so each distinct word of the corpus is encoded
+   once, however often and in however many documents it stands.
+3. The ids go back to the blocks and are joined to the documents by place.
+   Decoding joins ids to their pieces there, a table of as many rows as
+   the vocabulary.
 
-Blocks are written to the shared folder, bucketed by block, so both uses see
-the same ones and the documents' half is joined where it lies, without a shuffle.
-Every step streams: a worker holds one block or one bucket's word cache, both
-of bounded size (one document longer than a block is a block of its own).
+The texts themselves are read once and never shuffled, and a word that makes
+up a third of a corpus is one row per block.  Blocks are written to the shared
+folder, bucketed by block, so both uses see the same ones and the documents' half
+is joined where it lies.  A worker holds one block (about ``BLOCK_WORDS`` words as
+numbers, one document longer than that is a block of its own) or one batch of
+words; rows arrive sorted by word, so no cache is needed.
 
 Defined results: a null text is empty and has no ids; a row is a document and
 repeated rows are returned one by one; a null id is kept.  Other columns of the
@@ -24,152 +28,152 @@ input are ignored.
 from __future__ import annotations
 
 import os
-import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm.common import shuffle_partitions, text_or_empty
 from basketry.session import shared_dir
 
-BLOCK_WORDS, BLOCK_DOCS = 4_000_000, 200_000
-CACHE_WORDS = 1_000_000          # a bucket's cache starts anew beyond it
+BLOCK_WORDS = 4_000_000
+ENCODE_WORDS = 200_000           # words of a block's rows leave the encoder in lists of about so many
 OUT_WORDS = 100_000              # documents leave in batches of about so many words
-#: str.split() also splits at these four, which are no white space to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
-class Numbers(dict):
-    """Word to position, in order of first use."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def words_of(text: str) -> list[str]:
-    return [w for w in WHITE.split(text) if w] if SEPARATORS.search(text) else text.split()
-
-
-def _packed(a: np.ndarray) -> bytes:
-    """Byte planes, compressed: the high bytes of small numbers are zeros."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T
-    return zstandard.ZstdCompressor(level=5).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
-
-
-def _blocks(buckets: int, id_type: pa.DataType):
-    """Splits batches of (id, text) into blocks: a row of documents and a row of words for each bucket."""
-    names = ["part", "block", "bucket", "data", "places", "ids", "n_words"]
-
-    def block(ids: list, counts: list[int], places: list[np.ndarray], words: Numbers) -> pa.RecordBatch:
-        name, all_places = uuid.uuid4().hex, np.concatenate([*places, np.empty(0, np.int32)])
-        order = np.argsort(-np.bincount(all_places, minlength=len(words)), kind="stable")    # frequent words first:
-        rank = np.empty(len(order), np.int32)                                               # small numbers, few bytes
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        listed = list(words)
-        words = [listed[i] for i in order.tolist()]
-        keys = [zlib.crc32(w.encode()) % buckets for w in words]
-        lists: dict[int, list[str]] = {}
-        for k, w in zip(keys, words, strict=True):
-            lists.setdefault(k, []).append(w)
-        pack = zstandard.ZstdCompressor(level=9).compress
-        rows = [("docs", name, None, _packed(np.array(keys, np.int32)),
-                 _packed(rank[all_places]), ids, counts)]
-        rows += [("words", name, k, pack(" ".join(v).encode()), None, None, None) for k, v in lists.items()]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_type),
-                 pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                          names)
+#: Fixed value: what the tokenizer takes for white space, as a Java pattern.
+WHITE = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, split at the tokenizer's white space."""
+    return F.array_remove(F.split(text, WHITE), "")
+
+
+def _blocks(id_type: pa.DataType):
+    """Batches of (id, words) to blocks: a row of documents and a row per distinct word."""
+    names = ["part", "block", "place", "word", "ids", "n_words", "places"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in zip(names, kinds, strict=True)], names)
+
+    def block(number: int, ids: list[pa.Array], counts: list[np.ndarray], words: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays(words).dictionary_encode()
+        at, n = coded.indices.to_numpy(), len(coded.dictionary)
+        order = np.argsort(-np.bincount(at, minlength=n), kind="stable")         # frequent words first: small numbers
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        ids, counts = pa.concat_arrays(ids), np.concatenate(counts)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)      # noqa: E731
+        yield rows(1, part=pa.array(["docs"]), block=pa.array([number]), ids=one(ids), n_words=one(pa.array(counts, pa.int32())),
+                   places=one(pa.array(rank[at])))
+        listed = coded.dictionary.take(pa.array(order))
+        for first in range(0, n, 50_000):
+            some = listed.slice(first, 50_000)
+            yield rows(len(some), part=pa.array(["words"] * len(some)), block=pa.array(np.full(len(some), number)),
+                       place=pa.array(np.arange(first, first + len(some), dtype=np.int32)), word=some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, places, words, total = [], [], [], Numbers(), 0
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32       # blocks of a task are numbered on from here
+        ids, counts, words, total = [], [], [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = words_of(text.as_py())
-                if ids and (total + len(found) > BLOCK_WORDS or len(ids) >= BLOCK_DOCS):
-                    yield block(ids, counts, places, words)
-                    ids, counts, places, words, total = [], [], [], Numbers(), 0
-                ids.append(doc)
-                counts.append(len(found))
-                places.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                total += len(found)
+            lists = b.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            flat, ends = lists.flatten(), np.cumsum(n)
+            first = 0
+            while first < len(n):                            # up to the document that fills the block
+                base = ends[first] - n[first]
+                last = max(first + 1, int(np.searchsorted(ends, base + BLOCK_WORDS - total, "right")))
+                upto = ends[last - 1]
+                ids.append(b.column(0).slice(first, last - first))
+                counts.append(n[first:last])
+                words.append(flat.slice(base, upto - base))
+                total += upto - base
+                first = last
+                if first < len(n) or total >= BLOCK_WORDS:
+                    yield from block(number, ids, counts, words)
+                    ids, counts, words, total, number = [], [], [], 0, number + 1
         if ids:
-            yield block(ids, counts, places, words)
+            yield from block(number, ids, counts, words)
     return run
 
 
 def _encode(tokenizer):
-    """Word lists to their ids, each distinct word encoded once: (block, bucket, data), data = counts and ids."""
+    """Rows (block, place, word), sorted by word, to lists per block: (block, places, sizes, ids); words are encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark gives this worker one core
-        encoder, known = Tokenizer.from_str(tokenizer.value), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark gives this worker one core
+        encoder, last, held, total = Tokenizer.from_str(tokenizer.value), ("", np.empty(0, np.uint32)), [], 0
+
+        def lists() -> pa.RecordBatch:
+            block, place, size = (np.concatenate(c) for c in zip(*[h[:3] for h in held], strict=True))
+            ids = np.concatenate([h[3] for h in held])
+            starts = np.cumsum(size) - size
+            order = np.argsort(block, kind="stable")
+            block, place, n = block[order], place[order], size[order]
+            upto = np.r_[0, np.cumsum(n)]
+            ids = ids[np.repeat(starts[order] - upto[:-1], n) + np.arange(upto[-1])]
+            names, first = np.unique(block, return_index=True)
+            cut = np.r_[first, len(block)].astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.ListArray.from_arrays(pa.array(cut), pa.array(place)),
+                 pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int32))),
+                 pa.ListArray.from_arrays(pa.array(upto[cut].astype(np.int32)), pa.array(ids.astype(np.int32)))],
+                ["block", "places", "sizes", "ids"])
+
         for b in batches:
-            out = []
-            for row in b.column(2):
-                words = row.as_py()
-                words = zstandard.ZstdDecompressor().decompress(words).decode().split(" ")
-                if len(known) + len(words) > CACHE_WORDS:
-                    known = {}
-                new = [w for w in words if w not in known]
-                for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32)
-                ids = [known[w] for w in words]
-                counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append(_packed(np.concatenate([np.array([len(ids)], np.uint32), counts, *ids])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
-                                             ["block", "bucket", "data"])
+            if not b.num_rows:
+                continue
+            coded = b.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            known = [last[1]] if words[0] == last[0] else []   # a word may go on from the batch before
+            known += [np.array(e.ids, np.uint32) for e in encoder.encode_batch(words[len(known):], add_special_tokens=False)]
+            last = (words[-1], known[-1])
+            size = np.fromiter(map(len, known), np.int64, len(known))
+            flat, starts = np.concatenate(known), np.cumsum(size) - size
+            at = coded.indices.to_numpy()
+            n = size[at]
+            upto = np.cumsum(n) - n
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), n, flat[np.repeat(starts[at] - upto, n) + np.arange(n.sum())]))
+            total += len(n)
+            if total >= ENCODE_WORDS:
+                yield lists()
+                held, total = [], 0
+        if held:
+            yield lists()
     return run
 
 
 def _assemble(pieces, id_name: str, id_type: pa.DataType):
-    """A block's documents and its words' ids to (id, n_tokens, ids, decoded)."""
-    def documents(row: dict, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = _unpacked(row["data"], "<i4")
-        starts, sizes, flat, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], 0
-        order = np.argsort(keys, kind="stable")             # a bucket's words stand in the order of their positions
-        edges = np.searchsorted(keys[order], np.arange(keys.max(initial=-1) + 2))
-        for got in row["found"] or []:
-            a = _unpacked(got["data"], "<u4")
-            n, mine = int(a[0]), order[edges[got["bucket"]]:edges[got["bucket"] + 1]]
-            if n != len(mine):
-                raise ValueError(f"block {row['block']}: {n} encoded words for {len(mine)} positions")
-            sizes[mine] = a[1:n + 1]
-            starts[mine] = at + np.cumsum(sizes[mine]) - sizes[mine]
-            flat.append(a[n + 1:])
-            at += len(flat[-1])
-        if sum(len(order[edges[g["bucket"]]:edges[g["bucket"] + 1]]) for g in row["found"] or []) != len(keys):
-            raise ValueError(f"block {row['block']}: words without ids")
-        flat = np.concatenate([*flat, np.empty(0, np.uint32)])
-        places, counts = _unpacked(row["places"], "<i4"), np.array(row["n_words"], np.int64)
-        ends = np.cumsum(counts)
+    """Blocks with their words' ids to (id, n_tokens, ids, decoded)."""
+    def documents(block: int, names: pa.Array, counts: np.ndarray, places: np.ndarray, found: pa.StructArray,
+                  table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        slots, sizes_, ids_ = (np.empty(0, np.int32), ) * 3 if not len(found) else (
+            found.field(c).flatten().to_numpy() for c in ("places", "sizes", "ids"))
+        n = int(places.max(initial=-1)) + 1
+        if len(slots) != n or len(np.unique(slots)) != n:
+            raise ValueError(f"block {block}: {len(slots)} encoded words for {n} places")
+        sizes, starts = np.empty(n, np.int64), np.empty(n, np.int64)
+        sizes[slots] = sizes_
+        starts[slots] = np.cumsum(sizes_, dtype=np.int64) - sizes_
+        flat, ends = ids_.view(np.uint32), np.cumsum(counts, dtype=np.int64)
         first = 0
         while first < len(counts):
             base = ends[first] - counts[first]
             last = max(first + 1, int(np.searchsorted(ends, base + OUT_WORDS, "right")))
             p = places[base:ends[last - 1]]
-            n = sizes[p]
-            upto = np.r_[0, np.cumsum(n)]
-            ids = flat[np.repeat(starts[p] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+            m = sizes[p]
+            upto = np.r_[0, np.cumsum(m)]
+            ids = flat[np.repeat(starts[p] - upto[:-1], m) + np.arange(upto[-1])].astype("<u4")
             cut = upto[np.r_[0, ends[first:last] - base]].tolist()
-            text = table[ids].tolist()
+            text = table[ids].tolist()                       # the id-to-piece join
             raw = [ids[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
             decoded = [" ".join(text[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"][first:last], id_type), pa.array(np.diff(cut), pa.int64()),
+                [names.slice(first, last - first), pa.array(np.diff(cut), pa.int64()),
                  pa.array(raw, pa.binary()), pa.array(decoded, pa.string())], [id_name, "n_tokens", "ids", "decoded"])
             first = last
 
@@ -177,7 +181,9 @@ def _assemble(pieces, id_name: str, id_type: pa.DataType):
         table = np.array(pieces.value, object)
         for b in batches:
             for i in range(b.num_rows):
-                yield from documents(b.slice(i, 1).to_pylist()[0], table)
+                row = b.slice(i, 1)
+                names, counts, places, found = (row.column(c).flatten() for c in ("ids", "n_words", "places", "found"))
+                yield from documents(row.column("block")[0].as_py(), names.cast(id_type), counts.to_numpy(), places.to_numpy(), found, table)
     return run
 
 
@@ -197,20 +203,22 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     pieces = spark.sparkContext.broadcast([vocab.id_to_token(i) or "" for i in range(vocab.get_vocab_size(True))])
     model = spark.sparkContext.broadcast(model)
 
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col), words_of(text_or_empty(text_col)).alias("words"))
     kind, id_type = rows.schema[id_col].dataType.simpleString(), _arrow_type(rows, id_col)
     buckets, path = shuffle_partitions(spark), shared_dir(spark, "bpe-blocks")
-    schema = (f"part string, block string, bucket int, data binary, places binary, ids array<{kind}>, "
-              "n_words array<int>")
+    schema = f"part string, block long, place int, word string, ids array<{kind}>, n_words array<int>, places array<int>"
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    (rows.mapInArrow(_blocks(buckets, id_type), schema).write.option("compression", "uncompressed").option("path", path)
+    (rows.mapInArrow(_blocks(id_type), schema).write.option("compression", "zstd").option("path", path)
      .partitionBy("part").bucketBy(buckets, "block").saveAsTable(name))
     blocks = spark.table(name)
-    found = (blocks.where("part = 'words'").select("block", "bucket", "data").repartition(buckets, "bucket")
-             .mapInArrow(_encode(model), "block string, bucket int, data binary")
-             .groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("found")))
-    return (blocks.where("part = 'docs'").select("block", "data", "places", "ids", "n_words")
-            .join(found, "block", "left")
+    words = blocks.where("part = 'words'").select("block", "place", "word")
+    found = (words.repartition(buckets, "word").sortWithinPartitions("word")
+             .mapInArrow(_encode(model), "block long, places array<int>, sizes array<int>, ids array<int>")
+             .groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("found")))
+    found = found.withColumnRenamed("block", "of")
+    return (blocks.where("part = 'docs'").select("block", "ids", "n_words", "places")
+            .join(found, F.col("block") == F.col("of"), "left")
+            .select("block", "ids", "n_words", "places", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
             .mapInArrow(_assemble(pieces, id_col, id_type), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string"))
 
 

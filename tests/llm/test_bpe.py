@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from basketry.llm import bpe
@@ -43,17 +45,19 @@ def test_odd_texts(spark):
     assert got(docs_of(spark, rows)) == brute(docs_of(spark, rows))
 
 
-def test_white_space_is_the_tokenizers():
+def test_white_space_is_the_tokenizers(spark):
     normal = Tokenizer.from_file(PATH).normalizer
-    for c in [*map(chr, range(0xd800)), *map(chr, range(0xe000, 0x10000))]:
-        white = normal.normalize_str(f"a{c}b") == "a b"
-        assert white == (bpe.words_of(f"a{c}b") == ["a", "b"]) == (bpe.words_of(f"a{c}b\x1f") == ["a", "b\x1f"]), hex(ord(c))
+    chars = [c for c in [*map(chr, range(1, 0xd800)), *map(chr, range(0xe000, 0x10000))]]
+    rows = docs_of(spark, [(i, f"a{c}b") for i, c in enumerate(chars)]).select("doc_id", bpe.words_of(F.col("text")).alias("words"))
+    for r in rows.collect():
+        white = normal.normalize_str(f"a{chars[r.doc_id]}b") == "a b"
+        assert white == (r.words == ["a", "b"]), hex(ord(chars[r.doc_id]))
 
 
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 50)
     monkeypatch.setattr(bpe, "OUT_WORDS", 7)
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "ENCODE_WORDS", 20)
     docs = documents(spark).limit(40)
     assert got(docs) == brute(docs)
 
@@ -62,11 +66,26 @@ def test_empty_table(spark):
     assert bpe.encode(docs_of(spark, []), PATH).collect() == []
 
 
-def test_lost_words_are_an_error():
+@pytest.mark.parametrize("found", [[], [{"places": [0], "sizes": [1], "ids": [0]}],
+                                   [{"places": [0, 1], "sizes": [1, 1], "ids": [0, 0]}, {"places": [1], "sizes": [1], "ids": [0]}]])
+def test_lost_or_repeated_words_are_an_error(found):
     class Pieces:
         value = ["a"]
-    import pyarrow as pa
-    row = {"block": "b", "data": bpe._packed(np.array([0, 1], np.int32)), "places": bpe._packed(np.array([0, 1], np.int32)),
-           "ids": [1], "n_words": [2], "found": []}
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", ints), ("places", ints),
+                        ("found", pa.list_(pa.struct([("places", ints), ("sizes", ints), ("ids", ints)])))])
+    row = pa.RecordBatch.from_pylist([{"block": 1, "ids": [1], "n_words": [2], "places": [0, 1], "found": found}], schema)
     with pytest.raises(ValueError):
-        list(bpe._assemble(Pieces, "doc_id", pa.int64())([pa.RecordBatch.from_pylist([row])]))
+        list(bpe._assemble(Pieces, "doc_id", pa.int64())([row]))
+
+
+def test_words_are_encoded_once(spark):
+    """A word that goes on from one batch of sorted rows to the next is not encoded again."""
+    class Model:
+        value = open(PATH, encoding="utf-8").read()
+    batch = lambda words: pa.RecordBatch.from_arrays([pa.array([7] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()),      # noqa: E731
+                                                      pa.array(words)], ["block", "place", "word"])
+    out = list(bpe._encode(Model)(iter([batch(["aa", "bb"]), batch(["bb", "cc"]), batch([])])))
+    t = Tokenizer.from_file(PATH)
+    want = [i for w in ("aa", "bb", "bb", "cc") for i in t.encode(w, add_special_tokens=False).ids]
+    assert out[0].column("ids").to_pylist() == [want] and out[0].column("places").to_pylist() == [[0, 1, 0, 1]]
