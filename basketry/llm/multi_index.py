@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import written
+from basketry.llm.common import shuffle_partitions, written
 
 CENTROIDS = 64                 # per half: 4,096 cells
 SAMPLE = 16_384                # vectors that the centroids are fitted on
@@ -357,6 +357,8 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     blocks = max(1, -(-asked.count() // block))
     asked = asked.select("id", F.xxhash64("vec").alias("qk"), F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int").alias("block"),
                          "vec")
+    # a query's traversal is far more work than its row is long, so the rows are spread before it
+    asked = asked.repartition(shuffle_partitions(asked.sparkSession), "id", "qk")
     planned = asked.mapInArrow(_plan(index, budget), "shard int, id long, qk long, block int, vec array<double>, cells array<int>")
     entries = index.entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = (entries.groupBy("shard", "block").cogroup(planned.groupBy("shard", "block"))
