@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates.
 
-Texts become canonical tokens: numbers, units and names give the typed
+Texts become canonical tokens: numbers (in digits or words), units (also right
+after a number) and names give the typed
 placeholders <num>, <unit> and <name>, other words are lower-cased.  Case decides
 what a name is, so every text has several forms: a name is a capitalised word that
 does not start a sentence, no word at all (copies in other case), or any
@@ -8,8 +9,9 @@ capitalised word (names at the start of a sentence).  Only
 windows of the same form meet, and an item is found if it is in one form.  Windows of
 ``WINDOW`` tokens are hashed over the templates, so a question matches its
 re-parameterised copies as well as verbatim ones.  Document windows pass a
-bitmap of the benchmark's window hashes (of fixed size, so its broadcast is
-bounded; it only spares the shuffle rows that cannot match) and are then
+bitmap of the benchmark's window hashes (64 bits a window and 16 MB at most, so its broadcast is
+bounded; it only spares the shuffle rows that cannot match: one in 64 passes by chance up to 2 million windows of
+the benchmark, one in 10 at 14 million) and are then
 hash-joined with the benchmark windows.  One passage may stand in a third of
 all documents: the planner broadcasts the benchmark's windows where they are small,
 else it splits the skewed partitions of the documents' side.
@@ -22,8 +24,9 @@ document if windows on consistent diagonals cover ``COVER`` of its windows, or
 
 Windows need ``LITERALS`` literal words, else runs of capitals or digits would
 match each other; an item shorter than a window is one window of its own width,
-down to ``LEAST`` tokens.  Defined
-results: null, empty, too short or placeholder-only texts on either side match nothing;
+down to ``LEAST`` tokens; a still shorter one is found in texts that are nothing else (apart from case and
+punctuation).  Defined
+results: null or empty texts and placeholder-only ones of ``LEAST`` tokens or more on either side match nothing;
 repeated rows of an item count once; a null item id or document id is an id
 like any other.  Other columns of the inputs are ignored.
 """
@@ -44,11 +47,10 @@ from basketry.llm.common import row_key, text_or_empty, without, written
 
 WINDOW, LITERALS, COVER = 8, 4, 0.8
 RUN = 25                        # consecutive windows: 32 tokens
-LEAST = 5                       # items of fewer tokens match nothing
+LEAST = 5                       # items of fewer tokens match whole texts only
 CHARS = 200_000                 # texts of together so many characters are hashed at once
-MAP_BITS = 1 << 23              # the bitmap's bits: 1 MB, whatever the benchmark's size
-TOKEN = re.compile(r"[.!?\n:]|[^\W_]+(?:[.,'’][^\W_]+)*")
-NUM, UNIT, NAME, BREAK = (np.uint64(i) for i in (1, 2, 3, 0))
+BITS_A_WINDOW, MAX_BITS = 64, 1 << 27        # the bitmap's bits for each window of the benchmark, and at most (16 MB)
+NUM, UNIT, NAME, BREAK, SPELLED = (np.uint64(i) for i in (1, 2, 3, 0, 4))
 #: Unit words, singular and plural.
 UNITS = frozenset("""
 mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres
@@ -57,7 +59,16 @@ ml l liter liters litre litres gallon gallons cup cups
 second seconds minute minutes hour hours day days week weeks month months year years
 dollar dollars cent cents euro euros percent mph kmh degree degrees
 """.split())
+#: Number words; several in a row are one number.
+NUMBERS = frozenset("""
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen
+""".split())
+#: Sentence breaks, numbers with a unit right after them (the unit is the next token), and words.
+TOKEN = re.compile(r"[.!?\n:]|\d+(?:[.,]\d+)*(?=(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![^\W_]))"
+                   r"|[^\W_]+(?:[.,'’][^\W_]+)*")
 P = np.uint64(0x9E3779B97F4A7C15)
+WHOLE = 3                       # the form of whole short texts, and their hash's seed
 
 
 class Codes(dict):
@@ -76,6 +87,8 @@ class Codes(dict):
             code = 1 << 1
         elif token.lower() in UNITS:
             code = 2 << 1
+        elif token.lower() in NUMBERS:
+            code = 4 << 1
         else:
             code = (xxhash.xxh64_intdigest(token.lower()) >> 4 | 8) << 1 | token[0].isupper()
         self[token] = place = len(self)
@@ -96,16 +109,27 @@ class Codes(dict):
 @dataclass
 class Templates:
     """Canonical tokens of some texts, one after the other, without breaks: ``kinds`` has a row per form (NUM, UNIT,
-    NAME or a literal's hash), ``place`` the tokens' places among ``tokens``, ``text`` and ``pos`` their text and place in it."""
+    NAME or a literal's hash), ``place`` the tokens' places among ``tokens``, ``text`` and ``pos`` their text and place in it;
+    ``ends`` is where each text's tokens end."""
 
     kinds: np.ndarray
     tokens: list[str]
     place: np.ndarray
     text: np.ndarray
     pos: np.ndarray
+    ends: np.ndarray
 
     def slots(self, form: int, at: int, width: int) -> list[str]:
-        return [self.tokens[self.place[i]].lower() for i in range(at, at + width) if self.kinds[form, i] <= NAME]
+        return [self.value(i) for i in range(at, at + width) if self.kinds[form, i] <= NAME]
+
+    def value(self, i: int) -> str:
+        """What stands for a placeholder: its token, or all words of a spelled-out number."""
+        at = self.place[i]
+        word = self.tokens[at].lower()
+        end = at + 1
+        while word in NUMBERS and end < self.ends[self.text[i]] and self.tokens[end].lower() in NUMBERS:
+            end += 1
+        return word if end == at + 1 else " ".join(t.lower() for t in self.tokens[at:end])
 
 
 def templates(texts: list[str], codes: Codes) -> Templates:
@@ -120,11 +144,16 @@ def templates(texts: list[str], codes: Codes) -> Templates:
     starts = np.zeros(len(kind), bool)
     starts[1:] = kind[:-1] == BREAK
     starts[np.r_[0, ends[:-1]][np.diff(np.r_[0, ends]) > 0]] = True
-    real = np.flatnonzero(kind != BREAK)
+    spelled = kind == SPELLED                               # number words after another are part of its number
+    within = np.zeros(len(kind), bool)
+    within[1:] = spelled[1:] & spelled[:-1]
+    within[np.r_[0, ends[:-1]][np.diff(np.r_[0, ends]) > 0]] = False
+    kind = np.where(spelled, NUM, kind)
+    real = np.flatnonzero((kind != BREAK) & ~within)
     text = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))[real]
     kind, capital, starts = kind[real], capital[real], starts[real]
     kinds = np.stack([np.where(capital & ~starts, NAME, kind), kind, np.where(capital, NAME, kind)])
-    return Templates(kinds, tokens, real, text, np.arange(len(real)) - np.searchsorted(text, text))
+    return Templates(kinds, tokens, real, text, np.arange(len(real)) - np.searchsorted(text, text), ends)
 
 
 def windows(t: Templates, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,6 +174,15 @@ def windows(t: Templates, width: int, literals: int) -> tuple[np.ndarray, np.nda
     return form, at, h[form, at]
 
 
+def whole(t: Templates) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the texts of 1 to LEAST - 1 tokens, whole."""
+    n = np.bincount(t.text, minlength=1)
+    short = np.flatnonzero((n > 0) & (n < LEAST))
+    first = np.searchsorted(t.text, short)
+    named = [" ".join(t.tokens[t.place[i]].lower() for i in range(at, at + n[k])) for k, at in zip(short.tolist(), first.tolist(), strict=True)]
+    return short, np.array([xxhash.xxh64_intdigest(x, WHOLE) for x in named], np.uint64)
+
+
 def _items(width: int, literals: int):
     """Batches of (item, ik, text) to one row per window: (item, ik, form, pos, width, n_windows, h, slots)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +193,10 @@ def _items(width: int, literals: int):
                 t = templates([text.as_py()], codes)
                 w = min(width, len(t.place))
                 if w < LEAST:
+                    for h in whole(t)[1].view(np.int64).tolist():
+                        rows.append(row)
+                        for column, value in zip(out, (WHOLE, 0, w, 1, h, []), strict=True):
+                            column.append(value)
                     continue
                 form, at, h = windows(t, w, literals)
                 rows += [row] * len(at)
@@ -187,14 +229,24 @@ def _documents(widths: list[int], literals: int, bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bits = Codes(), np.frombuffer(bitmap.value, np.uint8)
+        mask = np.uint64(8 * len(bits) - 1)
+
+        def known(h: np.ndarray) -> np.ndarray:
+            place = h & mask
+            return bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
         for b in batches:
             rows, pos, hashes, slots = [], [], [], []
             for first, texts in groups(b.column(3)):
                 t = templates(texts, codes)
+                text, h = whole(t)
+                hit = known(h)
+                rows += (text[hit] + first).tolist()
+                pos += [0] * int(hit.sum())
+                hashes += h[hit].view(np.int64).tolist()
+                slots += [[]] * int(hit.sum())
                 for width in widths:
                     form, at, h = windows(t, width, literals)
-                    place = h & np.uint64(MAP_BITS - 1)
-                    hit = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    hit = known(h)
                     form, at = form[hit], at[hit]
                     rows += (t.text[at] + first).tolist()
                     pos += t.pos[at].tolist()
@@ -208,10 +260,11 @@ def _documents(widths: list[int], literals: int, bitmap):
 
 
 def _bitmap(h: DataFrame) -> bytes:
-    """The bitmap of column h: at most MAP_BITS / 64 rows reach the driver."""
-    words = (h.select(F.col("h").bitwiseAND(F.lit(MAP_BITS - 1)).alias("p")).groupBy(F.expr("p div 64").alias("w"))
+    """The bitmap of column h: a row per 64 bits reaches the driver, MAX_BITS / 64 at most."""
+    size = min(MAX_BITS, max(1 << 16, 1 << (BITS_A_WINDOW * h.count()).bit_length()))
+    words = (h.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("p")).groupBy(F.expr("p div 64").alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas())
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.tobytes()
 
@@ -232,7 +285,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     kind = items.schema["item"].dataType.simpleString()
     items = written(items.mapInArrow(_items(width, literals), f"item {kind}, ik long, form int, pos int, width int, n_windows int, "
                                      "h long, slots array<string>"), "item-windows")
-    widths = sorted(r.width for r in items.select("width").distinct().collect())     # LEAST to width
+    widths = sorted(r.width for r in items.where(F.col("form") != WHOLE).select("width").distinct().collect())     # LEAST to width
     bitmap = spark.sparkContext.broadcast(_bitmap(items.select("h")))
 
     text = text_or_empty(text_col)
