@@ -10,7 +10,8 @@ hash of the id.  Scoring is one pass over the whole texts.
 
 Defined results: a null text is scored as an empty one; without labels of both
 classes nothing is learned and everything scores the known label, or 0 without
-any; repeated rows are scored one by one; a null label is no label.
+any; repeated rows are scored one by one (a repeated label row counts again, up to the sample's size); a null label
+is no label; a column of the output's name is replaced, others may have any name.
 """
 
 from __future__ import annotations

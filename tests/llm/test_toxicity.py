@@ -83,3 +83,53 @@ def test_length_alone_adds_nothing(spark):
         score, spans = model.score("mild day. " * n)
         assert score == short < 0.1 and not spans
     assert model.score("mild day. " * 50_000 + "the vilest one.")[0] >= 0.5
+
+
+def brute_fit(rows):
+    """The same likelihood by loops over documents and sentences: chosen features, gradient and steps."""
+    pos, neg = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+    q, seen = pos / (pos + neg), {}
+    bags = [(y, [{f for w in set(T.WORD.findall(x.lower())) for f in T.features(w)} for x in T.SENTENCE.findall(text)]) for y, text in rows]
+    for y, bag in bags:
+        for f in set().union(*bag):
+            k = seen.setdefault(f, [0, 0])
+            k[1 - y] += 1
+    names = sorted(f for f, (k, m) in seen.items() if k > 2 and (k - q * (k + m)) / math.sqrt((k + m) * q * (1 - q)) > 2.5
+                   and T._tail(k, k + m, q) < T.CHANCE)
+    theta = dict.fromkeys(names, 0.0) | {1: -4.0, 2: -4.0}              # 1: leak, 2: bias
+    m1, m2 = dict.fromkeys(theta, 0.0), dict.fromkeys(theta, 0.0)
+
+    def prob(z):
+        return 1 / (1 + math.exp(-z))
+    for step in range(1, T.STEPS + 1):
+        grad = {k: T.RIDGE * theta[k] / len(names) if k in names else 0.0 for k in theta}
+        for y, bag in bags:
+            full = [s & theta.keys() for s in bag if s & theta.keys()]
+            ps = [prob(theta[2] + sum(theta[f] for f in s)) for s in full]
+            none = math.prod(1 - p for p in ps) * (1 - prob(theta[1]) if bag else 1)
+            blame = (-none / max(1 - none, 1e-12) if y else 1.0) / len(rows)
+            for s, p in zip(full, ps, strict=True):
+                grad[2] += blame * p
+                for f in s:
+                    grad[f] += blame * p
+            if bag:
+                grad[1] += blame * prob(theta[1])
+        for k, g in grad.items():
+            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
+            theta[k] -= T.RATE * (m1[k] / (1 - 0.9 ** step)) / (math.sqrt(m2[k] / (1 - 0.999 ** step)) + 1e-8)
+    return names, theta
+
+
+def test_fit_matches_brute_force(spark):
+    rows, labels = corpus(120)
+    texts = [(y, t) for (_, t), (_, y) in zip(rows, labels, strict=True)]
+    model = T.fit(docs_of(spark, [(y, t) for y, t in texts], "toxic int, text string"))
+    names, theta = brute_fit(texts)
+    assert sorted(model.weights) == names and len(names) >= 2
+    assert abs(model.bias - theta[2]) < 1e-6 and abs(model.leak - theta[1]) < 1e-6
+    assert all(abs(model.weights[f] - theta[f]) < 1e-6 for f in names)
+    for _, text in texts:                                   # and the scores of whole documents
+        bag = [{f for w in T.WORD.findall(x.lower()) for f in T.features(w)} & set(names) for x in T.SENTENCE.findall(text)]
+        none = math.prod(1 - 1 / (1 + math.exp(-theta[2] - sum(theta[f] for f in s))) for s in bag if s)
+        none *= 1 - 1 / (1 + math.exp(-theta[1])) if bag else 1
+        assert abs(model.score(text)[0] - (1 - none)) < 1e-6
