@@ -20,6 +20,7 @@ from basketry.session import shared_dir
 from basketry.sinks import layers as LY
 from basketry.sources import checked as CK
 from basketry.streaming import orders_stream as S
+from basketry.streaming import quality as SQ
 from basketry.streaming import stateful as ST
 
 # ------------------------------------------------------------------ K9
@@ -145,6 +146,20 @@ def q_stream_routes_orders(spark, sf_dir):
     return rows.select(*S.EVENT_COLUMNS["order"])
 
 
+# ------------------------------------------------------------------ P1 on the stream
+@register("stream_quality", f"""
+WITH e AS (SELECT *, event_type = 'order' AS o FROM ({LD.SQL_ALL}))
+SELECT 'rows' AS metric, count(*) AS n FROM e UNION ALL SELECT 'orders', count_if(o) FROM e
+UNION ALL SELECT 'missing_order_id', count_if(o AND order_id IS NULL) FROM e UNION ALL SELECT 'missing_customer_id', count_if(o AND customer_id IS NULL) FROM e
+UNION ALL SELECT 'missing_amount', count_if(o AND total_amount IS NULL) FROM e UNION ALL SELECT 'amount_not_positive', count_if(o AND total_amount <= 0) FROM e
+UNION ALL SELECT 'bad_time', count_if(event_timestamp = 'n/a') FROM e""",
+          note="measured while the micro-batches are written, added up over them")
+def q_stream_quality(spark, sf_dir):
+    out, quality, ck = (shared_dir(spark, n) for n in ("measured", "stream_quality", "ck"))
+    LD.run_waves(spark, sf_dir, lambda path: [SQ.to_measured(S.read_event_files(spark, path), out, quality, ck)])
+    return SQ.totals(spark, quality)
+
+
 # ------------------------------------------------------------------ A1 - A3: files
 CSV = {**LY._CSV, "header": "false"}
 

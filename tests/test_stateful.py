@@ -7,6 +7,7 @@ import pytest
 from basketry.functions.rules import FraudRules
 from basketry.session import shared_dir
 from basketry.streaming import orders_stream as S
+from basketry.streaming import quality as SQ
 from basketry.streaming import stateful as ST
 
 T0 = dt.datetime(2024, 3, 1, 10, 0, 0)
@@ -188,3 +189,17 @@ def test_empty_streams(spark, schema):
     S.await_all(spark, [S.to_parquet(ST.customer_sessions(feed.stream(), GAPS), out, ck),
                         S.to_upserts(ST.orders_in_last_hour(feed.stream()), out + "2", ck + "2")])
     assert spark.read.parquet(out).count() == 0
+
+
+def test_quality_rows_per_micro_batch(spark):
+    schema = "event_type string, event_timestamp string, order_id long, customer_id long, total_amount double"
+    feed, out, quality, ck = Feed(spark, schema), *(shared_dir(spark, n) for n in ("out", "quality", "ck"))
+    t = "2024-03-01T10:00:00.000000"
+    waves = [[("order", t, 1, 1, 5.0), ("order", "n/a", None, 1, 0.0)], [("order_item", t, 2, None, None), ("order", t, 3, None, None), (None, None, None, None, -1.0)]]
+    for wave in waves:
+        feed.land(wave)
+        S.await_all(spark, [SQ.to_measured(feed.stream(), out, quality, ck)])
+    rows = spark.read.parquet(quality).orderBy("batch_id").collect()
+    assert [(r.rows, r.orders, r.missing_order_id, r.missing_customer_id, r.missing_amount, r.amount_not_positive, r.bad_time) for r in rows] == [
+        (2, 2, 1, 0, 0, 1, 1), (3, 1, 0, 1, 1, 0, 1)]
+    assert {r.metric: r.n for r in SQ.totals(spark, quality).collect()}["rows"] == 5 == spark.read.parquet(out).count()
