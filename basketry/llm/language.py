@@ -31,8 +31,17 @@ from basketry.llm.common import fold, text_or_empty
 SAMPLE = 2000           # rows per language that its profile is counted on
 SIZE, LONGEST = 300, 3
 WORDS = 500_000         # a worker's cache of words
-#: Runs of letters: of word characters without those that are numbers only, such as superscripts, fractions and numerals.
-WORD = re.compile("[^\\W_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha()) + "]+")
+RUN = re.compile(r"[^\W\d_]+")      # letters, and numbers that are no decimal digits
+
+
+def words(text: str) -> Counter:
+    """The text's words, lower-cased: runs of letters (superscripts, fractions and numerals are none)."""
+    found = Counter(RUN.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
 def grams(word: str) -> list[str]:
@@ -82,15 +91,15 @@ class Profiler(dict):
 
     def profile(self, text: str) -> np.ndarray:
         """Numbers of the text's most frequent n-grams, most frequent first, ties by n-gram."""
-        words = Counter(WORD.findall(text.lower()))
-        if not words:
+        found = words(text)
+        if not found:
             return np.empty(0, np.int64)
         if len(self) > WORDS:
             self.clear()
             self.numbers = Numbers(self.first)
-        found = list(map(self.__getitem__, words))
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), list(map(len, found)))
-        count = np.bincount(np.concatenate(found), weight)
+        numbers = list(map(self.__getitem__, found))
+        weight = np.repeat(np.fromiter(found.values(), np.int64, len(found)), list(map(len, numbers)))
+        count = np.bincount(np.concatenate(numbers), weight)
         which = np.flatnonzero(count)
         count = count[which]
         if len(which) > SIZE:
@@ -130,7 +139,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
             total: dict[str, Counter] = {}
             for lang, text in p.itertuples(index=False):
                 mine = total.setdefault(lang, Counter())
-                for w, k in Counter(WORD.findall(text.lower())).items():
+                for w, k in words(text).items():
                     for g in grams(w):
                         mine[g] += k
             yield pd.DataFrame([(x, g, k) for x, c in total.items() for g, k in c.items()], columns=["lang", "gram", "n"])

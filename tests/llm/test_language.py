@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -5,9 +6,14 @@ from basketry.llm import language as L
 from tests.llm.helpers import SF, docs_of, documents, edge_docs
 
 
+def letters(text):
+    """Runs of characters of Unicode category L."""
+    return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text).split()
+
+
 def brute_profile(text):
     count = Counter()
-    for w in L.WORD.findall(text.lower()):
+    for w in letters(text.lower()):
         count.update(L.grams(w))
     return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:L.SIZE]]
 
