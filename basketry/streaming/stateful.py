@@ -4,7 +4,7 @@
   (``transformWithState``) whose key is a customer *and an hour*: every order
   goes to its own hour and, as a count only, to the next one, so no key holds
   more than two hours of orders and a customer with a third of all orders is
-  spread over the hours.  Map state holds the orders per second; an event-time
+  spread over the hours.  (Needs the RocksDB state store, which it sets.)  Map state holds the orders per second; an event-time
   timer at the hour's end clears the key once the watermark has passed it.
 * ``item_scores``: interval join of two watermarked streams (orders and their
   items), left outer, then one aggregate per order.  Both sides' state is
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from basketry.functions import money
 from basketry.functions.rules import FraudRules
 from basketry.operators.fraud import ladder
+from basketry.session import SCALE_CONF
 
 HOUR = 3600
 
@@ -106,6 +107,13 @@ class OrdersInLastHour(StatefulProcessor):
         pass
 
 
+def need_rocksdb(spark: SparkSession) -> None:
+    """Custom state with map variables and timers lives in RocksDB only; sets it where the session has another provider."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name) != SCALE_CONF[name]:
+        spark.conf.set(name, SCALE_CONF[name])
+
+
 def orders_in_last_hour(orders: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """K9: every order with its customer's orders in the hour up to and including its second; update mode.
 
@@ -113,6 +121,7 @@ def orders_in_last_hour(orders: DataFrame, watermark: str = "1 hour") -> DataFra
     when its order arrives and again whenever a later arrival inside the watermark changes its count, so the newest
     row of a name is right.  Rows without a customer or a time are not counted; rows behind the watermark are dropped.
     """
+    need_rocksdb(orders.sparkSession)
     hour = F.floor(F.unix_timestamp("event_time") / HOUR).cast("long")
     src = (orders.filter(F.col("event_time").isNotNull() & F.col("customer_id").isNotNull()).withWatermark("event_time", watermark)
            .select("customer_id", "event_time", F.unix_timestamp("event_time").alias("second"), F.col("order_id").cast("string").alias("order_id"),

@@ -84,6 +84,15 @@ def test_velocity_state_is_freed(spark):
     assert state_rows(q) <= 12
 
 
+def test_velocity_in_a_plain_session(spark):
+    """A session with another state store is given the one that custom state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    other = spark.newSession()
+    other.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    got, _ = velocity_of(other, [[order(1, 1, 0), order(2, 1, 10)]])
+    assert {r.order_id: r.orders_in_last_hour for r in got.collect()} == {1: 1, 2: 2}
+
+
 def test_velocity_drops_rows_behind_the_watermark(spark):
     got, _ = velocity_of(spark, [[order(1, 1, 0)], [order(2, 1, 20_000)], [order(3, 1, 20_100), order(4, 1, 5)]])
     assert {r.order_id: r.orders_in_last_hour for r in got.collect()} == {1: 1, 2: 1, 3: 2}
