@@ -6,15 +6,16 @@ are its words' ids in order.
 1. Spark splits the texts into words.  Words are collected into blocks of whole
    documents; a block numbers its distinct words by frequency (their places)
    and keeps each document as a list of places.
-2. The distinct words are a table (block, place, word), a row per word of a
-   block.  Its rows meet by word, so each distinct word of the corpus is encoded
-   once, however often and in however many documents it stands.
+2. The distinct words are a table (block, bucket, places, words): a block's words
+   by bucket of their hash.  The buckets' lists meet, are exploded to rows and
+   sorted by word, so each distinct word of the corpus is encoded once, however
+   often and in however many documents it stands.
 3. The ids go back to the blocks and are joined to the documents by place.
    Decoding joins ids to their pieces there, a table of as many rows as
    the vocabulary.
 
 The texts themselves are read once and never shuffled, and a word that makes
-up a third of a corpus is one row per block.  Blocks are written to the shared
+up a third of a corpus is one entry per block.  Blocks are written to the shared
 folder, bucketed by block, so both uses see the same ones and the documents' half
 is joined where it lies.  A worker holds one block (about ``BLOCK_WORDS`` words as
 numbers, one document longer than that is a block of its own) or one batch of
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from basketry.llm.common import shuffle_partitions, text_or_empty
 from basketry.session import shared_dir
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 8_000_000
+WORD_CHARS = 7                   # of a word with its space, about: how many tasks hold a block each
 ENCODE_WORDS = 200_000           # words of a block's rows leave the encoder in lists of about so many
 OUT_WORDS = 100_000              # documents leave in batches of about so many words
 #: Fixed value: what the tokenizer takes for white space, as a Java pattern.
@@ -51,10 +54,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE), "")
 
 
-def _blocks(id_type: pa.DataType):
-    """Batches of (id, words) to blocks: a row of documents and a row per distinct word."""
-    names = ["part", "block", "place", "word", "ids", "n_words", "places"]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
+def _blocks(buckets: int, id_type: pa.DataType):
+    """Batches of (id, words) to blocks: a row of documents and a row of distinct words per bucket."""
+    names = ["part", "block", "bucket", "words", "ids", "n_words", "places"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in zip(names, kinds, strict=True)], names)
@@ -69,11 +72,13 @@ def _blocks(id_type: pa.DataType):
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)      # noqa: E731
         yield rows(1, part=pa.array(["docs"]), block=pa.array([number]), ids=one(ids), n_words=one(pa.array(counts, pa.int32())),
                    places=one(pa.array(rank[at])))
-        listed = coded.dictionary.take(pa.array(order))
-        for first in range(0, n, 50_000):
-            some = listed.slice(first, 50_000)
-            yield rows(len(some), part=pa.array(["words"] * len(some)), block=pa.array(np.full(len(some), number)),
-                       place=pa.array(np.arange(first, first + len(some), dtype=np.int32)), word=some)
+        bucket = np.fromiter((zlib.crc32(w.as_buffer()) % buckets for w in coded.dictionary), np.int32, n)
+        order = np.argsort(bucket, kind="stable")
+        filled, first = np.unique(bucket[order], return_index=True)
+        cut = pa.array(np.r_[first, n].astype(np.int32))
+        yield rows(len(filled), part=pa.array(["words"] * len(filled)), block=pa.array(np.full(len(filled), number)), bucket=pa.array(filled),
+                   places=pa.ListArray.from_arrays(cut, pa.array(rank[order])),
+                   words=pa.ListArray.from_arrays(cut, coded.dictionary.take(pa.array(order))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,7 +117,7 @@ def _encode(tokenizer):
             block, place, size = (np.concatenate(c) for c in zip(*[h[:3] for h in held], strict=True))
             ids = np.concatenate([h[3] for h in held])
             starts = np.cumsum(size) - size
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((place, block))
             block, place, n = block[order], place[order], size[order]
             upto = np.r_[0, np.cumsum(n)]
             ids = ids[np.repeat(starts[order] - upto[:-1], n) + np.arange(upto[-1])]
@@ -206,13 +211,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col), words_of(text_or_empty(text_col)).alias("words"))
     kind, id_type = rows.schema[id_col].dataType.simpleString(), _arrow_type(rows, id_col)
     buckets, path = shuffle_partitions(spark), shared_dir(spark, "bpe-blocks")
-    schema = f"part string, block long, place int, word string, ids array<{kind}>, n_words array<int>, places array<int>"
+    # as many tasks as there are blocks (but no core idle), if the scan has more: the fewer blocks, the fewer entries a word has
+    chars = docs.agg(F.sum(F.length(text_or_empty(text_col)).cast("long")).alias("n")).first().n or 0
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // (BLOCK_WORDS * WORD_CHARS))))
+    schema = f"part string, block long, bucket int, words array<string>, ids array<{kind}>, n_words array<int>, places array<int>"
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    (rows.mapInArrow(_blocks(id_type), schema).write.option("compression", "zstd").option("path", path)
+    (rows.mapInArrow(_blocks(buckets, id_type), schema).write.option("compression", "zstd").option("path", path)
      .partitionBy("part").bucketBy(buckets, "block").saveAsTable(name))
     blocks = spark.table(name)
-    words = blocks.where("part = 'words'").select("block", "place", "word")
-    found = (words.repartition(buckets, "word").sortWithinPartitions("word")
+    words = blocks.where("part = 'words'").select("block", "bucket", "places", "words").repartition(buckets, "bucket")
+    words = words.select("block", F.explode(F.arrays_zip("places", "words")).alias("w"))
+    found = (words.select("block", F.col("w.places").alias("place"), F.col("w.words").alias("word")).sortWithinPartitions("word")
              .mapInArrow(_encode(model), "block long, places array<int>, sizes array<int>, ids array<int>")
              .groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("found")))
     found = found.withColumnRenamed("block", "of")

@@ -83,9 +83,9 @@ def test_words_are_encoded_once(spark):
     """A word that goes on from one batch of sorted rows to the next is not encoded again."""
     class Model:
         value = open(PATH, encoding="utf-8").read()
-    batch = lambda words: pa.RecordBatch.from_arrays([pa.array([7] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()),      # noqa: E731
-                                                      pa.array(words)], ["block", "place", "word"])
-    out = list(bpe._encode(Model)(iter([batch(["aa", "bb"]), batch(["bb", "cc"]), batch([])])))
+    batch = lambda first, words: pa.RecordBatch.from_arrays([pa.array([7] * len(words), pa.int64()), pa.array(range(first, first + len(words)), pa.int32()),      # noqa: E731
+                                                             pa.array(words, pa.string())], ["block", "place", "word"])
+    out = list(bpe._encode(Model)(iter([batch(0, ["aa", "bb"]), batch(2, ["bb", "cc"]), batch(4, [])])))
     t = Tokenizer.from_file(PATH)
     want = [i for w in ("aa", "bb", "bb", "cc") for i in t.encode(w, add_special_tokens=False).ids]
-    assert out[0].column("ids").to_pylist() == [want] and out[0].column("places").to_pylist() == [[0, 1, 0, 1]]
+    assert out[0].column("ids").to_pylist() == [want] and out[0].column("places").to_pylist() == [[0, 1, 2, 3]]
