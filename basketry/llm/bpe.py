@@ -76,7 +76,7 @@ def _blocks(buckets: int, id_type: pa.DataType):
         order = np.argsort(bucket, kind="stable")
         filled, first = np.unique(bucket[order], return_index=True)
         cut = pa.array(np.r_[first, n].astype(np.int32))
-        yield rows(len(filled), part=pa.array(["words"] * len(filled)), block=pa.array(np.full(len(filled), number)), bucket=pa.array(filled),
+        yield rows(len(filled), part=pa.array(["words"] * len(filled), pa.string()), block=pa.array(np.full(len(filled), number)), bucket=pa.array(filled),
                    places=pa.ListArray.from_arrays(cut, pa.array(rank[order])),
                    words=pa.ListArray.from_arrays(cut, coded.dictionary.take(pa.array(order))))
 
