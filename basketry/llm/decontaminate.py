@@ -106,6 +106,22 @@ class Codes(dict):
         return self.table[places]
 
 
+class Powers:
+    """The powers of P and of its inverse modulo 2^64, as many as were ever asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)]) for p in (P, pow(int(P), -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
 @dataclass
 class Templates:
     """Canonical tokens of some texts, one after the other, without breaks: ``kinds`` has a row per form (NUM, UNIT,
@@ -162,12 +178,17 @@ def windows(t: Templates, width: int, literals: int) -> tuple[np.ndarray, np.nda
     n = kinds.shape[1] - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    forms = np.arange(len(kinds), dtype=np.uint64)[:, None]
-    h = np.repeat(forms << np.uint64(32) | np.uint64(width), n, axis=1)
-    for j in range(width):
-        h ^= kinds[:, j:n + j]
+    # a polynomial in P over the window's tokens, modulo 2^64: differences of prefix sums, moved to the window's start
+    up, down = POWERS.first(kinds.shape[1])
+    sums = np.zeros((len(kinds), kinds.shape[1] + 1), np.uint64)
+    np.cumsum(kinds * up, axis=1, out=sums[:, 1:])
+    h = sums[:, width:] - sums[:, :-width]
+    h *= down[:n]
+    h ^= np.arange(1, len(kinds) + 1, dtype=np.uint64)[:, None] << np.uint64(32) | np.uint64(width)
+    for shift in (29, 32):
+        h ^= h >> np.uint64(shift)
         h *= P
-        h ^= h >> np.uint64(29)
+    h ^= h >> np.uint64(31)
     literal = np.pad(np.cumsum(kinds > NAME, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
     enough = literal[:, width:] - literal[:, :-width] >= min(literals, width)
     form, at = np.nonzero(enough & (t.text[:n] == t.text[width - 1:]))
