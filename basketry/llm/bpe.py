@@ -63,8 +63,11 @@ def _blocks(buckets: int, id_type: pa.DataType):
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in zip(names, kinds, strict=True)], names)
 
     def block(number: int, ids: list[pa.Array], counts: list[np.ndarray], words: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        coded = pa.concat_arrays(words).dictionary_encode()
-        at, n = coded.indices.to_numpy(), len(coded.dictionary)
+        coded = pa.chunked_array(words, pa.string()).dictionary_encode().unify_dictionaries()
+        words.clear()                                        # the words themselves are freed before their places are counted
+        dictionary = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        at, n = np.concatenate([np.empty(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks]]), len(dictionary)
+        del coded
         order = np.argsort(-np.bincount(at, minlength=n), kind="stable")         # frequent words first: small numbers
         rank = np.empty(n, np.int32)
         rank[order] = np.arange(n, dtype=np.int32)
@@ -72,13 +75,13 @@ def _blocks(buckets: int, id_type: pa.DataType):
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)      # noqa: E731
         yield rows(1, part=pa.array(["docs"]), block=pa.array([number]), ids=one(ids), n_words=one(pa.array(counts, pa.int32())),
                    places=one(pa.array(rank[at])))
-        bucket = np.fromiter((zlib.crc32(w.as_buffer()) % buckets for w in coded.dictionary), np.int32, n)
+        bucket = np.fromiter((zlib.crc32(w.as_buffer()) % buckets for w in dictionary), np.int32, n)
         order = np.argsort(bucket, kind="stable")
         filled, first = np.unique(bucket[order], return_index=True)
         cut = pa.array(np.r_[first, n].astype(np.int32))
         yield rows(len(filled), part=pa.array(["words"] * len(filled), pa.string()), block=pa.array(np.full(len(filled), number)), bucket=pa.array(filled),
                    places=pa.ListArray.from_arrays(cut, pa.array(rank[order])),
-                   words=pa.ListArray.from_arrays(cut, coded.dictionary.take(pa.array(order))))
+                   words=pa.ListArray.from_arrays(cut, dictionary.take(pa.array(order))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,8 +104,11 @@ def _blocks(buckets: int, id_type: pa.DataType):
                 if first < len(n) or total >= BLOCK_WORDS:
                     yield from block(number, ids, counts, words)
                     ids, counts, words, total, number = [], [], [], 0, number + 1
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield from block(number, ids, counts, words)
+        del ids, counts, words
+        pa.default_memory_pool().release_unused()            # the worker goes on to other stages
     return run
 
 
@@ -149,6 +155,8 @@ def _encode(tokenizer):
                 held, total = [], 0
         if held:
             yield lists()
+        del held
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -189,6 +197,8 @@ def _assemble(pieces, id_name: str, id_type: pa.DataType):
                 row = b.slice(i, 1)
                 names, counts, places, found = (row.column(c).flatten() for c in ("ids", "n_words", "places", "found"))
                 yield from documents(row.column("block")[0].as_py(), names.cast(id_type), counts.to_numpy(), places.to_numpy(), found, table)
+                del row, names, counts, places, found
+                pa.default_memory_pool().release_unused()
     return run
 
 
