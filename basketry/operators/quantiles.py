@@ -23,6 +23,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str
     """
     by = by or []
     named = {f"__g{i}": F.col(c) for i, c in enumerate(by)}
+    if not by:                                           # a column of the written table, so the windows below have a key
+        named = {"__all": F.lit(0)}
     keys = list(named)
     counts = (df.select(*[c.alias(k) for k, c in named.items()], F.col(column).cast("double").alias("__x"))
               .filter(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")))
@@ -31,7 +33,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str
                           "quantile-counts")
 
     # the ranges' totals: a row per key and range
-    per_key = Window.partitionBy(*(keys or [F.lit(1)]))
+    per_key = Window.partitionBy(*keys)
     totals = placed.groupBy(*keys, "__piece").agg(F.sum("__n").alias("__m")).withColumns({
         "__before": F.coalesce(F.sum("__m").over(per_key.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "__total": F.sum("__m").over(per_key)})
@@ -53,9 +55,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: list[str
     part = found.groupBy(*keys, F.col("__w.i").alias("__i")).agg(
         F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.first(F.col("__at") - low).alias("__f"))
     value = F.struct("__i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias("v"))
-    out = part.groupBy(*keys) if keys else part.groupBy(F.lit(1).alias("__one"))
-    out = out.agg(F.transform(F.array_sort(F.collect_list(value)), lambda s: s["v"]).alias("q"))       # one entry per prob
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "q")
+    out = part.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(value)), lambda s: s["v"]).alias("q"))       # one entry per prob
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=False)], "q")
 
 
 def _same_range(values: DataFrame, ranges: DataFrame, keys: list[str], how: str) -> DataFrame:
