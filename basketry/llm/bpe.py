@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import shuffle_partitions, text_or_empty
 from basketry.session import shared_dir
 
-BLOCK_WORDS = 8_000_000
+BLOCK_WORDS = 6_000_000
 WORD_CHARS = 7                   # of a word with its space, about: how many tasks hold a block each
 ENCODE_WORDS = 200_000           # words of a block's rows leave the encoder in lists of about so many
 OUT_WORDS = 100_000              # documents leave in batches of about so many words
