@@ -1,11 +1,13 @@
 """Stateful operators over the order-event stream (K9, K12, L3 / E4 on the stream).
 
-* ``OrdersInLastHour``: velocity inside the stream.  A custom stateful operator
-  (``transformWithState``) whose key is a customer *and an hour*: every order
-  goes to its own hour and, as a count only, to the next one, so no key holds
+* ``orders_in_last_hour``: velocity inside the stream.  Custom state
+  (``applyInPandasWithState``) whose key is a bucket of customers *and an hour*: every
+  order goes to its own hour and, as a count only, to the next one, so no key holds
   more than two hours of orders and a customer with a third of all orders is
-  spread over the hours.  (Needs the RocksDB state store, which it sets.)  Map state holds the orders per second; an event-time
-  timer at the hour's end clears the key once the watermark has passed it.
+  spread over the hours.  A call per key costs about a millisecond, so customers share
+  keys; state travels with the rows (``transformWithStateInPandas`` asks for it over a
+  socket, tens of milliseconds a key).  An event-time timeout at the hour's end clears
+  the key once the watermark has passed it.
 * ``item_scores``: interval join of two watermarked streams (orders and their
   items), left outer, then one aggregate per order.  Both sides' state is
   dropped once no partner can arrive any more.
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from basketry.functions import money
 from basketry.functions.rules import FraudRules
@@ -41,85 +44,72 @@ COUNTED = T.StructType([T.StructField("customer_id", T.LongType()), T.StructFiel
                         T.StructField("place", T.LongType()), *[T.StructField(n, t) for n, t in ORDER_FIELDS.items()],
                         T.StructField("orders_in_last_hour", T.LongType())])
 
-
-def plain(value, kind: T.DataType):
-    """A Python value of a pandas cell (missing values are None), as state rows take it."""
-    if value is None or pd.isna(value):
-        return None
-    return {T.LongType: int, T.IntegerType: int, T.DoubleType: float, T.StringType: str}[type(kind)](value)
-
-
-class OrdersInLastHour(StatefulProcessor):
-    """Counts per order, sent again when an order that arrives later changes them.
-
-    State of a key (customer, hour): ``counts`` second -> orders, for the hour and the one before;
-    ``orders`` (second, place) -> order, for the hour itself.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getMapState("counts", "second long", "n long")
-        key = T.StructType([T.StructField("second", T.LongType()), T.StructField("place", T.LongType())])
-        self.orders = handle.getMapState("orders", key, T.StructType([T.StructField(n, t) for n, t in ORDER_FIELDS.items()]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        customer, hour = key
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-        if not counts:
-            self.handle.registerTimer((hour + 1) * HOUR * 1000)
-        changed: set[int] = set()
-        new: dict[tuple[int, int], tuple] = {}
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                second = int(r.second)
-                if r.own:
-                    order = tuple(plain(getattr(r, n), t) for n, t in ORDER_FIELDS.items())
-                    new[second, counts.get(second, 0)] = order
-                    self.orders.updateValue((second, counts.get(second, 0)), order)
-                counts[second] = counts.get(second, 0) + 1
-                changed.add(second)
-        for second in changed:
-            self.counts.updateValue((second,), (counts[second],))
-        known = {(k[0], k[1]): tuple(v) for k, v in self.orders.iterator()}
-        known.update(new)
-        yield self.counted(int(customer), counts, changed, known)
-
-    @staticmethod
-    def counted(customer: int, counts: dict[int, int], changed: set[int], orders: dict[tuple[int, int], tuple]) -> pd.DataFrame:
-        """The orders within an hour after a changed second, with their counts."""
-        seconds = np.array(sorted(counts), np.int64)
-        upto = np.r_[0, np.cumsum([counts[s] for s in seconds.tolist()])]
-        moved = np.array(sorted(changed), np.int64)
-        keys = sorted(orders)
-        at = np.array([s for s, _ in keys], np.int64)
-        touched = np.searchsorted(moved, at, "right") > np.searchsorted(moved, at - HOUR, "left") if len(keys) else at
-        n = upto[np.searchsorted(seconds, at, "right")] - upto[np.searchsorted(seconds, at - HOUR, "left")]
-        out = [(customer, *keys[i], *orders[keys[i]], int(n[i])) for i in np.flatnonzero(touched)]
-        frame = pd.DataFrame(out, columns=COUNTED.names)
-        return frame.astype({"is_valid_order": "Int32", "total_amount": "float64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.counts.clear()
-        self.orders.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+#: A row as state keeps it; a copy for the next hour needs its customer and second only.
+PACKED = pa.schema([("customer_id", pa.int64()), ("second", pa.int64()), ("own", pa.bool_()), ("order_id", pa.string()), ("micros", pa.int64()),
+                    ("status", pa.string()), ("total_amount", pa.float64()), ("is_valid_order", pa.int32())])
+#: State of a key (bucket, hour): the orders of the hour and of the hour before, in the order in which they came.
+STATE = T.StructType([T.StructField("packed", T.BinaryType())])
+
+
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PACKED) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def counted(rows: pa.Table, known: int) -> pd.DataFrame:
+    """The own orders within an hour after a row of their customer that is new (not of the first ``known``), with their counts."""
+    second = rows["second"].to_numpy()
+    number = np.unique(rows["customer_id"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    # customers lie so far apart on one axis that no hour reaches from one to the next
+    at = number * (4 * HOUR) + (second - second.min())
+    own = np.flatnonzero(rows["own"].to_numpy())
+    order = np.argsort(at[own], kind="stable")
+    line = at[own][order]
+    place = np.empty(len(own), np.int64)              # the orders of one customer and second are numbered as they came
+    place[order] = np.arange(len(own)) - np.searchsorted(line, line, "left")
+
+    def in_hour(seen: np.ndarray) -> np.ndarray:
+        seen = np.sort(seen)
+        return np.searchsorted(seen, at[own], "right") - np.searchsorted(seen, at[own] - HOUR, "left")
+
+    touched = np.flatnonzero(in_hour(at[known:]))
+    out = rows.take(pa.array(own[touched]))
+    new = {"place": place[touched], "orders_in_last_hour": in_hour(at)[touched].astype(np.int64)}
+    return pd.DataFrame({n: new[n] if n in new else pd.array(out[n].to_pandas(), "Int32") if n == "is_valid_order" else out[n].to_pandas()
+                         for n in COUNTED.names})
+
+
+def count_orders(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts per order, sent again when an order that arrives later changes them."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else PACKED.empty_table()
+    all_rows = pa.concat_tables([known, *[pa.Table.from_pandas(f, PACKED, preserve_index=False, nthreads=1) for f in rows]])
+    state.update((packed(all_rows),))
+    state.setTimeoutTimestamp((int(key[1]) + 1) * HOUR * 1000)
+    out = counted(all_rows, len(known))
+    if len(out):
+        yield out
 
 
 def need_rocksdb(spark: SparkSession) -> None:
-    """Custom state with map variables and timers lives in RocksDB only; sets it where the session has another provider."""
+    """Custom state of whole hours belongs in RocksDB, not in the executors' heap; sets it where the session has another provider."""
     name = "spark.sql.streaming.stateStore.providerClass"
     if spark.conf.get(name) != SCALE_CONF[name]:
         spark.conf.set(name, SCALE_CONF[name])
 
 
-def orders_in_last_hour(orders: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def orders_in_last_hour(orders: DataFrame, watermark: str = "1 hour", buckets: int = 16) -> DataFrame:
     """K9: every order with its customer's orders in the hour up to and including its second; update mode.
 
     (customer_id, second, place) names a row: ``place`` numbers the orders of one customer and second.  A row is sent
     when its order arrives and again whenever a later arrival inside the watermark changes its count, so the newest
     row of a name is right.  Rows without a customer or a time are not counted; rows behind the watermark are dropped.
+    The customers of an hour are dealt over ``buckets`` keys: more of them for more cores, but a checkpoint needs those it
+    was started with.
     """
     need_rocksdb(orders.sparkSession)
     hour = F.floor(F.unix_timestamp("event_time") / HOUR).cast("long")
@@ -129,9 +119,9 @@ def orders_in_last_hour(orders: DataFrame, watermark: str = "1 hour") -> DataFra
                    F.col("is_valid_order").cast("int").alias("is_valid_order"),
                    F.explode(F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")),
                                      F.struct((hour + 1).alias("hour"), F.lit(False).alias("own")))).alias("b"))
-           .select("customer_id", "b.hour", "b.own", "event_time", "second", *ORDER_FIELDS))
-    return src.groupBy("customer_id", "hour").transformWithStateInPandas(
-        statefulProcessor=OrdersInLastHour(), outputStructType=COUNTED, outputMode="Update", timeMode="EventTime")
+           .select(F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).alias("bucket"), "b.hour", "b.own", "event_time", "customer_id",
+                   "second", *ORDER_FIELDS))
+    return src.groupBy("bucket", "hour").applyInPandasWithState(count_orders, COUNTED, STATE, "update", "EventTimeTimeout")
 
 
 #: The name of a counted row in the upsert table.

@@ -103,6 +103,13 @@ def test_velocity_numbers_many_orders_of_one_second(spark):
     assert got.count() == 100 and {r.orders_in_last_hour for r in got.collect()} == {100}
 
 
+def test_velocity_customers_share_state(spark):
+    """State rows (and calls per micro-batch) grow with the hours, not with the customers."""
+    rows = [order(i, i % 400, i) for i in range(800)]
+    got, q = velocity_of(spark, [rows])
+    assert sorted([(r.order_id, r.customer_id, r.orders_in_last_hour) for r in got.collect()], key=str) == brute_velocity(rows)
+    assert state_rows(q) <= 100
+
 # ------------------------------------------------------------------ item scores
 ITEM = "order_id long, event_time timestamp, quantity long"
 RULES = FraudRules(total_quantity=((7, 3), (5, 2), (3, 1)), max_item_quantity=((4, 3), (3, 2), (2, 1)))
