@@ -39,6 +39,7 @@ from basketry.llm.common import shuffle_partitions, text_or_empty
 from basketry.session import shared_dir
 
 BLOCK_WORDS, BLOCK_DOCS = 4_000_000, 200_000
+ENCODE_WORDS = 4_000             # words encoded at a time: an encoding has tokens, offsets and masks besides its ids
 CACHE_WORDS = 1_000_000          # a bucket's cache starts anew beyond it
 OUT_WORDS = 100_000              # documents leave in batches of about so many words
 #: str.split() also splits at these four, which are no white space to the tokenizer.
@@ -125,11 +126,13 @@ def _encode(tokenizer):
                 if len(known) + len(words) > CACHE_WORDS:
                     known = {}
                 new = [w for w in words if w not in known]
-                for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32)
+                for i in range(0, len(new), ENCODE_WORDS):
+                    some = new[i:i + ENCODE_WORDS]
+                    for w, e in zip(some, encoder.encode_batch(some, add_special_tokens=False), strict=True):
+                        known[w] = np.array(e.ids, np.uint32).tobytes()
                 ids = [known[w] for w in words]
-                counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append(_packed(np.concatenate([np.array([len(ids)], np.uint32), counts, *ids])))
+                counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                out.append(_packed(np.concatenate([np.array([len(ids)], np.uint32), counts, np.frombuffer(b"".join(ids), np.uint32)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
                                              ["block", "bucket", "data"])
     return run

@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from basketry.llm import bpe
@@ -70,3 +72,32 @@ def test_lost_words_are_an_error():
            "ids": [1], "n_words": [2], "found": []}
     with pytest.raises(ValueError):
         list(bpe._assemble(Pieces, "doc_id", pa.int64())([pa.RecordBatch.from_pylist([row])]))
+
+
+def test_encodings_of_a_bucket_are_not_held_at_once(monkeypatch):
+    """Words are encoded a few thousand at a time, whatever the bucket's size, with the same ids."""
+    import tokenizers
+    real, sizes = tokenizers.Tokenizer, []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        @classmethod
+        def from_str(cls, text):
+            return cls(real.from_str(text))
+
+        def encode_batch(self, words, **how):
+            sizes.append(len(words))
+            return self.inner.encode_batch(words, **how)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = [f" word{i}" for i in range(10_000)]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    value = type("Shared", (), {"value": open(path, encoding="utf-8").read()})()
+    data = zstandard.ZstdCompressor().compress(" ".join(w[1:] for w in words).encode())
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([data], pa.binary())], ["block", "bucket", "words"])
+    got = bpe._unpacked(next(bpe._encode(value)(iter([batch])))["data"][0].as_py(), "<u4")
+    want = [e.ids for e in real.from_file(path).encode_batch([w[1:] for w in words], add_special_tokens=False)]
+    assert got.tolist() == [len(words), *map(len, want), *[i for e in want for i in e]]
+    assert max(sizes) <= 4_000
