@@ -92,7 +92,8 @@ def write_quality(spark: SparkSession, bronze: dict[str, DataFrame], seen: dict[
 
     def listed() -> None:
         dated = CL.standardize_dates(orders, "order_date")
-        odd = F.col("order_date_cleaned").isNull() | (F.col("order_date_cleaned") > as_of) | (F.col("total_amount") < 0)
+        # one mention of the parsed date: the filter goes below the projection, where each mention would parse the text anew
+        odd = ~F.coalesce(F.col("order_date_cleaned") <= as_of, F.lit(False)) | (F.col("total_amount") < 0)
         LY.write_parquet(dated.filter(odd), p["quality/odd_orders"])
         rows = spark.read.parquet(p["quality/odd_orders"])
         LY.write_parquet(A.invalid_dates(rows, as_of), p["quality/invalid_dates"])

@@ -30,6 +30,9 @@ PRODUCTS_SCHEMA = _schema(("product_id", _L), ("product_name", _S), ("category",
                           ("unit_price", MONEY), ("cost", MONEY), ("is_active", _S), ("created_date", _S),
                           ("weight_kg", _D), ("supplier_id", _L))
 
+# Layers are written once and read many times: Zstandard takes about three tenths less than the default codec.
+_PARQUET = {"compression": "zstd"}
+
 # CSV settings that keep text exact: padded values keep their spaces, and
 # null is written as \N so an empty string stays an empty string.
 _CSV = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
@@ -75,14 +78,14 @@ def write_bronze(root: str, tables: dict[str, DataFrame], mode: str = "overwrite
     paths = {}
     for name, df in tables.items():
         paths[name] = f"{root}/bronze/{name}"
-        df.write.mode(mode).parquet(paths[name])
+        df.write.mode(mode).options(**_PARQUET).parquet(paths[name])
     return paths
 
 
 def write_measured(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict:
     """Writes a table and returns ``metrics`` (aggregates without distinct) of its rows, measured as they are written."""
     seen = Observation()
-    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").options(**_PARQUET).parquet(path)
     return seen.get
 
 
@@ -92,14 +95,14 @@ def write_partitioned(df: DataFrame, path: str, keys=("order_year", "order_month
     Rows of a partition meet before the write (one file per partition, or a
     few for one that AQE splits), instead of a file per task and partition.
     """
-    (df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", *keys).write.mode("overwrite").options(**_PARQUET).option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys).parquet(path))
     return path
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Plain parquet dataset (Gold tables, metrics)."""
-    df.write.mode(mode).parquet(path)
+    df.write.mode(mode).options(**_PARQUET).parquet(path)
     return path
 
 

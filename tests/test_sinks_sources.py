@@ -54,3 +54,21 @@ def test_raw_files_roundtrip(spark):
     for src, back in pairs:
         assert src.exceptAll(back.select(*src.columns)).count() == 0
         assert back.count() == src.count()
+
+
+def test_layers_are_written_compactly(spark):
+    """Every layer writer uses Zstandard."""
+    import glob
+
+    import pyarrow.parquet as pq
+    root = shared_dir(spark, "layers")
+    df = spark.range(100).selectExpr("id", "cast(id % 2 as long) order_year", "cast(1 as long) order_month", "cast(id as string) day")
+    LY.write_bronze(root, {"t": df})
+    LY.write_parquet(df, f"{root}/gold")
+    LY.write_partitioned(df, f"{root}/silver")
+    seen = LY.write_measured(df, f"{root}/measured", {"first": F.min("id"), "last": F.max("id")})
+    assert seen == {"first": 0, "last": 99}
+    files = [f for d in ("bronze/t", "gold", "silver", "measured") for f in glob.glob(f"{root}/{d}/**/*.parquet", recursive=True)]
+    codecs = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_rows}
+    assert codecs == {"ZSTD"}
+    assert spark.read.parquet(f"{root}/silver").count() == 100
