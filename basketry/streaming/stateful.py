@@ -4,10 +4,8 @@
   (``applyInPandasWithState``) whose key is a bucket of customers *and an hour*: every
   order goes to its own hour and, as a count only, to the next one, so no key holds
   more than two hours of orders and a customer with a third of all orders is
-  spread over the hours.  A call per key costs about a millisecond, so customers share
-  keys; state travels with the rows (``transformWithStateInPandas`` asks for it over a
-  socket, tens of milliseconds a key).  An event-time timeout at the hour's end clears
-  the key once the watermark has passed it.
+  spread over the hours.  A call per key costs milliseconds, so customers share keys.
+  An event-time timeout at the hour's end clears the key once the watermark has passed it.
 * ``item_scores``: interval join of two watermarked streams (orders and their
   items), left outer, then one aggregate per order.  Both sides' state is
   dropped once no partner can arrive any more.
