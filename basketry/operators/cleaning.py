@@ -78,11 +78,11 @@ def quality_score(df: DataFrame, required: list[str], output: str = "data_qualit
 
 def enrich_orders(df: DataFrame, date_col: str = "order_date", status_col: str = "status") -> DataFrame:
     """order_year, order_month, is_completed on already-typed columns."""
-    return df.withColumns({
-        "order_year": F.year(date_col).cast("long"),
-        "order_month": F.month(date_col).cast("long"),
-        "is_completed": F.when(F.col(status_col) == "completed", 1).otherwise(0),
-    })
+    return enrich_dates(df, date_col).withColumn("is_completed", F.when(F.col(status_col) == "completed", 1).otherwise(0))
+
+
+def enrich_dates(df: DataFrame, date_col: str) -> DataFrame:
+    return df.withColumns({"order_year": F.year(date_col).cast("long"), "order_month": F.month(date_col).cast("long")})
 
 
 def valid_order(order_id: Column, customer_id: Column, order_date: Column, amount: Column) -> Column:
@@ -93,20 +93,18 @@ def valid_order(order_id: Column, customer_id: Column, order_date: Column, amoun
 
 def clean_orders(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
     """C11: dates, status, amount range, then year/month/is_completed/is_valid_order."""
+    return clean_dated_orders(standardize_dates(df, "order_date"), rules)
+
+
+def clean_dated_orders(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """C11 for orders whose date is parsed already (``order_date_cleaned``)."""
     lo, hi = rules.order_amount
     df = df.withColumns({
-        "order_date_cleaned": C.parse_date("order_date"),
         "status_cleaned": C.clean_status("status"),
         "total_amount_cleaned": C.in_range("total_amount", lo, hi),
     })
-    df = df.withColumns({
-        "order_year": F.year("order_date_cleaned").cast("long"),
-        "order_month": F.month("order_date_cleaned").cast("long"),
-        "is_completed": F.when(F.col("status_cleaned") == "completed", 1).otherwise(0),
-        "is_valid_order": valid_order(F.col("order_id"), F.col("customer_id"),
-                                      F.col("order_date_cleaned"), F.col("total_amount_cleaned")),
-    })
-    return df
+    return enrich_orders(df, "order_date_cleaned", "status_cleaned").withColumn(
+        "is_valid_order", valid_order(F.col("order_id"), F.col("customer_id"), F.col("order_date_cleaned"), F.col("total_amount_cleaned")))
 
 
 CUSTOMER_REQUIRED = ["customer_id", "name_cleaned", "email_cleaned", "join_date_cleaned"]

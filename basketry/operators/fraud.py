@@ -41,15 +41,29 @@ def days_since_last_order(orders: DataFrame, customer: str = "customer_id", date
     Orders are ordered by (date, order id); a second order on the same day is
     0 days after the first.
     """
-    days = (orders.groupBy(customer, date).agg(F.min(order_id).alias("__first_id"))
-            .withColumn("__prev", F.lag(date).over(Window.partitionBy(customer).orderBy(date))))
-    joined = orders.join(days, [customer, date], "left")
+    joined = orders.join(_order_days(orders, customer, date, order_id), [customer, date], "left")
     return (joined.withColumn("days_since_last_order",
                               F.when(F.col(order_id) != F.col("__first_id"), F.lit(0))
                               .otherwise(F.datediff(F.col(date), F.col("__prev"))).cast("long"))
             .drop("__first_id", "__prev"))
 
 
+def _order_days(orders: DataFrame, customer: str, date: str, order_id: str) -> DataFrame:
+    """Per customer and day with orders: the day's first order id and the customer's day with orders before it."""
+    return (orders.groupBy(customer, date).agg(F.min(order_id).alias("__first_id"))
+            .withColumn("__prev", F.lag(date).over(Window.partitionBy(customer).orderBy(date))))
+
+
+def days_by_order(orders: DataFrame) -> DataFrame:
+    """G2 for orders with one row per id: (order_id, days) of each day's first order of a customer; the day's others have 0.
+
+    Keyed by the order, so it can join beside other facts of the order.
+    """
+    days = _order_days(orders, "customer_id", "order_date_cleaned", "order_id")
+    return days.select(F.col("__first_id").alias("order_id"), F.lit(True).alias("__first"),
+                       F.datediff("order_date_cleaned", "__prev").cast("long").alias("__days"))
+
+
 def orders_in_last_hour(events: DataFrame, customer: str = "customer_id", ts: str = "event_time",
                         out: str = "orders_in_last_hour") -> DataFrame:
     """Per event, the customer's events in the hour up to and including it."""
@@ -85,10 +99,14 @@ def order_item_stats(items_clean: DataFrame) -> DataFrame:
 
 def fraud_orders(orders_clean: DataFrame, items_clean: DataFrame, rules: FraudRules = FraudRules(),
                  keep_all: bool = False) -> DataFrame:
-    """L3: batch fraud scoring of valid orders; keeps scores >= ``rules.flag_at``."""
+    """L3: batch fraud scoring of valid orders, one row per order id; keeps scores >= ``rules.flag_at``.
+
+    Days and item statistics both join by order id, so an order is shuffled once.
+    """
     valid = orders_clean.filter(F.col("is_valid_order") == 1).select(
         "order_id", "customer_id", "order_date_cleaned", "total_amount_cleaned")
-    scored = (days_since_last_order(valid).join(order_item_stats(items_clean), "order_id", "left")
+    scored = (valid.join(order_item_stats(items_clean), "order_id", "left").join(days_by_order(valid), "order_id", "left")
+              .withColumn("days_since_last_order", F.when(F.col("__first"), F.col("__days")).otherwise(F.lit(0).cast("long")))
               .withColumns({
                   "amount_score": ladder(F.col("total_amount_cleaned"), rules.amount),
                   "velocity_score": ladder(F.col("days_since_last_order"), rules.velocity_days, "<"),

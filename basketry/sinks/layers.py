@@ -7,6 +7,8 @@ partitioned by order year/month with dynamic partition overwrite) and Gold
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,13 +91,16 @@ def write_measured(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict
     return seen.get
 
 
-def write_partitioned(df: DataFrame, path: str, keys=("order_year", "order_month")) -> str:
+def write_partitioned(df: DataFrame, path: str, keys=("order_year", "order_month"),
+                      then: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """Partitioned by year/month; overwriting replaces only the partitions present.
 
     Rows of a partition meet before the write (one file per partition, or a
     few for one that AQE splits), instead of a file per task and partition.
+    ``then`` adds the columns that each row's others give: they need not travel.
     """
-    (df.hint("rebalance", *keys).write.mode("overwrite").options(**_PARQUET).option("partitionOverwriteMode", "dynamic")
+    met = df.hint("rebalance", *keys)
+    ((then(met) if then else met).write.mode("overwrite").options(**_PARQUET).option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys).parquet(path))
     return path
 

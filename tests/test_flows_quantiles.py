@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators.model import dedup_keep_first
 from basketry.operators.quantiles import exact_quantiles
 from basketry.plans import flows as FL
 from basketry.plans.context import context
@@ -46,6 +47,17 @@ def test_bronze_equals_the_feed(spark, run):
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, df.collect()))
 
 
+def test_order_ids_are_counted_once(spark, run):
+    """One count per order id serves the report of repeated ids, the summary, the orphans and the de-duplication of Silver."""
+    raw, p, _ = run
+    keys = spark.read.parquet(p["quality/order_keys"])
+    assert keys.columns == ["order_id", "row_count"]
+    assert dict(map(tuple, keys.collect())) == Counter(r.order_id for r in raw["orders"].select("order_id").collect())
+    want = dedup_keep_first(raw["orders"], ["order_id"])
+    got = spark.read.parquet(p["silver/orders"]).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 def test_together_runs_all_and_raises(spark):
     done = []
 

@@ -1,5 +1,6 @@
 """Dimensions, facts, Gold, RFM and revenue reports on small literal tables."""
 import datetime as dt
+from collections import Counter
 from decimal import Decimal
 
 from pyspark.sql import Window
@@ -96,3 +97,15 @@ def test_status_and_overall(spark):
     assert dist == {"completed": 5, "pending": 1}
     ov = A.overall_revenue(o).collect()[0]
     assert ov.total_orders == 3 and ov.total_revenue == 450.0 and ov.avg_order_value == 150.0
+
+
+def test_dedup_with_known_repeats_compares_only_those(spark):
+    """The same rows as without, null keys included; rows of other keys are not shuffled."""
+    rows = [(1, "b", 2), (1, "b", 1), (1, "a", 9), (2, "x", 1), (None, "z", 1), (None, None, 5), (3, None, None), (4, "q", 1), (4, "q", 1)]
+    df = spark.createDataFrame(rows, "k long, s string, n int")
+    for data, repeats in ((df, [(1,), (4,), (None,)]), (df.dropDuplicates(["k"]), [])):
+        repeated = spark.createDataFrame(repeats, "k long")
+        got = M.dedup_keep_first(data, ["k"], repeated=repeated)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, M.dedup_keep_first(data, ["k"]).collect()))
+    plan = M.dedup_keep_first(df, ["k"], repeated=F.broadcast(spark.createDataFrame([(1,)], "k long")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("LeftAnti") < plan.index("Aggregate") < plan.index("LeftSemi")

@@ -97,3 +97,25 @@ def test_alert_reasons(spark):
     assert alerts[3].fraud_score == 3 and alerts[3].risk_level == "MEDIUM"
     alt = {r.order_id: r for r in FR.fraud_alert_score_alt(ev).collect()}
     assert alt[1].fraud_score == 5 and alt[2].reasons == ["Suspicious pattern"] and alt[2].fraud_score == 3
+
+
+def test_fraud_shuffles_an_order_once(spark):
+    """Days come by order id, as the item statistics do: the same as by customer and day, and orders travel whole only once."""
+    rnd = random.Random(8)
+    base = dt.date(2024, 1, 1)
+    rows = [(i, rnd.choice([1, 2, 3]), base + dt.timedelta(days=rnd.randint(0, 20)), rnd.choice([50.0, 2500.0]), 1) for i in range(300)]
+    orders = spark.createDataFrame(rows, "order_id long, customer_id long, order_date_cleaned date, total_amount_cleaned double, is_valid_order int")
+    days = FR.days_by_order(orders)
+    joined = orders.join(days, "order_id", "left").select("order_id", "__days", "__first")
+    got = {i: (d if first else 0) for i, d, first in map(tuple, joined.collect())}
+    assert got == {r.order_id: r.days_since_last_order for r in FR.days_since_last_order(orders).collect()}
+    items = spark.createDataFrame([(i, i % 300, 1 + i % 9) for i in range(900)], "item_id long, order_id long, quantity_cleaned long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FR.fraud_orders(orders, items, FraudRules())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    keys = [line.split("hashpartitioning(")[1].split(", ")[0].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    # orders, statistics and days by order id; days by customer and day, then by customer
+    assert keys.count("order_id") + keys.count("__first_id") == 3 and keys.count("customer_id") == 2, keys
