@@ -92,15 +92,16 @@ def write_measured(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict
 
 
 def write_partitioned(df: DataFrame, path: str, keys=("order_year", "order_month"),
-                      then: Callable[[DataFrame], DataFrame] | None = None) -> str:
+                      then: Callable[[DataFrame], DataFrame] | None = None, met: bool = False) -> str:
     """Partitioned by year/month; overwriting replaces only the partitions present.
 
     Rows of a partition meet before the write (one file per partition, or a
     few for one that AQE splits), instead of a file per task and partition.
     ``then`` adds the columns that each row's others give: they need not travel.
+    With ``met`` a partition's rows are together already.
     """
-    met = df.hint("rebalance", *keys)
-    ((then(met) if then else met).write.mode("overwrite").options(**_PARQUET).option("partitionOverwriteMode", "dynamic")
+    rows = df if met else df.hint("rebalance", *keys)
+    ((then(rows) if then else rows).write.mode("overwrite").options(**_PARQUET).option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys).parquet(path))
     return path
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators import model as M
 from basketry.operators.model import dedup_keep_first
 from basketry.operators.quantiles import exact_quantiles
 from basketry.plans import flows as FL
@@ -58,6 +59,37 @@ def test_order_ids_are_counted_once(spark, run):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_fact_by_month_equals_the_fact(spark, run):
+    """The same rows as the plain joins, months dealt into parts or not; orders without lines stay."""
+    _, p, _ = run
+    orders, customers, items, products = (spark.read.parquet(p[f"silver/{n}"]) for n in ("orders", "customers", "order_items", "products"))
+    items = items.filter(F.col("order_id") % 5 != 0)
+    want = M.fact_orders_enhanced(orders, customers, items, products)
+    rows = Counter(map(tuple, want.collect()))
+    assert any(r[9] is None for r in rows)
+    for month_rows in (4_000_000, 3):
+        got = M.fact_orders_by_month(orders, customers, items, products, month_rows)
+        assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert Counter(map(tuple, got.collect())) == rows
+
+
+def test_fact_lines_travel_without_their_order(spark, run):
+    """The join by product carries no column of the order but its id and month; one file a month is written."""
+    _, p, _ = run
+    layers = [spark.read.parquet(p[f"silver/{n}"]) for n in ("orders", "customers", "order_items", "products")]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.fact_orders_by_month(*layers)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    by_product = plan[plan.index("Join LeftOuter, (product_id"):]
+    assert "total_amount_cleaned" not in by_product.split("Join LeftOuter, (order_id")[0]
+    assert plan.count("RepartitionByExpression") == 1
+    files = spark.read.parquet(p["silver/fact_orders"]).select(F.input_file_name().alias("f"), "order_year", "order_month").distinct()
+    assert files.groupBy("order_year", "order_month").count().filter("count > 1").count() == 0
+
+
 def test_together_runs_all_and_raises(spark):
     done = []
 
